@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_cascade, sharding, token_counts
+from . import byte_bpe, quality_cascade, sharding, simhash, token_counts, token_store
 from .common import table
 
 #: Parameters of the queries.
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 24
+END_ID = 2
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(lengths))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -26,9 +32,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(spark, token_store.build(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_rendezvous_sharding, op7_byte_bpe, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules)}
 ORACLES = {"op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents")}
