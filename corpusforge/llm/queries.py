@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_cascade, sharding, simhash, token_counts, token_store
+from . import byte_bpe, ppm, quality_cascade, sharding, simhash, token_counts, token_store
 from .common import table
 
 #: Parameters of the queries.
@@ -40,5 +40,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules)}
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring)}
 ORACLES = {"op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents")}
