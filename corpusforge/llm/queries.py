@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ppm, quality_cascade, sharding, simhash, token_counts, token_store
+from . import byte_bpe, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
 from .common import table
 
 #: Parameters of the queries.
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -44,5 +49,5 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op5_toxicity, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring)}
 ORACLES = {"op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents")}
