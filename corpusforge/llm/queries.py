@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
+from . import ann, byte_bpe, mixing, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
 from .common import table
 
 #: Parameters of the queries.
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -54,5 +58,5 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_ivf_pq, op5_toxicity, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring)}
-ORACLES = {"op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents")}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_mixing, op4_ivf_pq, op5_toxicity, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring)}
+ORACLES = {"op3_mixing": mixing.judged_sql(), "op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents")}
