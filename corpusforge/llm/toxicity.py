@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, held_out
+from .common import arrow_rows, held_out, written
 
 #: Labelled rows of each class that the classifier is fitted on at most.
 SAMPLE = 6000
@@ -46,8 +46,8 @@ IDENTITY_GROUPS = (
 )
 #: Feature selection: least documents of the toxic class with it, least z-score, most features.
 LEAST_DOCS, LEAST_Z, FEATURES = 4, 5.0, 2000
-#: Strength of the penalties; sampled texts with an identity term put in; steps of the fit.
-L2, COUNTERFACTUAL, PUT_IN, STEPS = 1e-4, 1.0, 512, 400
+#: Strength of the penalties; one in so many texts without identity terms gets one put in; steps of the fit.
+L2, COUNTERFACTUAL, PUT_IN, STEPS = 1e-4, 1.0, 8, 400
 MEMO = 300_000
 
 
@@ -73,99 +73,129 @@ class Model:
         return self.intercept + sum(self.weights[f] for f in sorted(found))
 
 
-def _swaps() -> dict[str, tuple[str, ...]]:
-    return {t: tuple(x for x in group if x != t) for group in IDENTITY_GROUPS for t in group}
+@dataclass(frozen=True)
+class Row:
+    """A labelled text as features (indices), and its counterfactuals as the features that each gains and loses."""
+
+    label: int
+    features: list[int]
+    changes: list[tuple[list[int], list[int]]]
+
+
+SWAPS = {t: tuple(x for x in group if x != t) for group in IDENTITY_GROUPS for t in group}
+TERMS = tuple(sorted(SWAPS))
 
 
-def counterfactuals(words: list[set[str]]) -> list[tuple[int, set[str]]]:
-    """(index, words) of changed texts: each identity term swapped; one put into the first PUT_IN texts without any."""
-    swaps, out, put = _swaps(), [], 0
-    terms = sorted(swaps)
-    for i, ws in enumerate(words):
-        bare = {w.strip(STRIPPED): w for w in ws}
-        hit = [t for t in bare if t in swaps]
-        for t in sorted(hit):
-            out += [(i, ws - {bare[t]} | {other}) for other in swaps[t]]
-        if not hit and put < PUT_IN:
-            out.append((i, ws | {terms[put % len(terms)]}))
-            put += 1
+def counterfactuals(words: set[str], number: int) -> list[set[str]]:
+    """The text with each identity term swapped; without any, a text of every PUT_IN-th number gets one put in."""
+    bare = {w.strip(STRIPPED): w for w in words}
+    hit = sorted(t for t in bare if t in SWAPS)
+    out = [words - {bare[t]} | {other} for t in hit for other in SWAPS[t]]
+    if not hit and number % PUT_IN == 0:
+        out.append(words | {TERMS[number // PUT_IN % len(TERMS)]})
     return out
 
 
-def fit(words: list[set[str]], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """The model of labelled texts, given as sets of words. weights: of a row of class 0 and of class 1."""
-    y = np.array(labels, np.float64)
-    row = np.where(y == 1, weights[1], weights[0])
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        rate = (float((row * y).sum()) + 0.05) / (float(row.sum()) + 1)
+def row_of(words: set[str], label: int, number: int, index: dict[str, int]) -> Row:
+    of = lambda ws: {index[f] for w in ws for f in features_of(w) if f in index}
+    own = of(words)
+    changed = [(sorted(new - own), sorted(own - new)) for new in map(of, counterfactuals(words, number))]
+    return Row(label, sorted(own), [c for c in changed if c[0] or c[1]])
+
+
+def z_score(ones: float, zeros: float, n1: float, n0: float) -> float:
+    """How far a feature's share among toxic texts is above that among others, in standard errors."""
+    pooled = (ones + zeros + 1) / (n1 + n0 + 2)
+    return (ones / n1 - zeros / n0) / float(np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
+
+
+def optimise(rows: list[Row], names: list[str], class_weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fit weights by gradient steps on log-loss, L2 and the counterfactual penalty. class_weights: of a row of class 0 and of 1."""
+    y = np.array([r.label for r in rows], np.float64)
+    row = np.where(y == 1, class_weights[1], class_weights[0])
+    total = float(row.sum())
+    if not len(rows) or y.min() == y.max():
+        rate = (float((row * y).sum()) + 0.05) / (total + 1)
         return Model(float(np.log(rate / (1 - rate))), {})
-    sets = [{f for w in ws for f in features_of(w)} for ws in words]
-    ones, zeros = Counter(), Counter()
-    for s, label in zip(sets, labels, strict=True):
-        (ones if label else zeros).update(s)
-    scored = []
-    for f, k in ones.items():
-        if k >= LEAST_DOCS:
-            p1, p0 = k / n1, zeros.get(f, 0) / n0
-            pooled = (k + zeros.get(f, 0) + 1) / (len(y) + 2)
-            z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-            if z >= LEAST_Z:
-                scored.append((-z, f))
-    chosen = [f for _, f in sorted(scored)[:FEATURES]]
-    index = {f: i for i, f in enumerate(chosen)}
-
-    def cells(rows: list[set[str]]) -> set[tuple[int, int]]:
-        return {(i, index[f]) for i, s in enumerate(rows) for f in s if f in index}
-
-    x = cells(sets)
-    at, column = np.array(sorted(x), np.int64).reshape(-1, 2).T
-    pairs = counterfactuals(words)
-    # A counterfactual differs from its text in a few features: +1 for those it gains, -1 for those it loses.
-    of_pair = {}
-    for j, (i, ws) in enumerate(pairs):
-        new = {index[f] for w in ws for f in features_of(w) if f in index}
-        old = {index[f] for f in sets[i] if f in index}
-        of_pair |= {(j, k): 1.0 for k in new - old} | {(j, k): -1.0 for k in old - new}
-    pair, changed = np.array(sorted(of_pair), np.int64).reshape(-1, 2).T
-    sign = np.array([of_pair[k] for k in sorted(of_pair)])
-    n, width = len(y), len(chosen)
+    at = np.repeat(np.arange(len(rows)), [len(r.features) for r in rows])
+    column = np.array([k for r in rows for k in r.features], np.int64)
+    changes = [c for r in rows for c in r.changes]
+    pair = np.array([j for j, c in enumerate(changes) for part in c for _ in part], np.int64)
+    changed = np.array([k for c in changes for part in c for k in part], np.int64)
+    sign = np.array([s for gained, lost in changes for s in [1.0] * len(gained) + [-1.0] * len(lost)])
+    n, width = len(y), len(names)
     w, b = np.zeros(width), float(np.log((row * y).sum() / (row * (1 - y)).sum()))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
-    total = row.sum()
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[column], n) + b, -30, 30)))
         error = row * (p - y) / total
         gradient = np.bincount(column, error[at], width) + L2 * w
-        if len(pairs):
-            moved = np.bincount(pair, sign * w[changed], len(pairs))
-            gradient += COUNTERFACTUAL / len(pairs) * np.bincount(changed, sign * moved[pair], width)
+        if changes:
+            moved = np.bincount(pair, sign * w[changed], len(changes))
+            gradient += COUNTERFACTUAL / len(changes) * np.bincount(changed, sign * moved[pair], width)
         g = np.append(gradient, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w, b = w - move[:-1], b - float(move[-1])
-    return Model(b, {f: float(k) for f, k in zip(chosen, w, strict=True)})
+    return Model(b, {f: float(k) for f, k in zip(names, w, strict=True)})
+
+
+def fit(words: list[set[str]], labels: list[int]) -> Model:
+    """The model of a few labelled texts in memory (the same steps as `train`)."""
+    ones, zeros = Counter(), Counter()
+    for ws, label in zip(words, labels, strict=True):
+        (ones if label else zeros).update({f for w in ws for f in features_of(w)})
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    scored = [(-z_score(k, zeros[f], n1, n0), f) for f, k in ones.items() if k >= LEAST_DOCS] if n1 and n0 else []
+    names = [f for z, f in sorted(scored)[:FEATURES] if -z >= LEAST_Z]
+    index = {f: i for i, f in enumerate(names)}
+    return optimise([row_of(ws, label, i, index) for i, (ws, label) in enumerate(zip(words, labels, strict=True))], names)
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows of docs that are not held out; `sample` of each class at most."""
+    """Fit on labelled rows of docs that are not held out; `sample` of each class at most.
+
+    Texts stay on the executors: features are counted there, and the driver gets the chosen ones and their indices.
+    """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"), modulus)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # TakeOrdered: 2 * sample rows at most reach the driver, so the join side below has a fixed bound.
+    # Of a fixed number of rows, 2 * sample, so that the side below has a proven bound.
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches, 256):
-            words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
-
-    rows = picked.mapInArrow(run, "doc_id long, toxic int, words array<string>").toArrow().sort_by("doc_id")
-    toxic = rows["toxic"].to_pylist()
-    words = [set(w) for w in rows["words"].to_pylist()]
-    weight = lambda c: counts.get(c, 0) / max(1, sum(t == c for t in toxic))  # noqa: E731  classes weigh as in all labels
-    return fit(words, toxic, (weight(0), weight(1)))
+    picked = written(picked, "labelled")
+    sizes = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 512):
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen[label].update({f for w in words_of(text) for f in features_of(w)})
+            names = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in seen]], names=["feature", "zeros", "ones"])
+
+    names: list[str] = []
+    if n1 and n0:
+        counted = picked.mapInArrow(count, "feature string, zeros long, ones long").groupBy("feature").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+        pooled = (F.col("ones") + F.col("zeros") + 1) / (n1 + n0 + 2)
+        z = (F.col("ones") / n1 - F.col("zeros") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+        best = counted.where(F.col("ones") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
+        names = [r["feature"] for r in best.collect()]
+    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # FEATURES at most
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 512):
+            rows = [row_of(words_of(t), label, doc_id, index.value) for t, label, doc_id in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "doc_id")], strict=True)]
+            changes = [[{"gained": g, "lost": x} for g, x in r.changes] for r in rows]
+            kind = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.label for r in rows], pa.int32()), pa.array([r.features for r in rows], pa.list_(pa.int32())), pa.array(changes, kind)], names=["doc_id", "label", "features", "changes"])
+
+    schema = "doc_id long, label int, features array<int>, changes array<struct<gained: array<int>, lost: array<int>>>"
+    table = picked.mapInArrow(reduce, schema).toArrow().sort_by("doc_id").to_pylist()
+    rows = [Row(r["label"], r["features"], [(c["gained"], c["lost"]) for c in r["changes"]]) for r in table]
+    return optimise(rows, names, (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))  # classes weigh as in all labels
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 4, threshold: float = THRESHOLD) -> DataFrame:
