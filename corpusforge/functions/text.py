@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ DEFECTS = {
 REVIEW = {"mermaid": r"(?m)```mermaid|^\s*(?:graph|sequenceDiagram|flowchart)\s"}
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once a row although body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -83,9 +90,13 @@ def sentences(text: Column) -> Column:
 
 def char_grams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams of the text without marks and blanks; a shorter text is its own gram."""
-    body = F.regexp_replace(text, NOT_GRAM, "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body) - n + 1)), lambda i: F.substring(body, i, F.lit(n)))
-    return F.array_distinct(grams)
+
+    def of(chars: Column) -> Column:
+        # Characters by index: a substring would walk to its place from the start each time.
+        gram = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+        return F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), gram))
+
+    return F.array_distinct(once(F.array_remove(F.split(F.regexp_replace(text, NOT_GRAM, ""), ""), ""), of))
 
 
 def wants_history(question: Column) -> Column:
