@@ -78,6 +78,11 @@ def _variants() -> list[tuple[int, int]]:
     return out
 
 
+def differing_bits(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Of signed longs; counted unsigned, since numpy counts the bits of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest_of_run(run: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints: each search step compares one with all not yet reached."""
     left = np.unique(run)
@@ -85,7 +90,7 @@ def forest_of_run(run: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             x = reached.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = differing_bits(left, x) <= radius
             if near.any():
                 for y in left[near].tolist():
                     yield int(x), y
@@ -105,7 +110,7 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tu
         if not len(wide):
             break
         a, b = f[wide], f[wide + offset]
-        ok = (k[wide] == k[wide + offset]) & (a != b) & (np.bitwise_count(a ^ b) <= radius)
+        ok = (k[wide] == k[wide + offset]) & (a != b) & (differing_bits(a, b) <= radius)
         if ok.any():
             yield from map(tuple, np.unique(np.stack([a[ok], b[ok]], 1), axis=0).tolist())
     for s, n_run in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
