@@ -36,7 +36,7 @@ from .common import arrow_rows, shared_folder
 #: Chunking: ids in the rolling window, mean, least and greatest length of a chunk in ids.
 ROLLING, MEAN, LEAST, GREATEST = 8, 256, 32, 2048
 #: Distinct words that a worker remembers, and the longest of them; they change speed only.
-MEMO, MEMO_LENGTH = 400_000, 48
+MEMO, MEMO_LENGTH = 600_000, 48
 #: Chunk names that a worker remembers in order not to send a chunk twice; the store makes chunks unique anyway.
 SENT = 200_000
 
@@ -44,8 +44,9 @@ SENT = 200_000
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, each distinct word encoded once.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space, so a text's ids are its words' ids in turn.
-    Words of plain small letters go to the BPE model itself, all others through the whole tokenizer.
+    The vocabulary's pre-tokenizer never joins across ASCII white space, so a text's ids are its words' ids in turn; nor
+    does it join letters with marks. Words of plain Latin letters and ASCII marks therefore go to the BPE model run by run
+    (letters in lower case); all others, such as words with digits, apostrophes or special tokens, through the whole tokenizer.
     """
 
     def __init__(self, definition: str, width: str):
@@ -53,40 +54,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.width = width
         self.chars = byte_characters()
-        self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        item = np.dtype(width).itemsize
+        self.packed_id = [i.to_bytes(item, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.plain = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+        self.simple = re.compile(r"[a-zß-öø-ÿ!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+").fullmatch
+        self.capital = re.compile(r"[A-ZÀ-ÖØ-Þ]").search
+        self.runs = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+").findall
+        self.marks: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {"": b""}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        table = self.packed_id
+        return b"".join([table[i] for i in ids])
 
     def _encode_new(self, words: list[str]) -> dict[str, bytes]:
-        out, rest, stems = {}, [], {}
+        out, rest, found = {}, [], {}
         for w in words:
-            small = w.lower() if w.isascii() else w
+            small = w.lower() if self.capital(w) else w
             if self.plain(small):
-                out[w] = self._model_ids(small)
-            elif self.plain(small[:-1]) and small[-1] in ".,!?;:":
-                stems[w] = small
+                out[w] = self._letters(small, found)
+            elif self.simple(small) and "<|" not in small:
+                out[w] = b"".join([self._letters(r, found) if self.plain(r) else self._mark(r) for r in self.runs(small)])
             else:
                 rest.append(w)
-        for w, small in stems.items():
-            if (stem := self.memo.get(small[:-1])) is None:
-                stem = self.memo[small[:-1]] = self._model_ids(small[:-1])
-            out[w] = stem + self._mark(small[-1])
         if rest:
             for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
                 out[w] = self._packed(e.ids)
-        return out
+        return found | out
 
-    def _model_ids(self, word: str) -> bytes:
-        mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
-        return self._packed([t.id for t in self.model.tokenize(mapped)])
+    def _letters(self, word: str, found: dict[str, bytes]) -> bytes:
+        ids = self.memo.get(word) or found.get(word)
+        if ids is None:
+            table = self.packed_id
+            mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
+            ids = found[word] = b"".join([table[t.id] for t in self.model.tokenize(mapped)])
+        return ids
 
-    @lru_cache(maxsize=16)  # noqa: B019  an encoder lives as long as its worker
     def _mark(self, mark: str) -> bytes:
-        return self._packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+        if mark not in self.marks:
+            ids = self._packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+            if len(self.marks) > 10_000 or len(mark) > MEMO_LENGTH:
+                return ids
+            self.marks[mark] = ids
+        return self.marks[mark]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as packed bytes."""
@@ -186,22 +197,11 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["kind", "hash", "data", "doc_id", "n_tokens", "hashes"])
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows, each chunk once; all recipes."""
-        last = None
-        for batch in batches:
-            take = []
-            for i, (kind, name) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("hash").to_pylist(), strict=True)):
-                if kind == "recipe" or name != last:
-                    take.append(i)
-                if kind == "chunk":
-                    last = name
-            yield batch.take(pa.array(take, pa.int64()))
-
     objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, hash binary, data binary, doc_id long, n_tokens long, hashes binary")
     # By hash: a chunk that a third of all documents share comes from each task once or a few times, not once a document.
-    dealt = objects.repartition("hash").sortWithinPartitions("kind", "hash")
-    dealt.mapInArrow(unique, objects.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
+    first = F.row_number().over(Window.partitionBy("kind", "hash").orderBy("kind"))
+    unique = objects.repartition("hash").withColumn("copy", first).where("kind = 'recipe' or copy = 1").drop("copy")
+    unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
 
     recipes = spark.read.schema(objects.schema).parquet(f"{folder}/objects").where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes")
     ordered = recipes.repartitionByRange("doc_id", "hashes").sortWithinPartitions("doc_id", "hashes").withColumn("part", F.spark_partition_id())
@@ -307,11 +307,22 @@ def _shifts() -> np.ndarray:
     return out
 
 
-def crc_append(crc: int, n_ids: int, chunk_crc: int) -> int:
-    """crc32 of bytes followed by a chunk of n_ids 4-byte ids with its own crc32."""
-    row = _shifts()[n_ids]
-    bits = (np.uint64(crc) >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
-    return int(np.bitwise_xor.reduce(row[bits == 1], initial=np.uint64(0))) ^ chunk_crc
+def crc_append(crc: np.ndarray, n_ids: np.ndarray, chunk_crc: np.ndarray) -> np.ndarray:
+    """crc32 of each stretch of bytes followed by a chunk of n_ids 4-byte ids with its own crc32."""
+    rows = _shifts()[n_ids]
+    bits = (crc.astype(np.uint64)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
+    return np.bitwise_xor.reduce(rows * bits, axis=1) ^ chunk_crc.astype(np.uint64)
+
+
+def crc_of_chunks(sizes: np.ndarray, n_ids: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """crc32 of each document, given its number of chunks and all chunks' lengths and checksums in order."""
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    for position in range(int(sizes.max(initial=0))):
+        open_ = np.flatnonzero(sizes > position)
+        at = begin[open_] + position
+        out[open_] = crc_append(out[open_], n_ids[at], crcs[at])
+    return out
 
 
 def digests(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
@@ -326,7 +337,10 @@ def digests(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
             for name, d in zip(names, data, strict=True):
                 if name_of(d) != name:
                     raise ValueError(f"chunk {name.hex()} is damaged")
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([len(d) // item for d in data], pa.int32()), pa.array([zlib.crc32(_ids_as_u32(d, item)) for d in data], pa.int64())], names=["hash", "n", "crc"])
+            ends = np.cumsum([len(d) for d in data]) // item * 4
+            wide = memoryview(_ids_as_u32(b"".join(data), item))
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([len(d) // item for d in data], pa.int32()), pa.array(crcs, pa.int64())], names=["hash", "n", "crc"])
 
     chunks = read_chunks(spark, folder).mapInArrow(checked, "hash binary, n int, crc long")
     recipes = read_recipes(spark, folder)
@@ -338,16 +352,16 @@ def digests(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 1024):
-            out = []
-            for n_tokens, chunks in zip(batch.column("n_tokens").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
-                crc = total = 0
-                for c in chunks:
-                    if c["crc"] is None:
-                        raise ValueError("a chunk is missing")
-                    crc, total = (crc_append(crc, c["n"], c["crc"]) if total else c["crc"]), total + c["n"]
-                if total != n_tokens:
-                    raise ValueError(f"a recipe of {n_tokens} ids gives {total}")
-                out.append(crc)
+            chunks = batch.column("chunks")
+            sizes = chunks.value_lengths().to_numpy()
+            n, crc = (chunks.flatten().field(c) for c in ("n", "crc"))
+            if crc.null_count:
+                raise ValueError("a chunk is missing")
+            n = n.to_numpy()
+            totals = np.bincount(np.repeat(np.arange(len(sizes)), sizes), n, len(sizes)).astype(np.int64)
+            if (totals != batch.column("n_tokens").to_numpy()).any():
+                raise ValueError("a recipe's chunks don't add up to its length")
+            out = crc_of_chunks(sizes, n, crc.to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return found.mapInArrow(combined, "doc_id long, start long, n_tokens long, ids_crc32 long")
