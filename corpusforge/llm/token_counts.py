@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import share, worker_codec
-from .common import arrow_rows
+from .common import arrow_rows, written
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 1024
@@ -44,8 +44,9 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     docs_at_least, tokens_at_least: documents of L tokens or more, and their tokens. total_docs, total_tokens: of all.
     truncated_tokens: tokens left if documents are cut to L. quantile: share of documents of at most L tokens.
-    An empty table gives no rows.
+    An empty table gives no rows. The histogram is read twice, so it is written first: encoding runs once.
     """
+    hist = written(hist, "length-histogram")
     blocks = hist.groupBy(F.floor(F.col("n_tokens") / BLOCK).alias("block")).agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("b_tokens"))
     # One task adds up the blocks: the longest document's tokens / BLOCK rows at most, each far smaller than that document.
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
