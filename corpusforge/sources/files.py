@@ -24,7 +24,7 @@ def suffix(path: Column) -> Column:
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative), content, suffix, version, superseded, source of every regular file below the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(folder.rstrip("/").split("://")[-1] + "/")
+    root = folder.rstrip("/").split("://")[-1] + "/"
     path = F.substring_index(F.regexp_replace("path", "^[a-z]+:/+", "/"), root, -1)
     return described(files.select(path.alias("path"), "content"), "path")
 

@@ -65,7 +65,7 @@ def test_place_blocks_after_first_marker_and_orphans_last(spark):
 
 def test_breakpoints_of_two_groups_and_of_equal_vectors(spark):
     rows = [(0, i, v) for i, v in enumerate([[1.0, 0, 0], [0.95, 0.05, 0], [0.9, 0.1, 0], [0.0, 0, 1], [0.05, 0, 0.95], [0, 0.05, 0.9]])] + [(1, i, [1.0, 1.0]) for i in range(5)]
-    df = spark.createDataFrame(rows, "g int, idx int, embedding array<double>")
+    df = spark.createDataFrame([(g, i, [float(x) for x in v]) for g, i, v in rows], "g int, idx int, embedding array<double>")
     out = chunking.breakpoints(chunking.adjacent_distances(df, "g", "idx"), "g", 80).where("is_break").collect()
     assert [(r["g"], r["idx"]) for r in out] == [(0, 2)]
 
