@@ -86,11 +86,11 @@ def plan_parse(spark, sf_dir):
     return spark.createDataFrame(rows, "row_id long, text string").select("row_id", F.array_join(T.parse_plan(F.col("text"), F.lit("whole")), "|").alias("questions"))
 
 
-@query("fanout_fanin", "SELECT conv_id AS query_id, string_agg(upper(substr(text, 1, 5)), '|' ORDER BY turn) AS answers, array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(*) = 1 AS single FROM conversations GROUP BY conv_id")
+@query("fanout_fanin", "SELECT conv_id AS query_id, string_agg(substr(text, 1, 5) || '!', '|' ORDER BY turn) AS answers, array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(*) = 1 AS single FROM conversations GROUP BY conv_id")
 def fanout_fanin(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     plans = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("s")).select("query_id", F.col("s").alias("sub_questions"))
-    answered = routing.fan_out(plans).select("query_id", "pos", F.upper(F.substring("question.text", 1, 5)).alias("answer"), F.array("question.role").alias("sources"))
+    answered = routing.fan_out(plans).select("query_id", "pos", F.concat(F.substring("question.text", 1, 5), F.lit("!")).alias("answer"), F.array("question.role").alias("sources"))
     return routing.fan_in(answered).select("query_id", F.array_join("answers", "|").alias("answers"), F.array_join("sources", ",").alias("sources"), "single")
 
 
