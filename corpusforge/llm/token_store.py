@@ -62,34 +62,25 @@ class WordEncoder:
         self.capital = re.compile(r"[A-ZÀ-ÖØ-Þ]").search
         self.runs = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+").findall
         self.marks: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = _Memo(self.word)
 
     def _packed(self, ids: list[int]) -> bytes:
         table = self.packed_id
         return b"".join([table[i] for i in ids])
 
-    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
-        out, rest, found = {}, [], {}
-        for w in words:
-            small = w.lower() if self.capital(w) else w
-            if self.plain(small):
-                out[w] = self._letters(small, found)
-            elif self.simple(small) and "<|" not in small:
-                out[w] = b"".join([self._letters(r, found) if self.plain(r) else self._mark(r) for r in self.runs(small)])
-            else:
-                rest.append(w)
-        if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                out[w] = self._packed(e.ids)
-        return found | out
-
-    def _letters(self, word: str, found: dict[str, bytes]) -> bytes:
-        ids = self.memo.get(word) or found.get(word)
-        if ids is None:
-            table = self.packed_id
-            mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
-            ids = found[word] = b"".join([table[t.id] for t in self.model.tokenize(mapped)])
-        return ids
+    def word(self, w: str) -> bytes:
+        """The packed ids of one word."""
+        small = w.lower() if self.capital(w) else w
+        if self.plain(small):
+            return self.memo[small] if small != w else self._letters(small)
+        if self.simple(small) and "<|" not in small:
+            return b"".join([self.memo[r] if self.plain(r) else self._mark(r) for r in self.runs(small)])
+        return self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids)
+
+    def _letters(self, word: str) -> bytes:
+        table = self.packed_id
+        mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
+        return b"".join([table[t.id] for t in self.model.tokenize(mapped)])
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
@@ -102,17 +93,24 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids of a text as packed bytes."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        memo = self.memo
-        parts = [memo.get(w) for w in words]
-        if None in parts:
-            new = list({w: None for w, p in zip(words, parts, strict=True) if p is None})
-            found = self._encode_new(new)
-            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            if len(memo) > MEMO:
-                memo.clear()
-                memo[""] = b""
-            memo.update((w, p) for w, p in found.items() if len(w) <= MEMO_LENGTH)
-        return b"".join(parts)
+        return b"".join(map(self.memo.__getitem__, words))
+
+
+class _Memo(dict):
+    """Packed ids by word; a word that isn't there is encoded, and remembered if it is short."""
+
+    def __init__(self, encode_word):
+        super().__init__({"": b""})
+        self.encode_word = encode_word
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode_word(word)
+        if len(self) > MEMO:
+            self.clear()
+            self[""] = b""
+        if len(word) <= MEMO_LENGTH:
+            self[word] = ids
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
