@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, byte_bpe, components, mixing, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
+from corpusforge.llm import ann, byte_bpe, components, mixing, ppm, quality_cascade, sharding, simhash, similar, token_counts, token_store, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string"
 BPE, WORD_BPE = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -116,6 +116,46 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert [r["doc_id"] for r in kept].count(3) == 1 and set(kept[0].asDict()) == set(docs.columns)
 
 
+def shingle_groups(texts, width=5):
+    """Components of all pairs with 5-word Jaccard of 0.8 or more, by brute force."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def near_copies(seed=8):
+    """Copies of a few passages with up to twelve words in 120 changed, unlike texts that share a passage, and TEXTS."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for p in range(4):
+        base = [f"w{p}x{x}" for x in rng.integers(0, 500, 120)]
+        for k in range(14):
+            own = list(base)
+            for at in rng.choice(120, k % 7 * (1 + k // 7), replace=False).tolist():
+                own[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(own))
+    shared = [f"shared{i}" for i in range(60)]
+    texts += [" ".join(shared + [f"own{k}y{i}" for i in range(10 + k)]) for k in range(20)]
+    return texts + TEXTS
+
+
+@pytest.mark.parametrize("small", [8, 1])
+def test_pipeline_near_duplicates_match_all_pairs_of_shingles(spark, monkeypatch, small):
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "SMALL", small)
+    texts = near_copies()
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, table(spark, texts), "").collect())
+    assert kept == sorted(set(shingle_groups(texts)))
+    assert corpus_pipeline.one_of_near_duplicates(spark, empty(spark), "").count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
