@@ -103,9 +103,9 @@ def coverage_audit(spark, sf_dir):
 @query("min_cover")
 def min_cover(spark, sf_dir):
     golds = w.gold(spark, sf_dir).groupBy(F.col("query_id").alias("anchor_id")).agg(F.array_sort(F.collect_set(F.col("doc_id").cast("int"))).alias("found"))
-    rows = paths(spark, sf_dir).where("anchor_id % 4 < 2").join(golds, "anchor_id", "left")
-    sets = rows.groupBy("query_id").agg(F.collect_list(F.coalesce("found", F.array().cast("array<int>"))).alias("sets"))
-    return sets.select("query_id", F.array_join(udfs.min_cover("sets"), ",").alias("cover"))
+    rows = paths(spark, sf_dir).join(golds, "anchor_id", "left")
+    sets = rows.groupBy("query_id", "path_id").agg(F.collect_list(F.coalesce("found", F.array().cast("array<int>"))).alias("sets"))
+    return sets.select("query_id", "path_id", F.array_join(udfs.min_cover("sets"), ",").alias("cover"))
 
 
 @query("quadrants", "SELECT quality, count(*) FILTER (toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY quality")

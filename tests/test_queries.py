@@ -49,3 +49,12 @@ def test_entry(spark):
 def test_streamed_rollup_equals_the_batch(spark):
     a, b = (normal(plans.QUERIES[n](spark, DATA).toPandas()) for n in ("trace_rollup", "trace_rollup_stream"))
     assert a == b
+
+
+def test_min_cover_takes_every_anchor_of_each_path(spark, tmp_path):
+    items = [(0, "aa"), (1, "bb"), (2, "cc"), (3, "dd"), (4, "ee"), (6, "zz"), (5, "ff"), (7, "gg")]
+    docs = [(10, "aa ff"), (11, "cc"), (12, "aa cc"), (13, "bb"), (14, "dd"), (15, "ee"), (16, "ff gg")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["path_id"]): r["cover"] for r in plans.QUERIES["min_cover"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): "12", (0, 1): "13,14", (1, 0): None, (1, 1): "16"}
