@@ -156,6 +156,14 @@ def test_pipeline_near_duplicates_match_all_pairs_of_shingles(spark, monkeypatch
     assert corpus_pipeline.one_of_near_duplicates(spark, empty(spark), "").count() == 0
 
 
+def test_pipeline_keeps_a_row_of_each_group_with_equal_ids(spark):
+    import corpus_pipeline
+
+    texts = ["same text here now", "same text here now", "other words entirely different", None, "same text here now", "lone null id text"]
+    kept = corpus_pipeline.one_of_near_duplicates(spark, table(spark, texts, [5, 3, 3, None, None, None]), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "lone null id text"), (3, "other words entirely different"), (3, "same text here now")]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
