@@ -37,10 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return set_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and an executor's loss costs nothing."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (a subfolder for each value of `by`) and read it back: lineage ends there and an executor's loss costs nothing."""
     path = os.path.join(shared_folder(df.sparkSession), "corpusforge", f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

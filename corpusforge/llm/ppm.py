@@ -1,370 +1,405 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-Method. The text is its tokens: each word's bytes and a delimiter, and at the end the bare delimiter (an empty word).
-The byte-context trie has the contexts
-  * the whole word so far (an order that grows to `DEPTH` bytes, cut at the word's start), then
-  * the last two bytes, the last byte, none, and at last all 256 byte values alike.
-A byte is coded in the longest context that has seen it; each context passed on the way adds its escape, and bytes that
-the longer context has seen are excluded from the shorter one (symbol exclusion, with all orders trained on the same
-words the excluded set is just the longer context's own). Shorter contexts count a word once however often it occurs
-(update exclusion). Escape estimation: a context seen n > 1 times with t bytes seen once escapes at rate
-(ESCAPE_PRIOR + ESCAPE_SINGLE * t) / (n + 0.5), ESCAPE_MOST at most; one seen once at ESCAPE_ONCE. The code is pretrained: the corpus's training rows set all counts.
-
-Since contexts end at the word's start, a text's log-probability is a sum over its words. The corpus is therefore
-gathered as a table of distinct words, which grows with the input; the trie is built and read there, grouped by the first bytes of a word;
-nothing of unbounded size is broadcast. Broadcast are the nodes of depth 3 or less (256^3 at most by construction), the
-byte triples (likewise), and the scores of the `COMMON` most frequent words. All other words meet the documents in a
-join; none of them is frequent, so no key is hot.
-
-Null texts are empty: their only token is the end. A null doc_id counts as training. Repeated rows are scored alike and
-repeated. Scores are log10.
+Model. A text is its lower-cased words, each followed by one delimiter, and a bare delimiter as the end. Every byte is
+coded after the `ORDER` = 7 bytes before it, across word boundaries (before the text stand delimiters). The byte-context
+trie has all contexts of 7 bytes and less. A byte is coded in the longest context that training has seen; a context that
+has not seen the byte adds its escape and passes on to the context one byte shorter, where all that it has seen itself
+is excluded (symbol exclusion). Below the empty context all byte values left are alike. Counts: occurrences at order 7
+and at orders 2, 1 and 0; at 6 to 3 the distinct longer contexts (update exclusion). Escape estimation: with n counts
+left of which t are of symbols counted once, (ESCAPE_PRIOR + ESCAPE_SINGLE * t) / (n + ESCAPE_SHIFT), ESCAPE_MOST at
+most; at n = 1 ESCAPE_ONCE; 0 where all 256 values were seen. The model is pretrained: training rows set all counts,
+and a text's score is its log10 probability.
+
+Distribution. A context with its byte is an 8-byte gram, one unsigned number: latest byte first, coded byte last. Texts
+are packed into blocks of about `BLOCK` bytes, and a block sends each distinct gram once, sorted and delta-coded, to a
+shard chosen by the last three context bytes. Contexts of three bytes and more lie whole in one shard, which merges the
+counts of all blocks, scores each block's grams and sends the scores back in the block's own order; the block adds them
+up along its texts. Words travel the same way for the base score. So what moves is one row for a block and shard, at most a
+gram each (never more rows than distinct grams of blocks), a passage that a third of all rows share is a few grams a
+block, and no word or document is a key. Broadcast are only the order 2 counts: 2^24 of 12 bytes at most by construction.
+
+Null texts are empty: their only token is the end. A null doc_id counts as training. Repeated rows are rows of their
+own, scored alike. Texts longer than a block go in segments cut after a word; their sums are added. An empty table gives
+no rows, and without training rows all byte values are alike.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, held_out, utf8, written
 
-#: Bytes of a word that may serve as context, and bytes by which words are grouped (nodes up to there are shared).
-DEPTH, SHALLOW = 24, 3
-#: Escape estimation; fitted to how often held-out words left contexts of each kind.
-ESCAPE_PRIOR, ESCAPE_SINGLE, ESCAPE_ONCE, ESCAPE_MOST = 0.3, 0.5, 0.17, 0.33
-#: Most frequent words whose scores every task holds.
-COMMON = 150_000
-#: Distinct words that a counting task holds before it hands counts on.
-HELD = 400_000
+#: Bytes of context; with the coded byte, a gram fills an unsigned 64-bit number. Orders up to LOW are shared by all shards.
+ORDER, LOW = 7, 2
+#: Escape estimation, fitted to held-out rows.
+ESCAPE_PRIOR, ESCAPE_SINGLE, ESCAPE_SHIFT, ESCAPE_ONCE, ESCAPE_MOST = 0.3, 0.8, 0.5, 0.3, 0.7
+#: Bytes of text in a block, and for each shard.
+BLOCK, SHARD = 8 << 20, 8 << 20
 DELIMITER = b" "
 
+_SCHEMA = "kind string, block long, shard int, payload binary, counts binary, sizes binary"
+_COLUMNS = (("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()))
 
-def word_counts(docs: DataFrame, modulus: int = 7) -> DataFrame:
-    """word (binary; empty: the end), c: its count in training rows; words of held-out rows alone have 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter = Counter()
-        other: set[bytes] = set()
+def _packed(x: np.ndarray) -> bytes:
+    """A number array, its bytes transposed and compressed."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-        def out() -> pa.RecordBatch:
-            words = [*train, *(w for w in other if w not in train)]
-            counts = [train.get(w, 0) for w in words]
-            train.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
 
-        for batch in arrow_rows(batches, 256):
-            for text, held in zip(utf8(batch.column("text")), batch.column("held_out").to_pylist(), strict=True):
-                words = text.lower().split()
-                words.append(b"")
-                (other if held else train).update(words)
-            if len(train) + len(other) > HELD:
-                yield out()
-        yield out()
-
-    slim = docs.select(F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), modulus).alias("held_out"))
-    return slim.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _escape(n: int, singles: int) -> float:
-    """Rate at which a context of n occurrences, `singles` of its bytes seen once, leaves for a shorter one."""
-    if n == 1:
-        return ESCAPE_ONCE
-    return min(ESCAPE_MOST, (ESCAPE_PRIOR + ESCAPE_SINGLE * singles) / (n + 0.5))
-
-
-class ShortOrders:
-    """Orders 2, 1, 0 and -1 from byte triples counted over distinct words (each word once)."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        """codes: byte before the last * 65536 + last byte * 256 + next byte."""
-        self.tables = []
-        for width in (3, 2, 1):
-            table, back = np.unique(codes % (256**width), return_inverse=True)
-            self.tables.append((table, np.bincount(back, counts, len(table)).astype(np.int64) if len(table) else np.zeros(0, np.int64)))
-        self.memo: dict[tuple[int, int], list[tuple[dict[int, int], int, int]]] = {}
-        self.open_memo: dict[tuple[int, int], float] = {}
-
-    def _levels(self, before: int, last: int) -> list[tuple[dict[int, int], int, int]]:
-        """(symbol counts, sum, singles) of the contexts of two, one and no bytes."""
-        key = (before, last)
-        if key not in self.memo:
-            out = []
-            for (codes, counts), context, width in zip(self.tables, (before << 8 | last, last, 0), (3, 2, 1), strict=True):
-                a, b = np.searchsorted(codes, [context << 8, context + 1 << 8]) if width > 1 else (0, len(codes))
-                seen = dict(zip((codes[a:b] & 0xFF).tolist(), counts[a:b].tolist(), strict=True))
-                out.append((seen, sum(seen.values()), sum(v == 1 for v in seen.values())))
-            self.memo[key] = out
-        return self.memo[key]
-
-    def log10(self, before: int, last: int, symbol: int, excluded: frozenset[int] | set[int] = frozenset()) -> float:
-        """log10 probability of a byte after two bytes, given those that a longer context has ruled out."""
-        if not excluded and (found := self.open_memo.get((before << 8 | last, symbol))) is not None:
-            return found
-        logs, out = 0.0, excluded
-        for seen, total, singles in self._levels(before, last):
-            left, left_singles = total, singles
-            for s in out:
-                if s in seen:
-                    left -= seen[s]
-                    left_singles -= seen[s] == 1
-            if left <= 0:
-                continue
-            # If every byte value is taken here or before, there is nothing to escape to.
-            escape = 0.0 if len(out | seen.keys()) >= 256 else _escape(left, left_singles)
-            if symbol in seen and symbol not in out:
-                logs += math.log10((1 - escape) * seen[symbol] / left)
-                break
-            logs += math.log10(escape)
-            out = out | seen.keys()
-        else:
-            logs -= math.log10(256 - len(out))
-        if not excluded:
-            self.open_memo[(before << 8 | last, symbol)] = logs
-        return logs
-
-
-def _nodes_of(words: list[bytes], counts: list[int], least: int, most: int) -> dict[bytes, int]:
-    """Occurrences of each prefix (of word and delimiter) with `least` to `most` bytes."""
-    nodes: dict[bytes, int] = {}
-    get = nodes.get
-    for w, c in zip(words, counts, strict=True):
-        if c:
-            w += DELIMITER
-            for i in range(least, min(len(w), most) + 1):
-                p = w[:i]
-                nodes[p] = get(p, 0) + c
-    return nodes
-
-
-def _statistics(nodes: dict[bytes, int]) -> dict[bytes, int]:
-    """Bytes seen once after each node."""
-    singles: dict[bytes, int] = {}
-    for p, n in nodes.items():
-        if n == 1 and p:
-            parent = p[:-1]
-            singles[parent] = singles.get(parent, 0) + 1
-    return singles
-
-
-def _symbols(nodes: dict[bytes, int], parents: set[bytes]) -> dict[bytes, set[int]]:
-    out: dict[bytes, set[int]] = {p: set() for p in parents}
-    for p in nodes:
-        if (seen := out.get(p[:-1])) is not None and p:
-            seen.add(p[-1])
-    return out
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    item = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(item, -1).T).reshape(-1).view(kind)
 
 
-class Trie:
-    """Scores words that share their first `SHALLOW` bytes, given the nodes above and the short orders."""
-
-    def __init__(self, shallow: dict[bytes, int], short: ShortOrders):
-        self.shallow, self.short = shallow, short
-        self.shallow_singles = _statistics(shallow)
-        self.shallow_symbols: dict[bytes, set[int]] = {}
-        for p in shallow:
-            if p:
-                self.shallow_symbols.setdefault(p[:-1], set()).add(p[-1])
-        self.starts = {p: self._path(p) for p in shallow}
-
-    def _step(self, parent: int, child: int, singles: int, full: bool = False) -> float:
-        escape = 0.0 if full else _escape(parent, singles)
-        return math.log10((1 - escape) * child / parent)
-
-    def _path(self, p: bytes) -> float:
-        """log10 probability of reaching a shallow node from the root."""
-        return sum(self._step(self.shallow[p[:i]], self.shallow[p[: i + 1]], self.shallow_singles.get(p[:i], 0), len(self.shallow_symbols[p[:i]]) >= 256) for i in range(len(p)))
-
-    def _short_tail(self, spelled: bytes, at: int) -> float:
-        """The bytes from `at` on by the short orders alone. The bytes before the word are delimiters."""
-        padded, log10 = DELIMITER * 2 + spelled, self.short.log10
-        return sum([log10(padded[i], padded[i + 1], padded[i + 2]) for i in range(at, len(spelled))])
-
-    def _leave(self, spelled: bytes, at: int, n: int, singles: int, seen: set[int]) -> float:
-        """Byte `at` escapes from a node that has seen others, then the rest by the short orders."""
-        padded = DELIMITER * 2 + spelled
-        escape = math.log10(_escape(n, singles)) + self.short.log10(padded[at], padded[at + 1], padded[at + 2], seen)
-        return escape + self._short_tail(spelled, at + 1)
-
-    def scores(self, words: list[bytes], counts: list[int]) -> list[float]:
-        """log10 probability of each word with its delimiter. All words with the same first bytes are given together."""
-        nodes = _nodes_of(words, counts, SHALLOW, DEPTH)
-        singles = _statistics({p: n for p, n in nodes.items() if len(p) > SHALLOW})
-        memo: dict[bytes, float] = {}
-        out: list[float | None] = []
-        leaving: list[tuple[int, bytes, bytes]] = []
-        for index, w in enumerate(words):
-            w += DELIMITER
-            top = min(SHALLOW, len(w))
-            if (logs := self.starts.get(w[:top])) is None:
-                out.append(self._from_shallow(w))
-                continue
-            last = min(len(w), DEPTH)
-            at = last
-            while at > top and w[:at] not in nodes:
-                at -= 1
-            logs = self._deep(w[:at], nodes, singles, memo) if at > top else logs
-            if at == len(w):
-                out.append(logs)
-            elif at == DEPTH:  # deeper contexts aren't kept
-                out.append(logs + self._short_tail(w, at))
-            else:
-                leaving.append((index, w, w[:at]))
-                out.append(logs)
-        seen = _symbols(nodes, {p for _, _, p in leaving})
-        for index, w, p in leaving:
-            n = nodes[p] if p in nodes else self.shallow[p]
-            out[index] += self._leave(w, len(p), n, singles.get(p, 0), seen[p])
-        return out
-
-    def _deep(self, p: bytes, nodes: dict[bytes, int], singles: dict[bytes, int], memo: dict[bytes, float]) -> float:
-        """log10 probability of reaching a deep node; shared paths are worked out once."""
-        todo = []
-        while len(p) > SHALLOW and p not in memo:
-            todo.append(p)
-            p = p[:-1]
-        logs = memo[p] if p in memo else self.starts[p]
-        for p in reversed(todo):
-            parent = p[:-1]
-            logs += self._step(nodes[parent], nodes[p], singles.get(parent, 0))
-            memo[p] = logs
-        return logs
-
-    def _from_shallow(self, w: bytes) -> float:
-        """A word whose first bytes no training word has."""
-        at = min(SHALLOW, len(w))
-        while w[:at] not in self.shallow:
-            if at == 0:
-                return self._short_tail(w, 0)  # nothing was trained
-            at -= 1
-        p = w[:at]
-        return self.starts[p] + self._leave(w, at, self.shallow[p], self.shallow_singles.get(p, 0), self.shallow_symbols.get(p, set()))
-
-
-_tries: dict[str, Trie] = {}
-
-
-def _worker_trie(value: tuple[str, dict[bytes, int], ShortOrders]) -> Trie:
-    """The trie of a broadcast, made once a worker."""
-    if value[0] not in _tries:
-        _tries.clear()
-        _tries[value[0]] = Trie(*value[1:])
-    return _tries[value[0]]
-
-
-def _tables(words: DataFrame) -> tuple[dict[bytes, int], ShortOrders]:
-    """Nodes of depth SHALLOW or less and the byte triples; 256^3 of each at most, whatever the corpus."""
+def _rising(x: np.ndarray) -> bytes:
+    """A sorted array of unsigned numbers, as its steps."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: Counter = Counter()
-        triples: Counter = Counter()
-        for batch in arrow_rows(batches, 20_000):
-            spelled, counts = batch.column("word").to_pylist(), batch.column("c").to_pylist()
-            for p, n in _nodes_of(spelled, counts, 0, SHALLOW).items():
-                nodes[p] += n
-            joined = b"".join([b"  " + w + DELIMITER for w, c in zip(spelled, counts, strict=True) if c])
-            x = np.frombuffer(joined, np.uint8).astype(np.int64)
-            if len(x) > 2:
-                codes, n = np.unique(x[:-2] << 16 | x[1:-1] << 8 | x[2:], return_counts=True)
-                # Triples that end in the two delimiters before the next word belong to no word.
-                ok = (codes & 0xFFFF) != 0x2020
-                for c, k in zip(codes[ok].tolist(), n[ok].tolist(), strict=True):
-                    triples[c] += k
-                ends = sum(1 for w, c in zip(spelled, counts, strict=True) if c and not w)
-                if ends:
-                    triples[0x202020] += ends
-        keys = [*nodes, *(c.to_bytes(3) + b"triple" for c in triples)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*nodes.values(), *triples.values()], pa.int64())], names=["k", "n"])
-
-    rows = words.mapInArrow(run, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    shallow, codes, counts = {}, [], []
-    for k, n in zip(rows["k"], rows["n"], strict=True):
-        if len(k) > SHALLOW:
-            codes.append(int.from_bytes(k[:3]))
-            counts.append(n)
-        else:
-            shallow[k] = n
-    at = np.argsort(np.array(codes, np.int64))
-    return shallow, ShortOrders(np.array(codes, np.int64)[at], np.array(counts, np.int64)[at])
 
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
-def word_scores(words: DataFrame) -> DataFrame:
-    """word, c, lp: log10 probability of each word and its delimiter."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *_tables(words)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, held, words, counts = _worker_trie(shared.value), None, [], []
+def segments_of(text: bytes, size: int) -> Iterator[tuple[bytes, int, bool]]:
+    """(bytes with ORDER bytes of context before them, words, whether the text ends here) of a text, about `size` bytes each."""
+    words = text.lower().split()  # bytes.lower() changes A-Z alone
+    before, at = DELIMITER * ORDER, 0
+    while True:
+        begin, length = at, 0
+        while at < len(words) and length < size:
+            length += len(words[at]) + 1
+            at += 1
+        own = b"".join([w + DELIMITER for w in words[begin:at]])
+        last = at == len(words)
+        if last:
+            own += DELIMITER
+        yield before + own, at - begin, last
+        if last:
+            return
+        before = (before + own)[-ORDER:]
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(trie.scores(words, counts), pa.float64())], names=["word", "c", "lp"])
 
-        for batch in batches:
-            for p, w, c in zip(*[batch.column(k).to_pylist() for k in ("prefix", "word", "c")], strict=True):
-                if p != held and len(words) > 20_000:  # whole groups, many at a time
-                    yield out()
-                    words, counts = [], []
-                held = p
-                words.append(w)
-                counts.append(c)
-        if words:
-            yield out()
+def grams_of(segments: list[bytes]) -> np.ndarray:
+    """The gram of every byte of the segments but for the context before each."""
+    x = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
+    if len(x) <= ORDER:
+        return np.zeros(0, np.uint64)
+    codes = x[ORDER:].copy()
+    for k in range(1, ORDER + 1):
+        codes |= x[ORDER - k : len(x) - k] << np.uint64(8 * (ORDER + 1 - k))
+    inside = np.ones(len(x), bool)
+    starts = np.cumsum([0, *map(len, segments[:-1])])
+    for k in range(ORDER):
+        inside[starts + k] = False
+    return codes[inside[ORDER:]]
 
-    grouped = words.select(F.substring(F.concat("word", F.lit(DELIMITER)), 1, SHALLOW).alias("prefix"), "word", "c")
-    return grouped.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "word binary, c long, lp double")
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x))).astype(np.int64)
+
+
+def shard_of_grams(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the last three context bytes, spread by a multiplicative hash."""
+    return (((grams >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+
+
+def _by_shard(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the grams by shard (sorted inside), the shards met, and where each begins (with the end)."""
+    shard = shard_of_grams(grams, shards)
+    order = np.argsort(shard, kind="stable")
+    met, first = np.unique(shard[order], return_index=True)
+    return order, met, np.append(first, len(grams))
 
-def score(docs: DataFrame, modulus: int = 7) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
-    words = written(word_counts(docs, modulus), "ppm-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    n_train, base_total = total[0], math.log10(total[0] + total[1] + 1)
-    scored = written(word_scores(words), "ppm-scores")
-    # A fixed number of rows, whatever the corpus.
-    common = scored.where("c > 0").orderBy(F.col("c").desc(), "word").limit(COMMON).toArrow()
-    known = {w: (c, lp) for w, c, lp in zip(common["word"].to_pylist(), common["c"].to_pylist(), common["lp"].to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast(({w: math.log10(c + 1) for w, (c, _) in known.items()}, {w: lp for w, (_, lp) in known.items()}))
-    del common, known
+
+def _words_by_shard(segments: list[bytes], shards: int) -> dict[int, list[bytes]]:
+    """Distinct words of the segments, each shard's in order of first appearance; the end is the empty word."""
+    out: dict[int, list[bytes]] = {}
+    for word in dict.fromkeys(w for s in segments for w in s[ORDER:].split()):
+        out.setdefault(zlib.crc32(word) % shards, []).append(word)
+    out.setdefault(zlib.crc32(b"") % shards, []).append(b"")
+    return out
+
+
+def blocks(docs: DataFrame, shards: int, modulus: int = 7, size: int = BLOCK) -> DataFrame:
+    """The rows that blocks of docs send: their texts, grams and words by shard, and counts of order LOW."""
+
+    def rows_of(block: int, segments: list[bytes], about: list[tuple]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        train = [s for s, a in zip(segments, about, strict=True) if not a[2]]
+        lengths = np.array([len(s) for s in segments], "<i8")
+        known = np.array([a[1] is not None for a in about], "<i8")
+        sizes = np.concatenate([[a[0] for a in about], [a[1] or 0 for a in about], known, [a[2] for a in about], lengths, [a[3] for a in about], [a[4] for a in about]]).astype("<i8")
+        text = b"".join(segments)
+        out.append(("text", block, None, pa.compress(text, codec="zstd", asbytes=True), None, sizes.tobytes()))
+        grams, _ = _distinct(grams_of(segments))
+        seen, times = _distinct(grams_of(train))
+        counts = np.zeros(len(grams), np.uint64)
+        counts[np.searchsorted(grams, seen)] = times
+        order, met, begin = _by_shard(grams, shards)
+        for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            own = order[a:b]
+            out.append(("gram", block, shard, _rising(grams[own]), _packed(counts[own]), None))
+        if len(seen):
+            low, back = np.unique(_shorter(seen, LOW), return_inverse=True)
+            out.append(("low", block, None, _rising(low), _packed(np.bincount(back, times).astype(np.uint64)), None))
+        # Whole tokens: words, and the end where a text ends.
+        tokens = Counter(w for s in train for w in s[ORDER:].split())
+        tokens[b""] = sum(a[4] for a in about if not a[2])
+        for shard, words in _words_by_shard(segments, shards).items():
+            out.append(("word", block, shard, pa.compress(b"\n".join(words), codec="zstd", asbytes=True), _packed(np.array([tokens[w] for w in words], np.uint64)), np.array([sum(map(len, words)) + len(words) - 1, len(words)], "<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(_COLUMNS)], names=[c for c, _ in _COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        base_of, score_of = shared.value
-        get = base_of.get
-        names = ("doc_id", "text_hash", "word", "tf", "copies", "n_tokens", "n_known", "base", "lp")
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        for batch in arrow_rows(batches, 128):
-            rows: tuple[list, ...] = tuple([] for _ in names)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                words = text.lower().split()
-                words.append(b"")
-                logs = [get(w) for w in words]
-                rest = Counter([w for w, x in zip(words, logs, strict=True) if x is None]) if None in logs else {}
-                found = [w for w in words if w not in rest] if rest else words
-                sums = (1, len(words), len(found), math.fsum([x for x in logs if x is not None]), math.fsum([score_of[w] for w in found]))
-                # The sums of the common words travel with a rare word, or with the first word if there is none.
-                for i, (w, tf) in enumerate(rest.items() if rest else [(words[0], 0)]):
-                    for column, value in zip(rows, (doc_id, xxhash.xxh64_intdigest(text) - (1 << 63), w, tf, *(sums if i == 0 else (0, 0, 0, 0.0, 0.0))), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=list(names))
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = slim.mapInArrow(run, "doc_id long, text_hash long, word binary, tf long, copies long, n_tokens long, n_known long, base double, lp double")
-    met = parts.join(scored.select("word", "c", F.col("lp").alias("word_lp")), "word", "left")
-    sums = met.groupBy("doc_id", "text_hash").agg(
-        F.sum("copies").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("tf") > 0, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("base"),
-        F.sum(F.col("lp") + F.when(F.col("tf") > 0, F.col("tf") * F.col("word_lp")).otherwise(0.0)).alias("lp"),
-    )
-    one = lambda c: F.col(c) / F.col("copies")  # noqa: E731  repeated rows were added up
-    out = sums.select("doc_id", one("n_tokens").cast("long").alias("n_tokens"), one("n_known").cast("long").alias("n_known"), one("base").alias("base"), one("lp").alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return out.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * base_total).alias("base_score"), "score")
+        first = TaskContext.get().partitionId() << 32
+        block = row = first
+        segments: list[bytes] = []
+        about: list[tuple] = []
+        held_bytes = 0
+        for batch in arrow_rows(batches, 256):
+            for doc_id, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), utf8(batch.column("text")), strict=True):
+                for segment, n_words, last in segments_of(text, size):
+                    segments.append(segment)
+                    about.append((row, doc_id, int(held), n_words, int(last)))
+                    held_bytes += len(segment)
+                    if held_bytes >= size:
+                        yield rows_of(block, segments, about)
+                        block, segments, about, held_bytes = block + 1, [], [], 0
+                row += 1
+        if segments:
+            yield rows_of(block, segments, about)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), modulus).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, _SCHEMA)
+
+
+def _shorter(grams: np.ndarray, order: int) -> np.ndarray:
+    """Context and coded byte of a gram with the context cut to its last `order` bytes."""
+    return ((grams >> np.uint64(8 * (ORDER + 1 - order))) << np.uint64(8)) | (grams & np.uint64(255)) if order else grams & np.uint64(255)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+@dataclass
+class Level:
+    """All contexts of one order: codes (context, byte) with counts; contexts with their sums, symbols and symbols counted once."""
+
+    codes: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    of: np.ndarray
+    n: np.ndarray
+    symbols: np.ndarray
+    once: np.ndarray
+    #: What stays of the context one byte shorter when this context's symbols are excluded there: counts, and those counted once.
+    left: np.ndarray | None = None
+    left_once: np.ndarray | None = None
+
+
+def level_of(codes: np.ndarray, counts: np.ndarray) -> Level:
+    context = codes >> np.uint64(8)
+    new = np.concatenate([np.ones(min(1, len(codes)), bool), context[1:] != context[:-1]])
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    width = len(first)
+    summed = lambda x: np.bincount(of, x, width).astype(np.int64)
+    return Level(codes, counts, context[first], of, summed(counts), summed(np.ones(len(codes))), summed(counts == 1))
+
+
+def levels_of(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> list[Level]:
+    """Levels 0 to ORDER, from a shard's training grams (sorted) and the shared counts of order LOW."""
+    levels: list[Level | None] = [None] * (ORDER + 1)
+    levels[ORDER] = level_of(grams, counts)
+    for k in range(ORDER - 1, LOW, -1):
+        above = levels[k + 1].codes
+        codes, times = np.unique(((above >> np.uint64(16)) << np.uint64(8)) | (above & np.uint64(255)), return_counts=True)
+        levels[k] = level_of(codes, times.astype(np.int64))
+    codes, counts = low
+    levels[LOW] = level_of(codes, counts)
+    for k in range(LOW - 1, -1, -1):
+        codes, back = np.unique(((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255)), return_inverse=True)
+        counts = np.bincount(back, counts, len(codes)).astype(np.int64)
+        levels[k] = level_of(codes, counts)
+    for k in range(1, ORDER + 1):
+        here, below = levels[k], levels[k - 1]
+        at, _ = _find(below.codes, ((here.codes >> np.uint64(16)) << np.uint64(8)) | (here.codes & np.uint64(255)))
+        shared = below.counts[at] if len(below.counts) else np.zeros(len(at), np.int64)
+        parent, _ = _find(below.contexts, here.contexts >> np.uint64(8))
+        width = len(here.contexts)
+        if width:
+            here.left = below.n[parent] - np.bincount(here.of, shared, width).astype(np.int64)
+            here.left_once = below.once[parent] - np.bincount(here.of, shared == 1, width).astype(np.int64)
+        else:
+            here.left = here.left_once = np.zeros(0, np.int64)
+    return levels
+
+
+def escape(n: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Rate at which contexts with n counts left, `once` of them of symbols counted once, pass on to a shorter one."""
+    return np.where(n == 1, ESCAPE_ONCE, np.minimum(ESCAPE_MOST, (ESCAPE_PRIOR + ESCAPE_SINGLE * once) / (n + ESCAPE_SHIFT)))
+
+
+def log10_of(levels: list[Level], grams: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's last byte after its context."""
+    out, coded = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    above, above_seen = np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+    for k in range(ORDER, -1, -1):
+        level = levels[k]
+        codes = _shorter(grams, k)
+        at, seen = _find(level.contexts, codes >> np.uint64(8))
+        if not len(level.contexts):
+            continue
+        place, hit = _find(level.codes, codes)
+        n, once = level.n[at], level.once[at]
+        if k < ORDER:
+            longer = levels[k + 1]
+            if len(longer.contexts):
+                n = np.where(above_seen, longer.left[above], n)
+                once = np.where(above_seen, longer.left_once[above], once)
+        active = ~coded & seen & (n > 0)
+        n = np.maximum(n, 1)
+        leaves = np.where(level.symbols[at] >= 256, 0.0, escape(n, once))
+        won, lost = active & hit, active & ~hit
+        out[won] += np.log10((1 - leaves[won]) * level.counts[place[won]] / n[won])
+        out[lost] += np.log10(leaves[lost])
+        coded |= won
+        above, above_seen = at, seen
+    known = int(levels[0].symbols[0]) if len(levels[0].contexts) else 0
+    out[~coded] -= math.log10(max(1, 256 - known))
+    return out
+
+
+def _low_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of order LOW over all training rows; 2^24 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(batch.column("payload").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_risen(codes).astype(np.int32)), pa.array(_unpacked(counts, "<u8").astype(np.int64))], names=["code", "n"])
+
+    rows = table.where("kind = 'low'").select("payload", "counts").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(code)
+    return code[order].astype(np.uint64), n[order].astype(np.int64)
+
+
+def _gram_answers(table: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """For each block and shard the log10 probabilities of the block's grams, in its order."""
+    shared = table.sparkSession.sparkContext.broadcast(low)  # 2^24 codes and counts at most
+
+    def run(shard: pa.Table) -> pa.Table:
+        own, counts = [], []
+        for payload, count in zip(shard["payload"].to_pylist(), shard["counts"].to_pylist(), strict=True):
+            own.append(_risen(payload))
+            counts.append(_unpacked(count, "<u8").astype(np.int64))
+        grams, times = np.concatenate(own), np.concatenate(counts)
+        order = np.argsort(grams)
+        grams, times = grams[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        grams, times = grams[first], np.add.reduceat(times, first)
+        trained = times > 0
+        scores = log10_of(levels_of(grams[trained], times[trained], shared.value), grams).astype("<f4")
+        answers = [_packed(scores[np.searchsorted(grams, g)]) for g in own]
+        return pa.table([pa.array(["gram"] * len(own), pa.string()), shard["block"], shard["shard"], pa.array(answers, pa.binary()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary())], names=[c for c, _ in _COLUMNS])
+
+    return table.where("kind = 'gram'").select("block", "shard", "payload", "counts").groupBy("shard").applyInArrow(run, _SCHEMA)
+
+
+def _word_answers(table: DataFrame) -> DataFrame:
+    """For each block and shard the training counts of the block's words; a row of kind `size` with tokens and distinct words a shard."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        rows = []
+        total: Counter = Counter()
+        for payload, count, sizes in zip(shard["payload"].to_pylist(), shard["counts"].to_pylist(), shard["sizes"].to_pylist(), strict=True):
+            words = pa.decompress(payload, int(np.frombuffer(sizes, "<i8")[0]), codec="zstd", asbytes=True).split(b"\n")
+            rows.append(words)
+            for w, c in zip(words, _unpacked(count, "<u8").tolist(), strict=True):
+                total[w] += c
+        answers = [_packed(np.array([total[w] for w in words], np.uint64)) for words in rows]
+        counted = np.array([sum(total.values()), sum(c > 0 for c in total.values())], "<i8").tobytes()
+        kinds, blocks_, payloads = ["word"] * len(rows) + ["size"], [*shard["block"].to_pylist(), None], [*answers, None]
+        sizes = [None] * len(rows) + [counted]
+        return pa.table([pa.array(kinds, pa.string()), pa.array(blocks_, pa.int64()), pa.array([shard["shard"][0].as_py()] * len(kinds), pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(len(kinds), pa.binary()), pa.array(sizes, pa.binary())], names=[c for c, _ in _COLUMNS])
+
+    return table.where("kind = 'word'").select("block", "shard", "payload", "counts", "sizes").groupBy("shard").applyInArrow(run, _SCHEMA)
+
+
+def _sums(shards: int):
+    """Function of a block's rows (its texts and all answers): sums of each segment."""
+    names = ("row", "doc_id", "n_tokens", "n_known", "base", "lp")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        answers = {(r["kind"], r["shard"]): r["payload"] for r in rows if r["kind"] != "text"}
+        [text] = [r for r in rows if r["kind"] == "text"]
+        row, doc_id, known, _, lengths, n_words, ends = np.frombuffer(text["sizes"], "<i8").reshape(7, -1)
+        whole = pa.decompress(text["payload"], int(lengths.sum()), codec="zstd", asbytes=True)
+        stops = np.cumsum(lengths).tolist()
+        segments = [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        codes = grams_of(segments)
+        order = np.argsort(codes)
+        ordered = codes[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        grams = ordered[new]
+        scores = np.empty(len(grams))
+        by_shard, met, begin = _by_shard(grams, shards)
+        for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            scores[by_shard[a:b]] = _unpacked(answers["gram", shard], "<f4")
+        along = np.empty(len(codes))
+        along[order] = scores[np.cumsum(new) - 1]
+        begins = np.cumsum(lengths - ORDER) - (lengths - ORDER)
+        lp = np.add.reduceat(along, begins)
+        logs: dict[bytes, float] = {}
+        for shard, words in _words_by_shard(segments, shards).items():
+            logs.update(zip(words, np.log10(_unpacked(answers["word", shard], "<u8") + 1.0).tolist(), strict=True))
+        found, base = [], []
+        for segment, end in zip(segments, ends.tolist(), strict=True):
+            own = [logs[w] for w in segment[ORDER:].split()]
+            if end:
+                own.append(logs[b""])
+            found.append(len(own) - own.count(0.0))
+            base.append(math.fsum(own))
+        ids = pa.array([i if k else None for i, k in zip(doc_id.tolist(), known.tolist(), strict=True)], pa.int64())
+        columns = [row, ids, n_words + ends, found, base, lp]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+    return run
+
+
+def score(docs: DataFrame, modulus: int = 7, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    shards = int(size // shard) + 1
+    sent = written(blocks(docs, shards, modulus, block), "ppm-blocks", by="kind")
+    words = written(_word_answers(sent), "ppm-words")
+    counted = [np.frombuffer(r[0], "<i8") for r in words.where("kind = 'size'").select("sizes").toLocalIterator()]  # a row a shard
+    n_train, distinct = (int(sum(c[i] for c in counted)) for i in (0, 1))
+    base_total = math.log10(n_train + distinct + 1)
+    answers = _gram_answers(sent, _low_counts(sent)).unionByName(words.where("kind = 'word'"))
+    texts = sent.where("kind = 'text'")
+    per_segment = texts.unionByName(answers).groupBy("block").applyInArrow(_sums(shards), "row long, doc_id long, n_tokens long, n_known long, base double, lp double")
+    out = per_segment.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")])
+    base = F.col("base") - F.col("n_tokens") * base_total
+    return out.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("lp").alias("score"))

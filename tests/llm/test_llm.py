@@ -403,45 +403,80 @@ def test_ppm_base_scores_and_counts(spark):
     assert all(-10**6 < r["score"] < 0 for r in rows) and ppm.score(empty(spark)).count() == 0
 
 
-def test_ppm_is_a_distribution_and_common_words_agree(spark, monkeypatch):
-    words = [b"the", b"then", b"there", b"bob", b"b", b"", b"\xc3\xa9t\xc3\xa9"]
-    counts = [50, 7, 1, 2, 1, 9, 1]
-    shallow = ppm._nodes_of(words, counts, 0, ppm.SHALLOW)
-    joined = Counter()
-    for w in words:
-        s = b"  " + w + b" "
-        joined.update(int.from_bytes(s[i : i + 3]) for i in range(len(s) - 2))
-    codes = np.array(sorted(joined), np.int64)
-    short = ppm.ShortOrders(codes, np.array([joined[c] for c in codes.tolist()], np.int64))
-    for before, last in ((32, 32), (32, ord("t")), (ord("h"), ord("e")), (1, 2)):
-        for out in (frozenset(), frozenset({ord("e"), ord("r")})):
-            assert abs(sum(10 ** short.log10(before, last, s, out) for s in range(256) if s not in out) - 1) < 1e-9
-    trie = ppm.Trie(shallow, short)
-    # After "the" any byte may follow: all one-byte continuations (and the end) of the word's spelling sum to the prefix's own.
-    group = [w for w in words if w.startswith(b"the")]
-    n = [counts[words.index(w)] for w in group]
-    assert all(-20 < x < 0 for x in trie.scores(group, n))
-    assert trie.scores(group, n)[0] > trie.scores(group, n)[2]
-    docs = table(spark, [f"the cat sat {i % 4}" for i in range(40)])
-    whole = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
-    monkeypatch.setattr(ppm, "COMMON", 1)
-    again = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
-    assert whole.keys() == again.keys() and all(abs(whole[k] - again[k]) < 1e-9 for k in whole)
-
-
-def test_ppm_next_byte_sums_to_one():
-    words, counts = [b"aab", b"aac", b"aad", b"aa"], [5, 1, 1, 2]
-    shallow = ppm._nodes_of(words, counts, 0, ppm.SHALLOW)
-    joined = Counter()
-    for w in words:
-        s = b"  " + w + b" "
-        joined.update(int.from_bytes(s[i : i + 3]) for i in range(len(s) - 2))
-    codes = np.array(sorted(joined), np.int64)
-    trie = ppm.Trie(shallow, ppm.ShortOrders(codes, np.array([joined[c] for c in codes.tolist()], np.int64)))
-    at = trie.starts[b"aa"]
-    seen = [10 ** (trie.starts[p] - at) for p in shallow if len(p) == 3 and p[:2] == b"aa"]
-    left = [10 ** trie._leave(b"aa" + bytes([s]), 2, shallow[b"aa"], trie.shallow_singles.get(b"aa", 0), trie.shallow_symbols[b"aa"]) for s in range(256) if s not in trie.shallow_symbols[b"aa"]]
-    assert abs(sum(seen) + sum(left) - 1) < 1e-9
+def brute_ppm(texts, held):
+    """Code lengths by a trie of dictionaries, one byte at a time, as the model's definition says."""
+    def stream(t):
+        return b" " * 7 + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b" "
+
+    whole = Counter()
+    for t, h in zip(texts, held, strict=True):
+        s = stream(t)
+        if not h:
+            whole.update(s[i - 7 : i + 1] for i in range(7, len(s)))
+    trie = {7: defaultdict(Counter)}
+    for g, c in whole.items():
+        trie[7][g[:7]][g[7]] = c
+    for k in range(6, -1, -1):
+        trie[k] = defaultdict(Counter)
+        if k > 2:
+            for context, seen in trie[k + 1].items():
+                for s in seen:
+                    trie[k][context[1:]][s] += 1
+        else:
+            for g, c in whole.items():
+                trie[k][g[7 - k : 7]][g[7]] += c
+
+    def lp(context, symbol):
+        logs, out = 0.0, set()
+        for k in range(7, -1, -1):
+            seen = trie[k].get(context[7 - k :], {})
+            left = {s: c for s, c in seen.items() if s not in out}
+            if left:
+                n, once = sum(left.values()), sum(c == 1 for c in left.values())
+                e = 0.0 if len(seen) >= 256 else 0.3 if n == 1 else min(0.7, (0.3 + 0.8 * once) / (n + 0.5))
+                if symbol in left:
+                    return logs + math.log10((1 - e) * left[symbol] / n)
+                logs += math.log10(e)
+            out |= seen.keys()
+        return logs - math.log10(256 - len(out))
+
+    scores = [sum(lp(s[i - 7 : i], s[i]) for i in range(7, len(s))) for s in map(stream, texts)]
+    return scores, lp
+
+
+PPM_TEXTS = ["the cat sat on the mat", "the cat sat on the hat", "The cat SAT on the mat", "then the dog\nsat on the cat", "a\u00e9\u4e2d b \u00e9\u00e9", "", None, "zebra zebra zebra", "x" * 60] + [f"the {w} sat on the {v}" for w in ("cat", "dog", "cow", "hen") for v in ("mat", "rug", "bed")]
+
+
+def test_ppm_equals_a_trie_of_dictionaries(spark):
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(PPM_TEXTS))]
+    assert any(held) and not all(held)
+    want, lp = brute_ppm(PPM_TEXTS, held)
+    for context in (b"       ", b"the cat", b" on the", b"xxxxxxx", b"qqqqqqq"):
+        assert abs(sum(10 ** lp(context, s) for s in range(256)) - 1) < 1e-9
+    # Blocks and shards of any size, also cuts inside a text, give the same scores.
+    for sizes in ({}, {"block": 40, "shard": 16}):
+        rows = {r["doc_id"]: r for r in ppm.score(table(spark, PPM_TEXTS), **sizes).collect()}
+        for i, x in enumerate(want):
+            assert rows[i]["held_out"] == held[i] and abs(rows[i]["score"] - x) < 1e-4 + 1e-5 * abs(x), (i, rows[i]["score"], x)
+            assert rows[i]["n_tokens"] == len((PPM_TEXTS[i] or "").split()) + 1
+
+
+def test_ppm_reads_context_across_words_and_trains_on_nothing(spark):
+    texts = [f"alpha beta gamma delta {i % 5}" for i in range(80)] + ["delta alpha gamma beta 0"] * 3
+    rows = {r["doc_id"]: r["score"] for r in ppm.score(table(spark, texts)).collect()}
+    assert rows[0] > rows[82] + 3  # the same words in an order that training doesn't have
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    for r in ppm.score(table(spark, ["ab", "", "c d"], held)).collect():
+        n_bytes = {held[0]: 4, held[1]: 1, held[2]: 5}[r["doc_id"]]
+        assert abs(r["score"] + n_bytes * math.log10(256)) < 1e-4 and r["train_tokens"] == 0
+    twice = ppm.score(table(spark, ["one two", "one two", "three"], [4, 4, None])).collect()
+    assert len(twice) == 3 and len({r["score"] for r in twice if r["doc_id"] == 4}) == 1
+
+
+def test_ppm_beats_the_base_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = ppm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
 
 
 # the contract of the queries, and the pipeline
