@@ -1,19 +1,19 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 Model. A text is its lower-cased words, each followed by one delimiter, and a bare delimiter as the end. Every byte is
-coded after the `ORDER` = 7 bytes before it, across word boundaries (before the text stand delimiters). The byte-context
-trie has all contexts of 7 bytes and less. A byte is coded in the longest context that training has seen; a context that
+coded after the `ORDER` = 6 bytes before it, across word boundaries (before the text stand delimiters). The byte-context
+trie has all contexts of 6 bytes and less. A byte is coded in the longest context that training has seen; a context that
 has not seen the byte adds its escape and passes on to the context one byte shorter, where all that it has seen itself
-is excluded (symbol exclusion). Below the empty context all byte values left are alike. Counts: occurrences at order 7
-and at orders 2, 1 and 0; at 6 to 3 the distinct longer contexts (update exclusion). Escape estimation: with n counts
+is excluded (symbol exclusion). Below the empty context all byte values left are alike. Counts: occurrences at order 6
+and at orders 2, 1 and 0; at 5 to 3 the distinct longer contexts (update exclusion). Escape estimation: with n counts
 left of which t are of symbols counted once, (ESCAPE_PRIOR + ESCAPE_SINGLE * t) / (n + ESCAPE_SHIFT), ESCAPE_MOST at
 most; at n = 1 ESCAPE_ONCE; 0 where all 256 values were seen. The model is pretrained: training rows set all counts,
 and a text's score is its log10 probability.
 
-Distribution. A context with its byte is an 8-byte gram, one unsigned number: latest byte first, coded byte last. Texts
+Distribution. A context with its byte is a 7-byte gram, one unsigned number: latest byte first, coded byte last. Texts
 are packed into blocks of about `BLOCK` bytes, and a block sends each distinct gram once, sorted and delta-coded, to a
 shard chosen by the last three context bytes. Contexts of three bytes and more lie whole in one shard, which merges the
-counts of all blocks, scores each block's grams and sends the scores back in the block's own order; the block adds them
+counts of all blocks, scores each block's grams and sends the scores (as single precision) back in the block's own order; the block adds them
 up along its texts. Words travel the same way for the base score. So what moves is one row for a block and shard, at most a
 gram each (never more rows than distinct grams of blocks), a passage that a third of all rows share is a few grams a
 block, and no word or document is a key. Broadcast are only the order 2 counts: 2^24 of 12 bytes at most by construction.
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, held_out, utf8, written
 
-#: Bytes of context; with the coded byte, a gram fills an unsigned 64-bit number. Orders up to LOW are shared by all shards.
-ORDER, LOW = 7, 2
+#: Bytes of context, 7 at most, as a gram is an unsigned 64-bit number. Orders up to LOW are shared by all shards.
+ORDER, LOW = 6, 2
 #: Escape estimation, fitted to held-out rows.
 ESCAPE_PRIOR, ESCAPE_SINGLE, ESCAPE_SHIFT, ESCAPE_ONCE, ESCAPE_MOST = 0.3, 0.8, 0.5, 0.3, 0.7
-#: Bytes of text in a block, and for each shard.
-BLOCK, SHARD = 8 << 20, 8 << 20
+#: Bytes of text in a block, and for each shard; bytes whose grams are worked on at a time.
+BLOCK, SHARD, CHUNK = 16 << 20, 16 << 20, 2 << 20
 DELIMITER = b" "
 
 _SCHEMA = "kind string, block long, shard int, payload binary, counts binary, sizes binary"
@@ -114,9 +114,34 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x))).astype(np.int64)
 
 
+def _chunks(segments: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of segments of about CHUNK bytes."""
+    own, size = [], 0
+    for s in segments:
+        own.append(s)
+        size += len(s)
+        if size >= CHUNK:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _distinct_grams(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The segments' distinct grams, sorted, and how often each occurs."""
+    parts = [_distinct(grams_of(c)) for c in _chunks(segments)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(times[order], first)
+
+
 def shard_of_grams(grams: np.ndarray, shards: int) -> np.ndarray:
     """By the last three context bytes, spread by a multiplicative hash."""
-    return (((grams >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+    return (((grams >> np.uint64(8 * (ORDER - 2))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
 
 
 def _by_shard(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,12 +152,26 @@ def _by_shard(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, n
     return order, met, np.append(first, len(grams))
 
 
-def _words_by_shard(segments: list[bytes], shards: int) -> dict[int, list[bytes]]:
-    """Distinct words of the segments, each shard's in order of first appearance; the end is the empty word."""
+def _word_counts(segments: list[bytes], train: list[bool]) -> dict[bytes, int]:
+    """Occurrences of the segments' distinct words in training segments, in an order that the segments fix; with the end (the empty word) as 0."""
+    counted: Counter = Counter()
+    for s, t in zip(segments, train, strict=True):
+        if t:
+            counted.update(s[ORDER:].split())
+    out = dict(counted)
+    for s, t in zip(segments, train, strict=True):
+        if not t:
+            for w in s[ORDER:].split():
+                if w not in out:
+                    out[w] = 0
+    out[b""] = 0
+    return out
+
+
+def _by_word_shard(words: dict[bytes, int], shards: int) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
-    for word in dict.fromkeys(w for s in segments for w in s[ORDER:].split()):
-        out.setdefault(zlib.crc32(word) % shards, []).append(word)
-    out.setdefault(zlib.crc32(b"") % shards, []).append(b"")
+    for w in words:
+        out.setdefault(zlib.crc32(w) % shards, []).append(w)
     return out
 
 
@@ -146,9 +185,10 @@ def blocks(docs: DataFrame, shards: int, modulus: int = 7, size: int = BLOCK) ->
         known = np.array([a[1] is not None for a in about], "<i8")
         sizes = np.concatenate([[a[0] for a in about], [a[1] or 0 for a in about], known, [a[2] for a in about], lengths, [a[3] for a in about], [a[4] for a in about]]).astype("<i8")
         text = b"".join(segments)
-        out.append(("text", block, None, pa.compress(text, codec="zstd", asbytes=True), None, sizes.tobytes()))
-        grams, _ = _distinct(grams_of(segments))
-        seen, times = _distinct(grams_of(train))
+        out.append(("text", block, None, pa.Codec("zstd", compression_level=6).compress(text, asbytes=True), None, sizes.tobytes()))
+        seen, times = _distinct_grams(train)
+        other, _ = _distinct_grams([s for s, a in zip(segments, about, strict=True) if a[2]])
+        grams, _ = _distinct(np.concatenate([seen, other]))
         counts = np.zeros(len(grams), np.uint64)
         counts[np.searchsorted(grams, seen)] = times
         order, met, begin = _by_shard(grams, shards)
@@ -158,11 +198,10 @@ def blocks(docs: DataFrame, shards: int, modulus: int = 7, size: int = BLOCK) ->
         if len(seen):
             low, back = np.unique(_shorter(seen, LOW), return_inverse=True)
             out.append(("low", block, None, _rising(low), _packed(np.bincount(back, times).astype(np.uint64)), None))
-        # Whole tokens: words, and the end where a text ends.
-        tokens = Counter(w for s in train for w in s[ORDER:].split())
-        tokens[b""] = sum(a[4] for a in about if not a[2])
-        for shard, words in _words_by_shard(segments, shards).items():
-            out.append(("word", block, shard, pa.compress(b"\n".join(words), codec="zstd", asbytes=True), _packed(np.array([tokens[w] for w in words], np.uint64)), np.array([sum(map(len, words)) + len(words) - 1, len(words)], "<i8").tobytes()))
+        counted = _word_counts(segments, [not a[2] for a in about])
+        counted[b""] = sum(a[4] for a in about if not a[2])
+        for shard, words in _by_word_shard(counted, shards).items():
+            out.append(("word", block, shard, pa.compress(b"\n".join(words), codec="zstd", asbytes=True), _packed(np.array([counted[w] for w in words], np.uint64)), np.array([sum(map(len, words)) + len(words) - 1, len(words)], "<i8").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(_COLUMNS)], names=[c for c, _ in _COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,25 +393,26 @@ def _sums(shards: int):
         rows = block.to_pylist()
         answers = {(r["kind"], r["shard"]): r["payload"] for r in rows if r["kind"] != "text"}
         [text] = [r for r in rows if r["kind"] == "text"]
-        row, doc_id, known, _, lengths, n_words, ends = np.frombuffer(text["sizes"], "<i8").reshape(7, -1)
+        row, doc_id, known, held, lengths, n_words, ends = np.frombuffer(text["sizes"], "<i8").reshape(7, -1)
         whole = pa.decompress(text["payload"], int(lengths.sum()), codec="zstd", asbytes=True)
         stops = np.cumsum(lengths).tolist()
         segments = [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-        codes = grams_of(segments)
-        order = np.argsort(codes)
-        ordered = codes[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        grams = ordered[new]
+        train = [not h for h in held.tolist()]
+        grams, _ = _distinct_grams(segments)
         scores = np.empty(len(grams))
         by_shard, met, begin = _by_shard(grams, shards)
         for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             scores[by_shard[a:b]] = _unpacked(answers["gram", shard], "<f4")
-        along = np.empty(len(codes))
-        along[order] = scores[np.cumsum(new) - 1]
-        begins = np.cumsum(lengths - ORDER) - (lengths - ORDER)
-        lp = np.add.reduceat(along, begins)
+        lp = []
+        for own in _chunks(segments):
+            codes = grams_of(own)
+            order = np.argsort(codes)
+            along = np.empty(len(codes))
+            along[order] = scores[np.searchsorted(grams, codes[order])]
+            stops = np.cumsum([len(s) - ORDER for s in own])
+            lp.append(np.add.reduceat(along, [0, *stops[:-1].tolist()]))
         logs: dict[bytes, float] = {}
-        for shard, words in _words_by_shard(segments, shards).items():
+        for shard, words in _by_word_shard(_word_counts(segments, train), shards).items():
             logs.update(zip(words, np.log10(_unpacked(answers["word", shard], "<u8") + 1.0).tolist(), strict=True))
         found, base = [], []
         for segment, end in zip(segments, ends.tolist(), strict=True):
@@ -382,7 +422,7 @@ def _sums(shards: int):
             found.append(len(own) - own.count(0.0))
             base.append(math.fsum(own))
         ids = pa.array([i if k else None for i, k in zip(doc_id.tolist(), known.tolist(), strict=True)], pa.int64())
-        columns = [row, ids, n_words + ends, found, base, lp]
+        columns = [row, ids, n_words + ends, found, base, np.concatenate(lp)]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
     return run
