@@ -398,19 +398,23 @@ def _sums(shards: int):
         stops = np.cumsum(lengths).tolist()
         segments = [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
         train = [not h for h in held.tolist()]
-        grams, _ = _distinct_grams(segments)
+        parts = []
+        for own in _chunks(segments):
+            codes = grams_of(own)
+            order = np.argsort(codes)
+            codes = codes[order]
+            new = np.concatenate([[True], codes[1:] != codes[:-1]])
+            parts.append((codes[new], new, order.astype(np.uint32), np.cumsum([0, *[len(s) - ORDER for s in own[:-1]]])))
+        grams, _ = _distinct(np.concatenate([p[0] for p in parts]))
         scores = np.empty(len(grams))
         by_shard, met, begin = _by_shard(grams, shards)
         for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             scores[by_shard[a:b]] = _unpacked(answers["gram", shard], "<f4")
         lp = []
-        for own in _chunks(segments):
-            codes = grams_of(own)
-            order = np.argsort(codes)
-            along = np.empty(len(codes))
-            along[order] = scores[np.searchsorted(grams, codes[order])]
-            stops = np.cumsum([len(s) - ORDER for s in own])
-            lp.append(np.add.reduceat(along, [0, *stops[:-1].tolist()]))
+        for codes, new, order, begins in parts:
+            along = np.empty(len(order))
+            along[order] = scores[np.searchsorted(grams, codes)][np.cumsum(new) - 1]
+            lp.append(np.add.reduceat(along, begins))
         logs: dict[bytes, float] = {}
         for shard, words in _by_word_shard(_word_counts(segments, train), shards).items():
             logs.update(zip(words, np.log10(_unpacked(answers["word", shard], "<u8") + 1.0).tolist(), strict=True))
