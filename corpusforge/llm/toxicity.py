@@ -1,18 +1,22 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Method. Logistic regression on binary features of a text's distinct words (the word and its first 4 to 6 characters).
-In labelled texts identity terms are swapped for others of their group, and where a text has none one is put in; the
-squared change of the log-odds between a text and its counterfactual is a penalty beside the log-loss. So a mention of
-a group can't move a score by itself, which lowers false positives on neutral mentions.
+Method. Logistic regression on binary features of a text's distinct words: the word and its first 3 to 6 characters.
+Features are those that part the classes, of either sign, and always all of the identity terms: a term shares beginnings
+with ordinary words, and so would carry their weights. In each labelled text a sentence with an identity term gives
+copies in which others of its group are swapped in; a text without any has one put into a sentence of its own (which,
+its hash says) and swapped there. The squared change of the log-odds from a sentence to its counterfactual is a penalty
+beside the log-loss. So a mention of a group moves scores little by itself, which lowers false positives on neutral mentions.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows (`SAMPLE` of each class, by the hash of
 doc_id); all texts are then scored whole where they lie. Labels, lang, source and doc_id are never inputs. A null text
-counts as empty and has the score of the intercept. Rows with a null label or id teach nothing. If one class has no
-labelled row, every score is the base rate. Repeated rows score alike.
+counts as empty and has the score of the intercept. Rows with a null label or id teach nothing; of an id with several
+texts the one of least hash teaches, and its label is the largest. If one class has no labelled row, every score is the
+base rate. Repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,10 +48,12 @@ IDENTITY_GROUPS = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
-#: Feature selection: least documents of the toxic class with it, least z-score, most features.
-LEAST_DOCS, LEAST_Z, FEATURES = 4, 5.0, 2000
-#: Strength of the penalties; one in so many texts without identity terms gets one put in; steps of the fit.
-L2, COUNTERFACTUAL, PUT_IN, STEPS = 1e-4, 1.0, 8, 400
+#: Feature selection: least documents with it, least z-score (of either sign), most features beside those of identity terms.
+LEAST_DOCS, LEAST_Z, FEATURES = 4, 3.0, 2000
+#: Strength of the penalties; steps of the fit.
+L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
+#: Lengths of the beginnings that are features.
+BEGINNINGS = range(3, 7)
 MEMO = 300_000
 
 
@@ -60,7 +66,7 @@ def features_of(word: str) -> tuple[str, ...]:
     w = word.strip(STRIPPED)
     if not w:
         return ()
-    return (w, *(f"{w[:k]}-" for k in range(4, 7) if len(w) > k))
+    return (w, *(f"{w[:k]}-" for k in BEGINNINGS if len(w) > k))
 
 
 @dataclass(frozen=True)
@@ -84,27 +90,39 @@ class Row:
 
 SWAPS = {t: tuple(x for x in group if x != t) for group in IDENTITY_GROUPS for t in group}
 TERMS = tuple(sorted(SWAPS))
+#: Features that the classifier always has.
+FORCED = tuple(sorted({f for t in TERMS for f in features_of(t)}))
 
 
-def counterfactuals(words: set[str], number: int) -> list[set[str]]:
-    """The text with each identity term swapped; without any, a text of every PUT_IN-th number gets one put in."""
-    bare = {w.strip(STRIPPED): w for w in words}
-    hit = sorted(t for t in bare if t in SWAPS)
-    out = [words - {bare[t]} | {other} for t in hit for other in SWAPS[t]]
-    if not hit and number % PUT_IN == 0:
-        out.append(words | {TERMS[number // PUT_IN % len(TERMS)]})
+def sentences_of(text: str) -> list[set[str]]:
+    """The distinct lower-cased words of each sentence that has any."""
+    return [w for s in re.split(r"[.!?\n]+", text) if (w := words_of(s))]
+
+
+def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
+    """(sentence, its counterfactual): each identity term swapped; in a text without any, one is put into a sentence and swapped there."""
+    import xxhash
+
+    sentences, out = sentences_of(text), []
+    for words in sentences:
+        bare = {w.strip(STRIPPED): w for w in words}
+        out += [(words, words - {bare[t]} | {other}) for t in sorted(bare.keys() & SWAPS.keys()) for other in SWAPS[t]]
+    if not out:
+        number = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        words = sentences[number % len(sentences)] if sentences else set()
+        term = TERMS[(number >> 32) % len(TERMS)]
+        out = [(words, words | {term})] + [(words | {term}, words | {other}) for other in SWAPS[term]]
     return out
 
 
-def row_of(words: set[str], label: int, number: int, index: dict[str, int]) -> Row:
+def row_of(text: str, label: int, index: dict[str, int]) -> Row:
     of = lambda ws: {index[f] for w in ws for f in features_of(w) if f in index}
-    own = of(words)
-    changed = [(sorted(new - own), sorted(own - new)) for new in map(of, counterfactuals(words, number))]
-    return Row(label, sorted(own), [c for c in changed if c[0] or c[1]])
+    changed = {(tuple(sorted(y - x)), tuple(sorted(x - y))) for x, y in ((of(a), of(b)) for a, b in counterfactuals(text))}
+    return Row(label, sorted(of(words_of(text))), [(list(g), list(x)) for g, x in sorted(changed) if g or x])
 
 
 def z_score(ones: float, zeros: float, n1: float, n0: float) -> float:
-    """How far a feature's share among toxic texts is above that among others, in standard errors."""
+    """How far a feature's share among toxic texts is above (or below) that among others, in standard errors."""
     pooled = (ones + zeros + 1) / (n1 + n0 + 2)
     return (ones / n1 - zeros / n0) / float(np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
 
@@ -140,16 +158,21 @@ def optimise(rows: list[Row], names: list[str], class_weights: tuple[float, floa
     return Model(b, {f: float(k) for f, k in zip(names, w, strict=True)})
 
 
-def fit(words: list[set[str]], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int]) -> Model:
     """The model of a few labelled texts in memory (the same steps as `train`)."""
     ones, zeros = Counter(), Counter()
-    for ws, label in zip(words, labels, strict=True):
-        (ones if label else zeros).update({f for w in ws for f in features_of(w)})
+    for t, label in zip(texts, labels, strict=True):
+        (ones if label else zeros).update({f for w in words_of(t) for f in features_of(w)})
     n1, n0 = sum(labels), len(labels) - sum(labels)
-    scored = [(-z_score(k, zeros[f], n1, n0), f) for f, k in ones.items() if k >= LEAST_DOCS] if n1 and n0 else []
-    names = [f for z, f in sorted(scored)[:FEATURES] if -z >= LEAST_Z]
+    scored = [(z_score(ones[f], zeros[f], n1, n0), f) for f in ones.keys() | zeros.keys() if ones[f] + zeros[f] >= LEAST_DOCS] if n1 and n0 else []
+    names = named([f for z, f in sorted(scored, key=lambda x: (-abs(x[0]), x[1]))[:FEATURES] if abs(z) >= LEAST_Z])
     index = {f: i for i, f in enumerate(names)}
-    return optimise([row_of(ws, label, i, index) for i, (ws, label) in enumerate(zip(words, labels, strict=True))], names)
+    return optimise([row_of(t, label, index) for t, label in zip(texts, labels, strict=True)], names)
+
+
+def named(chosen: list[str]) -> list[str]:
+    """Chosen and forced features in a fixed order."""
+    return sorted({*chosen, *FORCED})
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> Model:
@@ -163,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SA
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # Of a fixed number of rows, 2 * sample, so that the side below has a proven bound.
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    picked = written(picked, "labelled")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"))).alias("first")
+    picked = written(picked.groupBy("doc_id", "toxic").agg(first).select("doc_id", "toxic", F.col("first.text").alias("text")), "labelled")
     sizes = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
 
@@ -181,13 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SA
         counted = picked.mapInArrow(count, "feature string, zeros long, ones long").groupBy("feature").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
         pooled = (F.col("ones") + F.col("zeros") + 1) / (n1 + n0 + 2)
         z = (F.col("ones") / n1 - F.col("zeros") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-        best = counted.where(F.col("ones") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
-        names = [r["feature"] for r in best.collect()]
-    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # FEATURES at most
+        best = counted.where(F.col("ones") + F.col("zeros") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
+        names = named([r["feature"] for r in best.collect()])
+    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # FEATURES and the forced ones at most
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 512):
-            rows = [row_of(words_of(t), label, doc_id, index.value) for t, label, doc_id in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "doc_id")], strict=True)]
+            rows = [row_of(t, label, index.value) for t, label in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic")], strict=True)]
             changes = [[{"gained": g, "lost": x} for g, x in r.changes] for r in rows]
             kind = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.label for r in rows], pa.int32()), pa.array([r.features for r in rows], pa.list_(pa.int32())), pa.array(changes, kind)], names=["doc_id", "label", "features", "changes"])

@@ -253,18 +253,93 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 50 and all(r["predicted"] == toxic[r["doc_id"]] for r in held)
 
 
-def test_counterfactuals_keep_identity_terms_neutral():
-    texts = [{"muslim", "idiot", f"a{i}"} for i in range(40)] + [{"idiot", "muslim", "jewish", f"c{i}"} for i in range(10)] + [{"fine", f"b{i}"} for i in range(200)]
+def test_counterfactuals_keep_identity_terms_neutral(monkeypatch):
+    texts = [f"muslim idiot a{i}" for i in range(40)] + [f"idiot muslim jewish c{i}" for i in range(10)] + [f"fine b{i}" for i in range(200)]
     labels = [1] * 50 + [0] * 200
     model = toxicity.fit(texts, labels)
-    loose = toxicity.COUNTERFACTUAL
-    try:
-        toxicity.COUNTERFACTUAL = 0.0
-        plain = toxicity.fit(texts, labels)
-    finally:
-        toxicity.COUNTERFACTUAL = loose
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain = toxicity.fit(texts, labels)
     rise = lambda m: m.logit({"muslim", "fine"}) - m.logit({"fine"})
     assert abs(rise(model)) < 0.3 * abs(rise(plain))
+    odds = math.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    wrong = lambda m: sum(m.logit({"some", t, "came", "here"}) > odds for t in ("muslim", "jewish", "hindu"))
+    assert wrong(model) == 0 and wrong(plain) >= 1
+
+
+def test_counterfactuals_are_sentences_of_the_text():
+    text = "One two three. Some Muslim men, here!\nNothing else"
+    pairs = toxicity.counterfactuals(text)
+    assert all(a == {"some", "muslim", "men,", "here"} and len(a ^ b) == 2 for a, b in pairs)
+    assert len(pairs) == sum(len(toxicity.SWAPS[t]) for t in ("muslim", "men"))
+    put_in = toxicity.counterfactuals("one two. three four")
+    assert put_in == toxicity.counterfactuals("one two. three four") and put_in[0][0] in ({"one", "two"}, {"three", "four"})
+    assert len(put_in[0][1] - put_in[0][0]) == 1 and toxicity.counterfactuals("")[0][0] == set()
+
+
+def dense_model(texts, labels, names):
+    """The same objective and steps as `optimise`, written out on whole matrices."""
+    def vector(words):
+        out = np.zeros(len(names))
+        for w in words:
+            w = w.strip(toxicity.STRIPPED)
+            for f in [w, *(w[:k] + "-" for k in (3, 4, 5, 6) if len(w) > k)] if w else []:
+                if f in names:
+                    out[names.index(f)] = 1
+        return out
+
+    x, y = np.stack([vector(t.lower().split()) for t in texts]), np.array(labels, float)
+    change = []
+    for t in texts:
+        own = {tuple(vector(b) - vector(a)) for a, b in toxicity.counterfactuals(t)}
+        change += [d for d in own if any(d)]
+    d = np.array(change)
+    w, b = np.zeros(len(names)), math.log(y.sum() / (1 - y).sum())
+    m = v = np.zeros(len(names) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        g = np.append(x.T @ (p - y) / len(y) + toxicity.L2 * w + d.T @ (d @ w) / len(d), (p - y).mean())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.1 * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        w, b = w - move[:-1], b - move[-1]
+    return {i: 1 / (1 + math.exp(-(vector(t.lower().split()) @ w + b))) for i, t in enumerate(texts)}
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels, toxic = labelled(spark)
+    rows = docs.orderBy("doc_id").collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    model = toxicity.train(docs, labels)
+    fitted = toxicity.fit([r["text"] for r in train], [toxic[r["doc_id"]] for r in train])
+    assert model.weights.keys() == fitted.weights.keys() and all(abs(model.weights[f] - fitted.weights[f]) < 1e-6 for f in model.weights)
+    want = dense_model([r["text"] for r in train], [toxic[r["doc_id"]] for r in train], sorted(model.weights))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[r["doc_id"]] - want[i]) < 1e-6 for i, r in enumerate(train))
+
+
+def test_the_penalty_acts_on_the_labelled_documents(spark, monkeypatch):
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select d.doc_id, text, toxic from '{folder}/documents.parquet' d join '{folder}/labels.parquet' using (doc_id) where toxic in (0, 1) order by 1").fetchall()
+    parts = {h: [(t, y) for i, t, y in rows if (zlib.crc32(str(i).encode()) % 4 == 2) == h] for h in (False, True)}
+    model = toxicity.fit(*map(list, zip(*parts[False], strict=True)))
+    index = {f: i for i, f in enumerate(sorted(model.weights))}
+    assert all(toxicity.row_of(t, y, index).changes for t, y in parts[False][:200])
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain = toxicity.fit(*map(list, zip(*parts[False], strict=True)))
+    assert max(abs(model.weights[f] - plain.weights[f]) for f in model.weights) > 0.1
+    neutral = [toxicity.sentences_of(t)[0] for t, y in parts[True] if not y and toxicity.sentences_of(t)][:100]
+    moved = lambda m: sum(abs(m.logit(s | {t}) - m.logit(s)) for s in neutral for t in toxicity.TERMS)
+    assert moved(model) < 0.1 * moved(plain)
+    caught = sum(y and toxicity._Scorer(model).score(t) >= toxicity.THRESHOLD for t, y in parts[True])
+    assert caught >= 109
+
+
+def test_toxicity_of_an_id_with_several_texts(spark):
+    docs, labels, _ = labelled(spark, 120)
+    more = table(spark, ["another text idiot", "word1 word2"], [3, 3]).unionByName(docs)
+    scores = [sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, toxicity.train(d, labels)).collect()) for d in (more, more.repartition(7))]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(*scores, strict=True))
 
 
 def test_toxicity_edges(spark):
