@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """A column name like `base` that none of `taken` has, upper and lower case alike."""
+    have, name, n = {t.lower() for t in taken}, base, 0
+    while name.lower() in have:
+        n += 1
+        name = f"{base}_{n}"
+    return name
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`, is 2. A null id counts as the empty text (remainder 0)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == 2

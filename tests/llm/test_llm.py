@@ -172,32 +172,77 @@ def test_components_of_paths_and_stars(spark):
 
 
 # 3 mixing
-def test_raking_meets_the_marginals(spark):
+def brute_raked(cells, rate, weights, rounds=400):
+    """Probabilities from the targets alone: each group's factor by bisection, to convergence."""
+    tokens = np.array([c[3] for c in cells], float)
+    groups, total = [], rate * tokens.sum()
+    for k, d in enumerate(("source", "lang", "topic")):
+        values = sorted({c[k] for c in cells})
+        member = np.array([values.index(c[k]) for c in cells])
+        own = np.bincount(member, tokens)
+        groups.append((d, values, member, own, np.array([weights[d].get(v, 0.0) for v in values]) if d in weights else own ** mixing.EXPONENTS[d]))
+    total = min([total, *(own[w > 0].sum() for *_, own, w in groups)])
+
+    def solve(f, want):
+        low, high = 0.0, 1.0
+        while f(high) < want * (1 - 1e-12) and high < 1e15:
+            high *= 2
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if f((low + high) / 2) < want else (low, (low + high) / 2)
+        return high
+
+    targets = [(member, np.minimum(own, w * solve(lambda level, own=own, w=w: np.minimum(own, w * level).sum(), total))) for _, _, member, own, w in groups]
+    x = np.full(len(cells), rate)
+    for _ in range(rounds):
+        for member, target in targets:
+            for g, want in enumerate(target):
+                at = member == g
+                x[at] *= solve(lambda a, at=at: (tokens[at] * np.minimum(1, a * x[at])).sum(), want)
+    return np.minimum(1, x), targets, groups
+
+
+def test_raking_meets_the_targets_within_its_bounds(spark):
     rng = np.random.default_rng(2)
     cells = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 10**5))) for i in range(6) for j in range(3) for k in range(2)]
-    want = {"lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}}
-    rows = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), want, rounds=40).collect()
-    total = sum(c[3] for c in cells)
-    assert abs(sum(r["weight"] for r in rows) / total - 1) < 1e-9
-    for value, share in want["lang"].items():
-        assert abs(sum(r["weight"] for r in rows if r["lang"] == value) / total - share) < 1e-6
-    for d in ("source", "topic"):
-        own = Counter()
-        for c in cells:
-            own[c[0] if d == "source" else c[2]] += c[3]
-        tempered = {v: n ** mixing.EXPONENTS[d] for v, n in own.items()}
-        for v, t in tempered.items():
-            assert abs(sum(r["weight"] for r in rows if r[d] == v) / total - t / sum(tempered.values())) < 1e-6
+    schema = "source string, lang string, topic string, tokens long"
+    for want, rate in (({"lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}}, 0.6), ({}, 0.7), ({"lang": {"l0": 1.0}}, 0.6)):
+        rows = {tuple(r)[:3]: r["probability"] for r in mixing.rake(spark.createDataFrame(cells, schema), rate, want, rounds=25).collect()}
+        got = np.array([rows[c[:3]] for c in cells])
+        assert ((got >= 0) & (got <= 1)).all()
+        if len(want.get("lang", {})) == 1:  # all of l0 and its sources' shares can't be had together: nothing else is taken
+            assert all(p == 0 for p, c in zip(got, cells, strict=True) if c[1] != "l0") and got.sum() > 0
+            continue
+        p, targets, _ = brute_raked(cells, rate, want)
+        tokens = np.array([c[3] for c in cells], float)
+        assert abs(got - p).max() < 2e-3
+        for member, target in targets:
+            assert abs(np.bincount(member, tokens * got) / target - 1).max() < 1e-3
+
+
+def test_mixing_realised_shares_meet_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.judged(docs).toPandas()
+    wanted = {(r["dimension"], r["value"]): r for r in mixing.shares(docs).collect()}
+    assert all(abs(r["expected"] / r["target"] - 1) < 1e-3 for r in wanted.values())
+    for d in ("source", "lang", "topic"):
+        for value, own in rows.groupby(d):
+            kept = float((own["n_tokens"] * own["kept"]).sum())
+            error = float(np.sqrt((own["n_tokens"].astype(float) ** 2 * own["probability"] * (1 - own["probability"])).sum()))
+            assert abs(kept - wanted[d, value]["target"]) <= 4 * error + 1e-3 * kept, (d, value)
 
 
 def test_mixing_draws_by_id_and_handles_edges(spark):
     out = mixing.judged(table(spark, TEXTS)).collect()
     assert len(out) == len(TEXTS) and all(not r["kept"] for r in out if r["n_tokens"] == 0)
     for r in out:
-        u = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) / 2**32
-        assert r["kept"] == (u < r["probability"]) and 0 <= r["probability"] <= 1
-    assert set(mixing.sample(table(spark, TEXTS)).columns) == set(table(spark, TEXTS).columns)
-    assert mixing.judged(empty(spark)).count() == 0
+        u = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:13], 16) / 2**52
+        assert abs(u - r["probability"]) < 1e-6 or r["kept"] == (u < r["probability"])
+        assert 0 <= r["probability"] <= 1
+    clash = table(spark, TEXTS).withColumns({c: F.lit(c) for c in ("mix", "cell", "p", "_tokens", "tokens", "topic", "kept", "x", "probability")})
+    kept = mixing.sample(clash).collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in out if r["kept"]}
+    assert all(list(r.asDict()) == clash.columns and r["mix"] == "mix" and r["_tokens"] == "_tokens" for r in kept)
+    assert mixing.judged(empty(spark)).count() == 0 and mixing.sample(empty(spark)).count() == 0 and mixing.shares(empty(spark)).count() == 0
 
 
 # 4 nearest neighbours
