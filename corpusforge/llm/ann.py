@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals (IVF-PQ).
 
-Method. Coarse centroids cut the space into lists; a vector is stored in the list of its nearest centroid with the
-product code of its residual. A query looks into its nearest lists. There a table of distances from the query's own
-residual to every code word (asymmetric: the query isn't quantised) ranks the members, and the best are ranked again by
-the exact distance on the original vectors, in double precision; ties go to the smaller vec_id.
-
-Centroids and code books are fitted on the driver on a bounded sample (`SAMPLE` rows by the hash of vec_id); every row is
-indexed. There are about sqrt(n) lists. How far a query looks is calibrated on the sample: the least share of rows, in
-the nearest lists, that holds `TARGET` of the sample's own true neighbours (little where vectors cluster, over half where
-they don't), and at least `PROBES` lists and `LEAST` rows. A list, and the queries that look into it, are dealt in blocks of bounded size, so a list with
-a third of all rows is many tasks' work. Queries are the stated rows (a hundredth), so list by list this is no all-pairs join.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components, and rows with a null
-vec_id, take no part. A repeated vec_id counts as one query; candidates exclude rows of the query's own vec_id. Fewer
-candidates than asked for give them all; an empty table gives no rows.
+Method. Coarse centroids cut the space into about sqrt(n) lists; a vector is stored in the list of its nearest centroid with
+the product code of its residual. A query looks into its nearest lists. Its distances to their members come from the codes
+alone: the query isn't quantised (asymmetric), its table of inner products with all code words serves every list, and a
+member brings one number for what doesn't depend on the query. The best max(RERANK, k) of all lists are ranked again by the
+exact distance on the original vectors, in double precision; ties go to the smaller vec_id.
+
+Centroids and code books are fitted on the driver on a bounded sample (PER_LIST rows a list, `SAMPLE` in all, by the hash of
+vec_id); every row is indexed. How far a query looks is calibrated on the sample: the least share of rows, in the nearest
+lists, that holds `TARGET` of the sample's own true neighbours. It is little where vectors cluster, and over half where they
+don't (vectors spread evenly in many dimensions have no near lists); the same rule holds at every size.
+
+Of equal vectors only the k + 1 smallest ids can be in any answer, so these alone are listed (they are counted off before the
+shuffle); copies can neither crowd out others nor make a list hot. Queries are dealt to blocks by nearest list, a list with
+many queries to several blocks; a block streams through the codes of its lists (ids, codes and a number, never vectors) and keeps its
+best. So a list with a third of all rows, or a third of all queries, is many tasks' work. Queries are the stated rows (a
+hundredth), so list by list this is no all-pairs join.
+
+Vectors that are null, zero, or hold null or non-finite components, and rows with a null vec_id, take no part. Vectors of
+different lengths have no distance: each length is searched among its own. A repeated vec_id counts as one query (its least vector);
+candidates exclude rows of the query's own vec_id. Fewer candidates than asked for give them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_rows, written
 
-#: Rows that the index is fitted on; code words in a part (one byte) and components in a part.
-SAMPLE, CODES, PART = 16_384, 256, 4
-#: A query looks into PROBES lists, more until they hold LEAST rows and the calibrated share of all rows.
-PROBES, LEAST = 12, 2_000
+#: Rows that the index is fitted on at most, and for each list; code words in a part (one byte) and components in a part.
+SAMPLE, PER_LIST, CODES, PART = 65_536, 16, 256, 4
 #: Calibration: part of the true neighbours in the sample that the lists looked into must hold; queries of the sample.
 TARGET, TRIALS = 0.96, 256
-#: Members of a list block, and queries, that one task compares; members ranked again exactly.
-BLOCK, QUERY_BLOCK, RERANK = 8_192, 2_048, 128
+#: Candidates ranked again exactly (k if that is more), queries in a block, least number of blocks, members compared at a time.
+RERANK, QUERY_BLOCK, LEAST_BLOCKS, CHUNK = 256, 2_048, 32, 8_192
 
 
 @dataclass(frozen=True)
@@ -55,10 +59,19 @@ class Index:
         parts = residual.reshape(len(x), -1, self.books.shape[2])
         return np.stack([np.argmin(_squares(parts[:, m], book), axis=1) for m, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray, one_list: int) -> np.ndarray:
-        """Squared distance of each query's residual to each code word: queries x parts x CODES."""
-        residual = _padded(queries - self.centroids[one_list], self.width).reshape(len(queries), -1, self.books.shape[2])
-        return np.stack([_squares(residual[:, m], book) for m, book in enumerate(self.books)], axis=1)
+    def residuals(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)[:, : self.centroids.shape[1]]
+
+    def own_parts(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """What a member's distance has beside the query's: |r|^2 + 2 c.r."""
+        r = self.residuals(codes)
+        return (r * r).sum(axis=1) + 2 * (r * self.centroids[lists]).sum(axis=1)
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """Inner product of each query's parts with each code word: parts x queries x CODES."""
+        parts = _padded(queries, self.width).reshape(len(queries), -1, self.books.shape[2])
+        return np.stack([parts[:, m] @ book.T for m, book in enumerate(self.books)]).astype(np.float32)
 
 
 def _padded(x: np.ndarray, width: int) -> np.ndarray:
@@ -106,23 +119,52 @@ def calibrated_share(index: Index, sample: np.ndarray, k: int = 10) -> float:
     return float(np.quantile(needed, TARGET)) + 1e-9
 
 
+class _Best:
+    """The nearest candidates that a block's queries have met so far."""
+
+    def __init__(self, index: Index, ids: np.ndarray, queries: np.ndarray, wanted: np.ndarray, most: int):
+        self.ids, self.wanted, self.most, self.tables = ids, wanted, most, index.tables(queries)
+        self.to_lists = _squares(queries, index.centroids).astype(np.float32)
+        self.found = [(np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        self.worst = np.full(len(ids), np.inf, np.float32)
+
+    def add(self, lists: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, own: np.ndarray) -> None:
+        near = self.to_lists[:, lists] + own.astype(np.float32)
+        for m, table in enumerate(self.tables):
+            near -= 2 * table[:, codes[:, m]]
+        near[~self.wanted[:, lists]] = np.inf
+        for j in range(len(self.ids)):
+            met = np.flatnonzero((near[j] <= self.worst[j]) & (near[j] < np.inf) & (ids != self.ids[j]))
+            if not len(met):
+                continue
+            d, i, r = (np.concatenate([old, new]) for old, new in zip(self.found[j], (near[j][met], ids[met], rows[met]), strict=True))
+            if len(d) > self.most:
+                keep = np.lexsort((i, d))[: self.most]
+                d, i, r = d[keep], i[keep], r[keep]
+                self.worst[j] = d[-1]
+            self.found[j] = d, i, r
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row. vectors: vec_id, embedding; is_query: on vec_id."""
-    spark = vectors.sparkSession
     v = F.col("v")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.col("count").desc(), F.col("width").desc()).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n = sizes
-    rows = rows.where(F.size("v") == width)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width, n in rows.groupBy(F.size("v").alias("width")).count().orderBy("width").collect():  # mostly one
+        out = out.unionByName(_of_width(rows.where(F.size("v") == width), is_query, k, width, n))
+    return out
+
+
+def _of_width(rows: DataFrame, is_query: Column, k: int, width: int, n: int) -> DataFrame:
+    spark = rows.sparkSession
+    lists = max(1, min(int(round(n**0.5)), SAMPLE // PER_LIST))
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(PER_LIST * lists, PER_LIST * CODES)).select("v").toArrow()["v"].combine_chunks()
     sample = picked.flatten().to_numpy().reshape(-1, width)
-    index = fit(sample, int(round(n**0.5)))
+    index, most = fit(sample, lists), max(RERANK, k)
     share = calibrated_share(index, sample, k)
-    shared = spark.sparkContext.broadcast(index)  # sqrt(SAMPLE)-bounded: at most SAMPLE centroids and fixed code books
+    shared = spark.sparkContext.broadcast(index)  # SAMPLE / PER_LIST centroids at most, and code books of fixed size
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -131,76 +173,90 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         ix = shared.value
         for batch in batches:
             x = matrix(batch.column("v"))
-            lists = ix.lists_of(x)
-            codes = ix.codes(x, lists)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
-
-    placed = written(rows.mapInArrow(place, "vec_id long, v array<double>, list int, code binary"), "ann-index")
-    sizes_by_list = np.zeros(len(index.centroids), np.int64)
+            where = ix.lists_of(x)
+            codes = ix.codes(x, where)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(where, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ix.own_parts(codes, where))], names=["vec_id", "v", "list", "code", "own"])
+
+    first = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))
+    members = rows.withColumn("copy", first).where(F.col("copy") <= k + 1).select("vec_id", "v")
+    placed = members.mapInArrow(place, "vec_id long, v array<double>, list int, code binary, own double")
+    placed = written(placed.withColumn("row", F.monotonically_increasing_id()), "ann-index")
+    held = np.zeros(len(index.centroids), np.int64)
     for r in placed.groupBy("list").count().collect():  # a row a list
-        sizes_by_list[r["list"]] = r["count"]
-    shared_sizes = spark.sparkContext.broadcast(sizes_by_list)
+        held[r["list"]] = r["count"]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, held = shared.value, shared_sizes.value
-        least = max(LEAST, int(share * held.sum()))
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(_squares(matrix(batch.column("v")), ix.centroids), axis=1, kind="stable")
-            before = np.cumsum(held[order], axis=1) - held[order]
-            wanted = (np.arange(order.shape[1])[None, :] < PROBES) | (before < least)
-            wanted &= held[order] > 0
-            row, column = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(order[row, column], pa.int32())], names=["vec_id", "v", "list"])
-
-    queries = placed.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
-    probes = written(queries.mapInArrow(probe, "vec_id long, v array<double>, list int"), "ann-probes")
-    looked = np.zeros(len(index.centroids), np.int64)
-    for r in probes.groupBy("list").count().collect():
-        looked[r["list"]] = r["count"]
-    blocks = [(i, int(-(-a // BLOCK)), int(-(-b // QUERY_BLOCK))) for i, (a, b) in enumerate(zip(sizes_by_list, looked, strict=True)) if a and b]
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in one block of its own kind, once for every block of the other kind."""
-        mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
-        by_list = spark.createDataFrame(blocks, "list int, member_blocks int, query_blocks int")  # a row a list
-        return df.join(F.broadcast(by_list), "list").withColumn(own[0], mine).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-
-    members = dealt(placed, "member_blocks", "query_blocks").groupBy("list", "m", "q")
-    asking = dealt(probes, "query_blocks", "member_blocks").groupBy("list", "m", "q")
-
-    def search(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [])
-        if asked.num_rows and held.num_rows:
-            ix, one_list = shared.value, key[0].as_py()
-            ids = held["vec_id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            ids = ids[by_id]
-            x = matrix(held["v"].combine_chunks())[by_id]
-            codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[by_id]
-            q_ids, q = asked["vec_id"].to_numpy(), matrix(asked["v"].combine_chunks())
-            for at in range(0, len(q), 64):
-                tables = ix.tables(q[at : at + 64], one_list)
-                rough = np.zeros((len(tables), len(ids)))
-                for m in range(tables.shape[1]):
-                    rough += tables[:, m][:, codes[:, m]]
-                for j in range(len(tables)):
-                    near = rough[j]
-                    if len(near) > RERANK + 1:
-                        # All below the limit, and of those at it the smaller ids (rows are sorted by id).
-                        limit = np.partition(near, RERANK)[RERANK]
-                        below = np.flatnonzero(near < limit)
-                        take = np.concatenate([below, np.flatnonzero(near == limit)[: RERANK + 1 - len(below)]])
-                    else:
-                        take = np.arange(len(near))
-                    take = take[ids[take] != q_ids[at + j]]
-                    exact = np.sqrt(((x[take] - q[at + j]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[take], exact))[:k]
-                    out[0].append(np.full(len(best), q_ids[at + j]))
-                    out[1].append(ids[take][best])
-                    out[2].append(exact[best])
-        columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    found = asking.cogroup(members).applyInArrow(search, "query_id long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(shared.value.lists_of(matrix(batch.column("v"))), pa.int32())], names=["vec_id", "v", "nearest"])
+
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(asked.mapInArrow(nearest, "vec_id long, v array<double>, nearest int"), "ann-queries")
+    # Lists in the order of their main direction; equal numbers of queries to a block.
+    asking = np.zeros(len(index.centroids), np.int64)
+    for r in asked.groupBy("nearest").count().collect():  # a row a list
+        asking[r["nearest"]] = r["count"]
+    total = int(asking.sum())
+    blocks = max(LEAST_BLOCKS, -(-total // QUERY_BLOCK))
+    centered = index.centroids - index.centroids.mean(axis=0)
+    line = np.argsort(centered @ np.linalg.svd(centered, full_matrices=False)[2][0], kind="stable")
+    after = np.cumsum(asking[line])
+    begin, end = (after - asking[line]) * blocks // max(1, total), np.maximum(after - 1, 0) * blocks // max(1, total)
+    block_of = spark.createDataFrame([(int(i), int(a), max(1, int(b - a + 1))) for i, a, b in zip(line, begin, end, strict=True)], "nearest int, first int, n_blocks int")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
+    asked = asked.join(F.broadcast(block_of), "nearest").select(block.alias("block"), "vec_id", "v")  # a row a list
+
+    least = max(int(share * held.sum()), k + 1)
+    limits = spark.sparkContext.broadcast((held, least))  # a number a list
+
+    def wanted_of(ix: Index, queries: np.ndarray) -> np.ndarray:
+        """Whether each query looks into each list: nearest first, until they hold enough rows."""
+        held, least = limits.value
+        order = np.argsort(_squares(queries, ix.centroids), axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (before < least) & (held[order] > 0), axis=1)
+        return out
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, QUERY_BLOCK):
+            row, column = np.nonzero(wanted_of(shared.value, matrix(batch.column("v"))))
+            pairs = np.unique(batch.column("block").to_numpy()[row].astype(np.int64) << 32 | column)
+            yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32))], names=["block", "list"])
+
+    pairs = asked.mapInArrow(needed, "block int, list int").distinct()
+    stream = placed.join(pairs, "list").select("block", F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("array<double>").alias("v"), "list", "code", "own", "row")
+    stream = asked.select("block", F.lit(0).alias("kind"), "vec_id", "v", *[F.lit(None).cast(t).alias(c) for c, t in (("list", "int"), ("code", "binary"), ("own", "double"), ("row", "long"))]).unionByName(stream)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its queries first."""
+        ix, now, best, ids, queries = shared.value, None, None, [], []
+
+        def out() -> pa.RecordBatch:
+            found = best.found if best else []
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids if best else np.empty(0, np.int64), [len(f[0]) for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64), pa.int64())], names=["query_id", "row"])
+
+        for batch in arrow_rows(batches, CHUNK):
+            of, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            turns = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(of)], strict=True):
+                part = batch.slice(a, b - a)
+                if of[a] != now:
+                    yield out()
+                    now, best, ids, queries = of[a], None, [], []
+                if kind[a] == 0:
+                    ids.append(part.column("vec_id").to_numpy())
+                    queries.append(matrix(part.column("v")))
+                    continue
+                if best is None:
+                    asked_now = np.concatenate(queries)
+                    best = _Best(ix, np.concatenate(ids), asked_now, wanted_of(ix, asked_now), most)
+                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                best.add(*[part.column(c).to_numpy() for c in ("list", "vec_id", "row")], codes, part.column("own").to_numpy())
+        yield out()
+
+    found = stream.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(search, "query_id long, row long")
+    ranked = found.join(placed.select("row", "vec_id", "v"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    ranked = ranked.select("query_id", "vec_id", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

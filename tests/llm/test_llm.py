@@ -250,28 +250,65 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(c) for c in v] if v is not None else None, 1, "q") for i, v in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id long, embedding array<float>, list int, rank string")
 
 
-def test_ann_recall_and_exact_scores(spark):
-    x = np.random.default_rng(3).normal(size=(3000, 16)).astype(np.float32)
+def ann_recall(spark, x, k=10):
+    """Share of the true neighbours found; every score must be exact and every list full."""
     got = defaultdict(list)
-    for r in ann.neighbours(vectors(spark, x), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(vectors(spark, x), F.col("vec_id") % 100 == 0, k).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hits = 0
-    for q in range(0, 3000, 100):
+    for q in range(0, len(x), 100):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
         d[q] = np.inf
-        assert all(abs(d[i] - s) < 1e-12 for i, s in got[q]) and len(got[q]) == 10
-        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in got[q]})
-    assert hits / 300 >= 0.9
+        assert all(abs(d[i] - s) < 1e-12 for i, s in got[q]) and len(got[q]) == min(k, len(x) - 1) and q not in dict(got[q])
+        hits += len(set(np.argsort(d, kind="stable")[:k].tolist()) & {i for i, _ in got[q]})
+    return hits / (k * len(range(0, len(x), 100)))
+
+
+def test_ann_recall_and_exact_scores(spark):
+    assert ann_recall(spark, np.random.default_rng(3).normal(size=(3000, 16)).astype(np.float32)) >= 0.9
+
+
+def test_ann_looks_into_few_rows_where_vectors_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(200, 24))[rng.integers(0, 200, 12_000)] + 0.2 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    shares = []
+    calibrated = ann.calibrated_share
+    monkeypatch.setattr(ann, "calibrated_share", lambda *a: shares.append(calibrated(*a)) or shares[-1])
+    assert ann_recall(spark, x) >= 0.9 and shares[0] < 0.2
+
+
+def test_ann_answers_can_be_longer_than_the_reranked_list(spark):
+    x = np.random.default_rng(6).normal(size=(600, 8)).astype(np.float32)
+    assert ann_recall(spark, x, 550) >= 0.9
+
+
+def test_ann_many_copies_crowd_nothing_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    x[300:1200] = x[0] + 0.3
+    rows = ann.neighbours(vectors(spark, x), F.col("vec_id").isin(0, 700)).collect()
+    of = lambda q: [(r["vec_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
+    assert of(700) == [(i, 0.0) for i in range(300, 310)]
+    d = np.sqrt(((x.astype(float) - x[0].astype(float)) ** 2).sum(1))
+    d[0] = np.inf
+    assert [i for i, _ in of(0)] == np.lexsort((np.arange(1500), d))[:10].tolist()
 
 
 def test_ann_ties_bad_vectors_and_few_rows(spark):
     good = [[1.0, 0, 0]] * 40 + [[0.0, 1, 0]]
-    bad = [None, [0.0, 0, 0], [float("nan"), 1, 1], [float("inf"), 0, 0], [1.0, 2.0]]
-    rows = ann.neighbours(vectors(spark, good + bad), F.col("vec_id") == 0).orderBy("rank").collect()
+    bad = [None, [0.0, 0.0, 0.0], [float("nan"), 1.0, 1.0], [float("inf"), 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0]]
+    df = vectors(spark, good).unionByName(spark.createDataFrame([(100 + i, v, 1, "q") for i, v in enumerate(bad)] + [(None, [1.0, 0.0, 0.0], 1, "q")], "vec_id long, embedding array<float>, list int, rank string"))
+    rows = ann.neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in rows] == list(range(1, 11)) and all(r["score"] == 0 for r in rows)
     few = ann.neighbours(vectors(spark, good[-2:]), F.col("vec_id") >= 0).collect()
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(0, 1), (1, 0)}
     assert ann.neighbours(vectors(spark, []), F.col("vec_id") >= 0).count() == 0
+    # Lengths are searched apart; a repeated id is one query and no candidate of its own.
+    mixed = vectors(spark, [[1.0, 2.0], [1.0, 3.0], [0.5, 0.5, 0.5], [0.5, 0.5, 1.5]], [7, 8, 8, 9])
+    got = {(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(mixed, F.col("vec_id") >= 0).collect()}
+    assert got == {(7, 8, 1.0), (8, 7, 1.0), (8, 9, 1.0), (9, 8, 1.0)}
+    again = ann.neighbours(vectors(spark, [[1.0, 0.0], [1.0, 0.5], [3.0, 0.0]], [1, 1, 2]), F.col("vec_id") == 1).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in again] == [(1, 2, 2.0)]
 
 
 # 5 toxicity
