@@ -1,27 +1,29 @@
 """Quality rules as a short-circuit cascade, in native expressions only.
 
-Method. Every rule is a boolean expression that rejects a text. On a small sample each rule's cost (seconds of a job
-over the sample, less those of an empty job) and its rejection share are measured; rules run in the order of rejections
-per cost as the branches of one CASE, so a text that a cheap rule rejects never reaches the dear ones. The order changes
-the cost, never the verdict: a text is kept if no rule rejects it. The sample steers the order alone.
-
-Repeated 8-word windows are found inside one row: word hashes, window hashes, and only where two window hashes agree a
-sort of (hash, position). Nothing is shuffled, so hot sources don't matter. Two different windows count as equal if
-their 64-bit hashes collide, at odds below n^2 / 2^65 in a text of n words.
-
-A null text has no words: it fails the base rule on word count. Repeated rows give repeated rows.
+Method. Every rule is a boolean expression that rejects a text. On a sample each rule's cost and its rejection share are
+estimated; rules run in the order of rejections per cost as the branches of one CASE, so a text that a cheap rule rejects
+never reaches the dear ones. The order changes the cost, never the verdict: a text is kept if no rule rejects it. The
+sample is the `SAMPLE_ROWS` rows of least hash in the whole table, texts of any length. Cost is work: how many bytes and
+words of the sample a rule goes over, times its steps for each, so that every run finds the same order.
+
+All rules share the words of a text, split once. Repeated 8-word windows are found inside one row: word hashes, window
+hashes, and only where two window hashes agree a sort of (hash, position). Nothing is shuffled, so hot sources don't
+matter. Two different windows count as equal if their 64-bit hashes collide, at odds below n^2 / 2^65 in a text of n words.
+
+`judge` returns the base counts of every row, so these are worked out in any case; its cascade orders what is then left,
+comparisons of counts. `keep`, the pipeline's stage, is where the order saves work. A null text has no words: it fails the base
+rule on word count. Repeated rows give repeated rows, an empty table none; other columns, whatever their names, are kept by `keep`.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, let
+from .common import SEPARATORS, let, written
 
 WINDOW = 8
 #: Fixed values of the base rules and of the symbol class.
@@ -30,8 +32,6 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Rows that steer the order of the cascade.
 SAMPLE_ROWS = 400
-#: Longer texts aren't taken into that sample (they are still judged whole).
-SAMPLE_TEXT_BYTES = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -50,12 +50,9 @@ def _worded_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
 
 
-def n_lines(text: Column) -> Column:
-    return F.size(_worded_lines(text)).cast("long")
-
-
-def n_dup_lines(text: Column) -> Column:
-    return let(_worded_lines(text), lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
+def lines(text: Column) -> Column:
+    """A struct of n_lines (lines with a word) and n_dup_lines (those equal to an earlier one)."""
+    return let(_worded_lines(text), lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
 
 
 def _covered(hashes: Column) -> Column:
@@ -81,58 +78,73 @@ def n_repeat_words(word_array: Column) -> Column:
     return let(word_array, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(hashed(w)))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_metrics(text: Column) -> Column:
-    """A struct of the base counts of one text."""
+    """A struct of the base counts of one text, and n_lines."""
 
     def of(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            word_chars(text).alias("word_chars"),
-            n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"),
-            n_repeat_words(w).alias("n_repeat_words"),
-        )
+        return F.struct(F.size(w).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), lines(text).alias("lines"), n_repeat_words(w).alias("n_repeat_words"))
+
+    flat = lambda b: F.struct(*[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")], b["lines"]["n_dup_lines"].alias("n_dup_lines"), b["lines"]["n_lines"].alias("n_lines"))
+    return let(let(words(text), of), flat)
 
-    return let(words(text), of)
+
+class Parts:
+    """What rules look at: the text, its words, and counts, each worked out where a rule asks for it unless it is known."""
+
+    def __init__(self, text: Column, word_array: Column, known: Column | None = None):
+        self.text, self.words, self.known = text, word_array, known
+
+    def count(self, name: str) -> Column:
+        if self.known is not None:
+            return self.known[name]
+        if name in ("n_lines", "n_dup_lines"):
+            return lines(self.text)[name]
+        return {"n_words": lambda: F.size(self.words), "word_chars": lambda: word_chars(self.text), "n_symbols": lambda: n_symbols(self.text), "n_repeat_words": lambda: n_repeat_words(self.words)}[name]()
+
+    def lines(self) -> Column:
+        return lines(self.text) if self.known is None else F.struct(self.known["n_lines"].alias("n_lines"), self.known["n_dup_lines"].alias("n_dup_lines"))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects(text): true if the rule rejects a (never null) text."""
+    """rejects(parts): true if the rule rejects a (never null) text. Its work: steps for each byte of the text and each word."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Parts], Column]
+    byte_steps: float = 0.0
+    word_steps: float = 0.0
 
 
-#: The base rules, as rules of a cascade.
+#: The base rules, as rules of a cascade. Steps: a pass over the characters is one a byte; hashing words and windows forty a word.
 BASE_RULES = (
-    Rule("too_few_words", lambda t: F.size(words(t)) < MIN_WORDS),
-    Rule("repeated_windows", lambda t: let(words(t), lambda w: 100 * n_repeat_words(w) > MAX_REPEAT_PERCENT * F.size(w))),
+    Rule("too_few_words", lambda p: p.count("n_words") < MIN_WORDS),
+    Rule("repeated_windows", lambda p: 100 * p.count("n_repeat_words") > MAX_REPEAT_PERCENT * p.count("n_words"), word_steps=40),
 )
 #: Rules beyond the base: over a symbol in ten words; half of the lines said before; words too short or long on average.
 METHOD_RULES = (
-    Rule("symbol_ratio", lambda t: 10 * n_symbols(t) > F.size(words(t))),
-    Rule("duplicate_lines", lambda t: let(F.struct(n_dup_lines(t).alias("d"), n_lines(t).alias("n")), lambda x: 2 * x["d"] > x["n"])),
-    Rule("word_length", lambda t: let(F.struct(word_chars(t).alias("c"), F.size(words(t)).alias("n")), lambda x: (x["c"] < 2 * x["n"]) | (x["c"] > 15 * x["n"]))),
+    Rule("symbol_ratio", lambda p: 10 * p.count("n_symbols") > p.count("n_words"), byte_steps=1),
+    Rule("duplicate_lines", lambda p: let(p.lines(), lambda x: 2 * x["n_dup_lines"] > x["n_lines"]), byte_steps=2),
+    Rule("word_length", lambda p: let(p.count("word_chars"), lambda c: (c < 2 * p.count("n_words")) | (c > 15 * p.count("n_words"))), byte_steps=1),
 )
 
 
 def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The first rows that a scan meets, as a small table; takes a partition or a few, never the whole input."""
-    slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    return docs.sparkSession.createDataFrame([tuple(r) for r in slim.head(rows)], "text string").coalesce(1)
+    """The texts (null as empty) of the rows of least hash in the whole table. All columns are hashed, so that copies of a text don't come all or none."""
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
+    slim = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), hashed.alias("hash"))
+    return written(slim.orderBy("hash", "text").limit(rows).select("text"), "quality-sample")
 
 
 def estimate(sample: DataFrame, rules: tuple[Rule, ...]) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds, share rejected) of each rule over the sample."""
-
-    def timed(condition: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        share = sample.agg(F.avg(F.when(condition, 1.0).otherwise(0.0))).first()[0]
-        return time.perf_counter() - began, share or 0.0
-
-    empty = min(timed(F.lit(False))[0] for _ in range(2))
-    return [(r, max(seconds - empty, 1e-3), share) for r in rules for seconds, share in [timed(r.rejects(F.col("text")))]]
+    """(rule, steps of work a text, share rejected) of each rule over the sample."""
+    split = sample.select("text", words(F.col("text")).alias("words"))
+    parts = Parts(F.col("text"), F.col("words"))
+    size, count = F.avg(F.octet_length("text")), F.avg(F.size("words"))
+    found = split.agg(F.coalesce(size, F.lit(0.0)), F.coalesce(count, F.lit(0.0)), *[F.coalesce(F.avg(F.when(r.rejects(parts), 1.0).otherwise(0.0)), F.lit(0.0)) for r in rules]).first()
+    return [(r, 1 + r.byte_steps * found[0] + r.word_steps * found[1], share) for r, share in zip(rules, found[2:], strict=True)]
 
 
 def order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
@@ -140,14 +152,12 @@ def order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
     return [r for r, _, _ in sorted(estimates, key=lambda e: (-(e[2] / e[1]), e[1], e[0].name))]
 
 
-def verdict(rules: list[Rule], text: Column) -> Column:
+def verdict(rules: list[Rule], parts: Parts) -> Column:
     """True if no rule rejects: one CASE, whose branches run in order and stop at the first rejection."""
-    text = F.coalesce(text, F.lit(""))
-    first, *rest = rules
-    out = F.when(first.rejects(text), False)
-    for r in rest:
-        out = out.when(r.rejects(text), False)
-    return out.otherwise(True)
+    out = F
+    for r in rules:
+        out = out.when(r.rejects(parts), False)
+    return out.otherwise(True) if rules else F.lit(True)
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> list[Rule]:
@@ -156,17 +166,19 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> lis
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + METHOD_RULES, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, all columns kept."""
-    return docs.where(verdict(ordered(docs, rules, text), F.col(text)))
+    chosen = ordered(docs, rules, text)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.where(let(words(whole), lambda w: verdict(chosen, Parts(whole, w))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every row."""
     chosen = ordered(docs, rules)
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("b", base_metrics(F.col("text")))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_metrics(text).alias("b"))
     failed = (F.col("b.n_words") < MIN_WORDS) | (100 * F.col("b.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("b.n_words"))
-    kept = F.when(failed, False).otherwise(verdict(chosen, F.col("text")))
-    return df.select("doc_id", *[f"b.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), kept.alias("kept"))
+    kept = F.when(failed, False).otherwise(verdict(chosen, Parts(F.lit(None), F.lit(None), F.col("b"))))
+    return df.select("doc_id", *[f"b.{c}" for c in BASE], failed.alias("base_failed"), kept.alias("kept"))
 
 
 #: DuckDB SQL of `judge` with its default rules.

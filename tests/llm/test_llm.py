@@ -546,6 +546,24 @@ def test_cascade_order_is_rejections_per_cost():
     assert [r.name for r in quality_cascade.order([(a, 1.0, 0.1), (b, 0.1, 0.05), (c, 5.0, 0.0), (d, 0.2, 0.0)])] == ["b", "a", "d", "c"]
 
 
+def test_cascade_order_is_the_same_in_every_run_and_never_changes_a_verdict(spark):
+    texts = TEXTS + ["| # word " * 30] * 9 + ["line of some words here\n" * 9] * 4 + ["unique " + " ".join(f"w{i}" for i in range(40))] * 20
+    rules = quality_cascade.BASE_RULES + quality_cascade.METHOD_RULES
+    docs = table(spark, texts)
+    orders = {tuple(r.name for r in quality_cascade.ordered(d, rules)) for d in [docs] * 5 + [docs.repartition(n) for n in range(1, 6)]}
+    assert len(orders) == 1
+    want = {i for i, t in enumerate(texts) if brute_quality(t)[-1]}
+    for chosen in (rules, rules[::-1]):
+        text = F.coalesce("text", F.lit(""))
+        kept = docs.where(quality_cascade.verdict(list(chosen), quality_cascade.Parts(text, quality_cascade.words(text)))).collect()
+        assert {r["doc_id"] for r in kept} == want
+    sampled = {r["text"] for r in quality_cascade.sample_of(docs.repartition(3), rows=8).collect()}
+    assert sampled == {r["text"] for r in quality_cascade.sample_of(docs, rows=8).collect()}
+    assert quality_cascade.keep(empty(spark)).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("words", "b", "kept", "lines")})
+    assert quality_cascade.keep(clash).columns == clash.columns and {r["doc_id"] for r in quality_cascade.keep(clash).collect()} == want
+
+
 # 10 language-model scores
 def test_ppm_base_scores_and_counts(spark):
     texts = TEXTS + [f"common words and rare{i} token{i % 7}" for i in range(60)]
