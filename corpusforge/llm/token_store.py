@@ -3,22 +3,29 @@
 Method. Each document's ids, with its end id, are cut into chunks where a rolling hash of the last ids has its low bits
 zero, so equal passages give equal chunks wherever they stand. A chunk is named by the hash of its bytes and stored
 once. A document is a recipe: the names of its chunks in order. Recipes are kept in ascending doc_id order with the
-position of the document in the whole id stream, and a manifest holds Merkle roots over the recipes.
+position of the document in the whole id stream, and a manifest holds Merkle roots: of each part over its recipes with
+their positions, and one of the whole store over the parts.
 
 Files, all Parquet, in one folder (no file is rewritten):
   objects/kind=chunk    hash (16 bytes), data (ids, little-endian, 2 bytes each if the vocabulary fits, else 4)
   objects/kind=recipe   recipes as encoded, not yet in order
   recipes               part, doc_id, start, n_tokens, hashes; each part is a range of ascending doc_id
-  manifest              part, n_docs, n_tokens, root (Merkle root of the part's recipes)
+  manifest              part, n_docs, n_tokens, root (Merkle root of the part's recipes), item (bytes of a stored id);
+                        the row of part -1 has the totals and the root over the parts' rows in turn
 
-Reading back checks every chunk's bytes against its name. A document's checksum is combined from its chunks' checksums
+Reading back checks every chunk's bytes against its name, and all recipes against the manifest: a changed, missing or added
+recipe, position or part stops it. A document's checksum is combined from its chunks' checksums
 (crc32 is linear), so id data move once, to be made unique, and never again; `reconstruct` returns the ids themselves.
 A null text is empty: its stream is the end id alone. Repeated rows are documents of their own. Null ids come first.
+Columns besides doc_id and text are left out, whatever their names; an empty table gives a store without documents.
+
+Texts are encoded word by word if the tokenizer's definition is the one that this is proven for (`SPLITS`), else whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -33,6 +40,19 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_characters
 from .common import arrow_rows, shared_folder
 
+#: The normaliser and pre-tokeniser under which a text's ids are its words' ids in turn.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Part number of the whole store in the manifest.
+WHOLE = -1
 #: Chunking: ids in the rolling window, mean, least and greatest length of a chunk in ids.
 ROLLING, MEAN, LEAST, GREATEST = 8, 256, 32, 2048
 #: Distinct words that a worker remembers, and the longest of them; they change speed only.
@@ -96,6 +116,26 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, words))
 
 
+class WholeEncoder:
+    """Ids of whole texts by any tokenizer of the library."""
+
+    def __init__(self, definition: str, width: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.width = Tokenizer.from_str(definition), width
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+
+def splits_at_words(definition: str) -> bool:
+    """Whether `WordEncoder` gives this tokenizer's ids: the known splits, byte-level BPE with word ends, tokens added only in `<|...|>`."""
+    d = json.loads(definition)
+    model = d["model"]
+    known = all(d[k] == v for k, v in SPLITS.items()) and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+    return known and all(t["content"].startswith("<|") and t["content"].endswith("|>") and not any(t[k] for k in ("single_word", "lstrip", "rstrip")) for t in d["added_tokens"])
+
+
 class _Memo(dict):
     """Packed ids by word; a word that isn't there is encoded, and remembered if it is short."""
 
@@ -113,17 +153,17 @@ class _Memo(dict):
         return ids
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}
 
 
-def _encoder(shared) -> WordEncoder:
+def _encoder(shared) -> WordEncoder | WholeEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     name, definition, width = shared.value
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = WordEncoder(definition, width)
+        _encoders[name] = (WordEncoder if splits_at_words(definition) else WholeEncoder)(definition, width)
     return _encoders[name]
 
 
@@ -206,7 +246,7 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
     ordered.write.option("compression", "zstd").parquet(f"{folder}/unplaced")
     placed = _placed(spark.read.schema(ordered.schema).parquet(f"{folder}/unplaced"))
     placed.write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    _manifest(read_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
+    _with_whole(_manifest(read_recipes(spark, folder)), item).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -226,22 +266,32 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
         def leaf_rows():
             for batch in batches:
-                yield from zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "hashes")], strict=True)
+                yield from zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "start", "n_tokens", "hashes")], strict=True)
 
         stack = _Stack()
-        for p, doc_id, n, hashes in leaf_rows():
+        for p, doc_id, start, n, hashes in leaf_rows():
             if p != part:
                 if part is not None:
                     rows.append((part, count, tokens, stack.root()))
                 part, count, tokens, stack = p, 0, 0, _Stack()
-            stack.add(name_of(f"{doc_id}:{n}:".encode() + hashes))
+            stack.add(name_of(f"{doc_id}:{start}:{n}:".encode() + hashes))
             count, tokens = count + 1, tokens + n
         if part is not None:
             rows.append((part, count, tokens, stack.root()))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "n_docs", "n_tokens", "root"])
 
-    return recipes.repartition("part").sortWithinPartitions("part", "start").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+    return recipes.repartition("part").sortWithinPartitions("part", "start", "doc_id", "hashes").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+
+
+def _with_whole(manifest: DataFrame, item: int) -> DataFrame:
+    """The manifest with the bytes of an id, and the row of the whole store."""
+    parts = manifest.orderBy("part").collect()  # a row a part, that is a task's share of all documents
+    stack = _Stack()
+    for p in parts:
+        stack.add(name_of(f"{p['part']}:{p['n_docs']}:{p['n_tokens']}:{item}:".encode() + bytes(p["root"])))
+    rows = [(WHOLE, sum(p["n_docs"] for p in parts), sum(p["n_tokens"] for p in parts), stack.root())] + [tuple(p) for p in parts]
+    return manifest.sparkSession.createDataFrame([(*r, item) for r in rows], "part int, n_docs long, n_tokens long, root binary, item int")
 
 
 class _Stack:
@@ -273,10 +323,24 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("hash binary, data binary, kind string").parquet(f"{folder}/objects").where("kind = 'chunk'").select("hash", "data")
 
 
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("part int, n_docs long, n_tokens long, root binary, item int").parquet(f"{folder}/manifest")
+
+
+def item_of(spark: SparkSession, folder: str) -> int:
+    """Bytes of a stored id."""
+    found = read_manifest(spark, folder).where(F.col("part") == WHOLE).select("item").first()
+    if found is None:
+        raise ValueError("the manifest doesn't list the whole store")
+    return found[0]
+
+
 def damaged(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts whose recipes no longer give the manifest's root; none if the store is whole."""
-    kept = spark.read.parquet(f"{folder}/manifest").withColumnRenamed("root", "kept")
-    return kept.join(_manifest(read_recipes(spark, folder)).select("part", "root"), "part", "left").where("root is null or root <> kept").select("part")
+    """Parts whose recipes aren't what the manifest lists, whether changed, missing or added, and -1 if the whole isn't; none if the store is sound."""
+    kept, now = read_manifest(spark, folder), _with_whole(_manifest(read_recipes(spark, folder)), item_of(spark, folder))
+    columns = ["n_docs", "n_tokens", "root", "item"]
+    both = kept.select("part", F.struct(*columns).alias("kept")).join(now.select("part", F.struct(*columns).alias("now")), "part", "full")
+    return both.where(~F.col("kept").eqNullSafe(F.col("now"))).select("part")
 
 
 def _ids_as_u32(data: bytes, item: int) -> bytes:
@@ -323,11 +387,16 @@ def crc_of_chunks(sizes: np.ndarray, n_ids: np.ndarray, crcs: np.ndarray) -> np.
     return out
 
 
-def digests(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
+def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files.
 
-    Every stored chunk is read, held against its name and given its checksum; recipes meet these by name.
+    The recipes are held against the manifest first. Every stored chunk is read, held against its name and given its
+    checksum; recipes meet these by name.
     """
+    item = item_of(spark, folder)
+    wrong = sorted(r["part"] for r in damaged(spark, folder).collect())  # a row a part at most
+    if wrong:
+        raise ValueError(f"recipes don't match the manifest in parts {wrong}")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 4096):
@@ -365,8 +434,9 @@ def digests(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
     return found.mapInArrow(combined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def reconstruct(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
+def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (array<int>, end id included) of each document."""
+    item = item_of(spark, folder)
     size = F.octet_length("hashes")
     used = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", "hashes", F.explode(F.sequence(F.lit(0), (size / 16 - 1).cast("int"))).alias("pos"))
     used = used.select("doc_id", "start", "n_tokens", "pos", F.substring(F.col("hashes"), F.col("pos") * 16 + 1, F.lit(16)).alias("hash"))

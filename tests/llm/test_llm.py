@@ -500,6 +500,57 @@ def test_token_store_round_trip(spark):
     assert token_store.digests(spark, token_store.build(empty(spark), WORD_BPE, 2)).count() == 0
 
 
+def rewrite(df, folder):
+    """Write a changed table of the store in place of the old one."""
+    rows = df.collect()
+    df.sparkSession.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(folder)
+
+
+def test_the_store_notices_every_change(spark):
+    texts = [f"some words number {i} " + "and more words here " * (i % 50) for i in range(60)]
+    recipes, start = (lambda f: token_store.read_recipes(spark, f)), F.col("start")
+    first = F.col("doc_id") == 7
+    changes = {
+        "start": lambda f: recipes(f).withColumn("start", F.when(first, start + 5).otherwise(start)),
+        "all starts": lambda f: recipes(f).withColumn("start", start + 5),
+        "n_tokens": lambda f: recipes(f).withColumn("n_tokens", F.when(first, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))),
+        "doc_id": lambda f: recipes(f).withColumn("doc_id", F.when(first, 700).otherwise(F.col("doc_id"))),
+        "dropped recipe": lambda f: recipes(f).where(~first),
+        "added part": lambda f: recipes(f).unionByName(recipes(f).where(first).withColumns({"part": F.lit(999), "start": F.lit(10**6).cast("long")})),
+    }
+    for name, change in changes.items():
+        folder = token_store.build(table(spark, texts), WORD_BPE, 2)
+        assert token_store.damaged(spark, folder).count() == 0
+        rewrite(change(folder), f"{folder}/recipes")
+        assert -1 in {r["part"] for r in token_store.damaged(spark, folder).collect()}, name
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.digests(spark, folder)
+    folder = token_store.build(table(spark, texts), WORD_BPE, 2)
+    flipped = F.concat(F.unhex(F.when(F.hex(F.substring("data", 1, 1)) == "01", "02").otherwise("01")), F.expr("substring(data, 2)"))
+    rewrite(token_store.read_chunks(spark, folder).withColumn("data", flipped), f"{folder}/objects/kind=chunk")
+    with pytest.raises(Exception, match="is damaged"):
+        token_store.digests(spark, folder).collect()
+
+
+def test_the_store_keeps_wide_ids_and_encodes_by_other_tokenizers(spark, tmp_path):
+    texts = ["Plain words, here.", "It's 42", "", None]
+    folder = token_store.build(table(spark, texts), WORD_BPE, 70_000)
+    rows = {r["doc_id"]: r for r in token_store.digests(spark, folder).collect()}
+    whole = {r["doc_id"]: r["ids"] for r in token_store.reconstruct(spark, folder).collect()}
+    for i, ids in enumerate(brute_ids(texts)):
+        assert whole[i] == ids[:-1] + [70_000] and rows[i]["ids_crc32"] == zlib.crc32(np.array(whole[i], "<u4").tobytes())
+    other = json.load(open(WORD_BPE))
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]  # keeps capital letters
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    assert token_store.splits_at_words(open(WORD_BPE).read()) and not token_store.splits_at_words(path.read_text())
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(path))
+    whole = {r["doc_id"]: r["ids"] for r in token_store.reconstruct(spark, token_store.build(table(spark, texts), str(path), 2)).collect()}
+    assert whole == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+
+
 def test_equal_passages_share_chunks():
     rng = np.random.default_rng(1)
     passage, a, b = rng.integers(0, 49000, 6000), rng.integers(0, 49000, 333), rng.integers(0, 49000, 1234)
