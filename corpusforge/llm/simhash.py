@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, utf8, written
+from .common import arrow_rows, free_name, utf8, written
 from .components import components
 
 RADIUS = 3
@@ -185,32 +185,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id.
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """docs with one row of each near-duplicate group, all columns kept whatever their names.
 
-    Of repeated rows with that doc_id one stays. A group whose rows all have a null doc_id keeps one of them.
+    Kept is the row of the smallest doc_id, of null ones only where a group has no other; of several such rows that of the
+    smallest text hash. Groups are told apart by their texts, so equal doc_ids of different groups all stay.
     """
-    fps = written(fingerprints(docs), "simhash-fingerprints")
-    groups = written(group_table(fps, radius), "simhash-groups")
-    ids = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.join(ids, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    # Rows without an id can only stay where a whole group has none; one of each such fingerprint's smallest member.
-    lone = groups.where("component_id is null")
-    if lone.isEmpty():
-        return named
-    roots = components(link_edges(lone.select("fp"), radius), "simhash-lone").where("node <> root").select(F.col("node").alias("fp"))
-    kept_fps = lone.join(roots, "fp", "left_anti").select("fp")
-    return named.unionByName(_one_of_each(docs.where("doc_id is null"), kept_fps))
-
-
-def _one_of_each(rows: DataFrame, kept_fps: DataFrame) -> DataFrame:
-    """One row for each fingerprint of kept_fps, fingerprints taken anew beside all columns."""
-    names = rows.columns
+    names = ["doc_id", "text_hash", "fp"]
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 256):
-            found = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*names, "_fp"])
-
-    hashed = rows.mapInArrow(run, rows.withColumn("_fp", F.lit(0).cast("long")).schema)
-    return hashed.join(kept_fps, hashed["_fp"] == kept_fps["fp"], "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+            found = np.array([fingerprint(t, width) for t in utf8(batch.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=names)
+
+    fps = written(slim.mapInArrow(run, "doc_id long, text_hash long, fp long"), "simhash-fingerprints")
+    roots = components(link_edges(fps.select("fp").distinct(), radius), "simhash-components").withColumnRenamed("node", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    rows = fps.groupBy("fp").agg(first).join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(rows.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")), "simhash-kept")
+    name = free_name([*docs.columns, "_doc", "_hash"], "text_hash")
+    hashed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    same = hashed["doc_id"].cast("long").eqNullSafe(kept["_doc"]) & (hashed[name] == kept["_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)

@@ -109,11 +109,14 @@ def test_links_within_three_bits_are_never_lost(spark):
 
 
 def test_simhash_keeps_one_of_each_group(spark):
+    """Equal doc_ids of different groups each keep their row; other columns stay, whatever their names."""
     texts = ["same text here now", "same text here now", "other words entirely different", None, "same text here now"]
     docs = table(spark, texts, [5, 3, 3, None, None]).unionByName(table(spark, ["lone null id text", "lone null id text"], [None, None]))
-    kept = simhash.keep_one(docs).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept if r["doc_id"] != 3) == [(True, 0, ""), (True, 0, "lone null id text")]
-    assert [r["doc_id"] for r in kept].count(3) == 1 and set(kept[0].asDict()) == set(docs.columns)
+    docs = docs.withColumns({c: F.lit(1) for c in ("_keep", "_fp", "_doc", "_hash", "text_hash", "root")})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "lone null id text"), (3, "other words entirely different"), (3, "same text here now")]
+    assert simhash.keep_one(empty(spark)).count() == 0
 
 
 def shingle_groups(texts, width=5):
@@ -150,10 +153,14 @@ def test_pipeline_near_duplicates_match_all_pairs_of_shingles(spark, monkeypatch
     import corpus_pipeline
 
     monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "BLOCK", 4 if small == 1 else 4_096)
     texts = near_copies()
     kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, table(spark, texts), "").collect())
     assert kept == sorted(set(shingle_groups(texts)))
     assert corpus_pipeline.one_of_near_duplicates(spark, empty(spark), "").count() == 0
+    clash = table(spark, texts).withColumns({c: F.lit(1) for c in ("text_hash", "_text_hash", "_doc", "_hash", "node", "_keep", "_fp")})
+    out = corpus_pipeline.one_of_near_duplicates(spark, clash, "")
+    assert out.columns == clash.columns and sorted(r["doc_id"] for r in out.collect()) == kept
 
 
 def test_pipeline_keeps_a_row_of_each_group_with_equal_ids(spark):
@@ -453,6 +460,19 @@ def test_sharding_law_slots_and_growth(spark):
     assert sharding.shard_documents(empty(spark), 24).count() == 0
 
 
+def test_shards_equal_brute_force_and_a_run_with_one_more(spark):
+    docs = table(spark, [f"text {i}" for i in range(500)] + ["null id"], [*range(500), None])
+    salted = docs.select("doc_id", F.array(*[F.xxhash64("doc_id", F.lit(i)) for i in range(25)]).alias("h")).collect()
+    best = {}
+    for r in salted:
+        scores = [-1.0 / math.log((((h & (1 << 64) - 1) >> 12) + 0.5) / 2**52) for h in r["h"]]
+        best[r["doc_id"]] = tuple(max(range(n), key=lambda i, s=scores: (s[i], -i)) for n in (24, 25))
+    rows = {r["doc_id"]: r for r in sharding.shard_documents(docs, 24).collect()}
+    grown = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 25).collect()}
+    assert {i: (r["shard"], r["grown_shard"]) for i, r in rows.items()} == best
+    assert grown == {i: r["grown_shard"] for i, r in rows.items()}
+
+
 def test_weights_set_the_shares(spark):
     rows = sharding.assign(spark.range(20000).withColumnRenamed("id", "doc_id"), F.col("doc_id"), [1.0, 3.0, 0.0]).groupBy("shard").count().collect()
     share = {r["shard"]: r["count"] / 20000 for r in rows}
@@ -759,3 +779,17 @@ def test_pipeline_stage_by_stage(spark, pipeline_folder):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     final = corpus_pipeline.run(spark, pipeline_folder).collect()
     assert {r["doc_id"] for r in final} == kept and all(r["round_trip"] for r in final)
+
+
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs, labels, _ = labelled(spark, 60)
+    docs = docs.withColumns({c: F.lit("x") for c in ("_keep", "_fp", "_tokens", "mix", "words", "node", "toxic", "probability", "root")})
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r["_keep"] == r["mix"] == "x" for r in out.collect()), name
