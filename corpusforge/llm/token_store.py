@@ -175,25 +175,35 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: content-defined, LEAST to GREATEST ids each (the last may be shorter)."""
-    n = len(ids)
-    gear = _gear(ids)
-    rolled = gear.copy()
-    for k in range(1, min(ROLLING, n)):
+def cuts_of(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Ends of the chunks of id streams that stand one behind another: content-defined, LEAST to GREATEST ids each (the last may be shorter)."""
+    rolled = _gear(ids)
+    gear = rolled.copy()
+    # Ids of the stream before reach into a stream's first ROLLING ids alone, where nothing is cut (LEAST is more).
+    for k in range(1, min(ROLLING, len(ids))):
         rolled[k:] += gear[:-k] << np.uint64(k)
     marks = np.flatnonzero((rolled >> np.uint64(ROLLING)) % np.uint64(MEAN) == 0) + 1
-    out, begin = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - begin > GREATEST:
-            begin += GREATEST
-            out.append(begin)
-        if mark - begin >= LEAST and mark < n or mark == n and mark > begin:
-            out.append(mark)
-            begin = mark
+    stops = np.cumsum(sizes)
+    own = np.searchsorted(marks, np.concatenate([[0], stops]), side="left").tolist()
+    marks, out = marks.tolist(), []
+    for at, stop, a, b in zip((stops - sizes).tolist(), stops.tolist(), own[:-1], own[1:], strict=True):
+        n, begin, ends = stop - at, 0, []
+        for mark in [*[m - at for m in marks[a:b]], n]:
+            while mark - begin > GREATEST:
+                begin += GREATEST
+                ends.append(begin)
+            if mark - begin >= LEAST and mark < n or mark == n and mark > begin:
+                ends.append(mark)
+                begin = mark
+        out.append(ends)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cuts_of(ids, [len(ids)])[0]
+
+
 def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -217,10 +227,11 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
         encoder, sent = _encoder(shared), set()
         for batch in arrow_rows(batches, 128):
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = encoder.encode(text or "") + end
+            streams = [encoder.encode(text or "") + end for text in batch.column("text").to_pylist()]
+            ends = cuts_of(np.frombuffer(b"".join(streams), width), [len(s) // item for s in streams])
+            for doc_id, data, stops in zip(batch.column("doc_id").to_pylist(), streams, ends, strict=True):
                 begin, names = 0, []
-                for stop in cuts(np.frombuffer(data, width)):
+                for stop in stops:
                     chunk = data[begin * item : stop * item]
                     begin = stop
                     names.append(name := name_of(chunk))
