@@ -70,12 +70,11 @@ def clean_rewrite(spark, sf_dir):
     return spark.createDataFrame(rows, "row_id long, raw string, original string").select("row_id", T.clean_rewrite(F.col("raw"), F.col("original")).alias("query"))
 
 
-@query("timings_merge", "SELECT user_id, event_type AS step, round(sum(value), 4) AS seconds FROM events WHERE user_id < 20 AND event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY ALL")
+@query("timings_merge", "SELECT user_id, event_type AS step, round(sum(value), 4) AS seconds FROM events GROUP BY ALL")
 def timings_merge(spark, sf_dir):
     """Two maps a user, of even and odd events, added step by step."""
-    events = table(spark, sf_dir, "events").where("user_id < 20")
-    steps = events.select("event_type").distinct().orderBy("event_type").limit(2)
-    sums = events.join(F.broadcast(steps), "event_type", "left_semi").groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("half")).agg(F.sum("value").alias("v"))
+    events = table(spark, sf_dir, "events")
+    sums = events.groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("half")).agg(F.sum("value").alias("v"))
     maps = sums.groupBy("user_id").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("half") == h, F.struct("event_type", "v")))).alias(f"m{h}") for h in (0, 1)])
     return maps.select("user_id", F.explode(routing.merged_timings(F.col("m0"), F.col("m1"))).alias("step", "seconds")).withColumn("seconds", F.round("seconds", 4))
 

@@ -190,6 +190,19 @@ def test_postfilter_underfills_and_prefilter_does_not(spark):
 
 def test_safe_arithmetic_and_cover():
     assert udfs.evaluate("2*(3-1)") == "4" and udfs.evaluate("9**9**9") is None and udfs.evaluate("f()") is None and udfs.evaluate(None) is None
+    import random
+    from itertools import combinations
+
+    for e, v in {"-2**2": "-4", "2**-1": "0.5", "2**3**2": "512", "-(1+2)*3": "-9", "1 - -1": "2", "10/4": "2.5", "1.5e2+.5": "150.5", "2*-3": "-6", "0.1+0.2": "0.3", "--4": "4"}.items():
+        assert udfs.evaluate(e) == v, e
+    assert all(udfs.evaluate(e) is None for e in ("", "1+", "(1", "1)", "1 2", "2(3)", "()", "a", "1/0", "2**65", "1,5", "+", "0x10"))
+    rng = random.Random(3)
+    for _ in range(200):
+        sets = [rng.sample(range(9), rng.randint(0 if rng.random() < 0.05 else 1, 4)) for _ in range(rng.randint(0, 5))]
+        fit = lambda c, sets=sets: all(set(c) & set(s) for s in sets)
+        want = next((list(c) for n in range(len(sets) + 1) for c in combinations(range(9), n) if fit(c)), None)
+        assert udfs.smallest_cover(sets) == want
+    assert udfs.smallest_cover([[i, 50 + i // 20] for i in range(4)] + [list(range(5000))] * 3) is not None
     assert udfs.smallest_cover([[1, 2], [2, 3]]) == [2] and udfs.smallest_cover([[1], []]) is None and udfs.smallest_cover([]) == []
 
 
