@@ -1,6 +1,8 @@
-"""Batches of questions from index to answer: route, retrieve, fuse, cut, widen, order, generate.
+"""Batches of questions from index to answer: route, retrieve, fuse, re-rank, correct, cut, widen, order, generate, check.
 
-Models are functions on DataFrames. Without one, `extract` answers with the first sentence of the best context.
+Models are functions on DataFrames, and each is optional. Without one, `extract` answers with the first sentence of the
+best context. A model gets only the rows that need it. Plans are lazy and a row may be read by several branches: `settle`
+is called between steps, and a caller with costly models gives one that writes a table (checkpoint, say).
 """
 
 from __future__ import annotations
@@ -11,56 +13,159 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import sentences
+from .functions import text as T
+from .functions.udfs import nfkc_tokens
 from .operators import context, fusion, lexical, routing, vectors
 from .settings import DEFAULTS, Settings
 
+Step = Callable[[DataFrame], DataFrame]
+
+#: Lists in the order in which ties are broken: vectors and BM25 of the query, then of the hypothetical text.
+VECTORS, WORDS, HYPO_VECTORS, HYPO_WORDS = range(4)
+
 
 def extract(contexts: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: the first sentence."""
-    return contexts.withColumn("answer", F.get(sentences(F.col("context")), F.lit(0)))
+    return contexts.withColumn("answer", F.get(T.sentences(F.col("context")), F.lit(0)))
 
 
 @dataclass
 class Engine:
-    """chunks: the chunk table, with `embedding` if vectors are to be searched; embed: question rows to rows with query_vector."""
+    """chunks: the chunk table, with `embedding` if vectors are to be searched.
+
+    embed: rows (query_id, question) to rows with query_vector. generate: adds answer to (query_id, question, context,
+    sources). analyse: text to terms. hypothesize: adds raw, a made-up passage (with settings.hyde). permute: adds
+    permutation to (query_id, question, documents), documents being texts in rank order (with settings.rerank). grade and
+    rewrite: see routing.corrective_loop. judge: see routing.verified. repair: see routing.repaired. plan: adds raw, a JSON
+    array of sub-questions (with settings.team_routing); synthesize: adds answer to (query_id, question, answers).
+    """
 
     chunks: DataFrame
     settings: Settings = DEFAULTS
-    embed: Callable[[DataFrame], DataFrame] | None = None
-    generate: Callable[[DataFrame], DataFrame] = field(default=extract)
+    embed: Step | None = None
+    generate: Step = field(default=extract)
+    analyse: lexical.Analyser = nfkc_tokens
+    hypothesize: Step | None = None
+    permute: Step | None = None
+    grade: Step | None = None
+    rewrite: Step | None = None
+    judge: Step | None = None
+    repair: Step | None = None
+    plan: Step | None = None
+    synthesize: Step | None = None
+    settle: Step = field(default=lambda df: df)
+
+    def by_words(self, asked: DataFrame, k: int, list_id: int) -> DataFrame:
+        """query_id, list_id, rank, chunk_index: BM25 of asked's `question`."""
+        s = self.settings
+        best = lexical.bm25_topk(self.chunks, asked, "chunk_index", k, "page_content", k1=s.bm25_k1, b=s.bm25_b, epsilon=s.bm25_epsilon, analyse=self.analyse)
+        return best.select("query_id", F.lit(list_id).alias("list_id"), "rank", "chunk_index")
+
+    def by_vectors(self, asked: DataFrame, k: int, list_id: int) -> DataFrame:
+        """The same of the nearest vectors."""
+        index = self.chunks.select(F.col("chunk_index").alias("vec_id"), "embedding")
+        near = vectors.nearest(index, self.embed(asked), k)
+        return near.select("query_id", F.lit(list_id).alias("list_id"), "rank", F.col("vec_id").alias("chunk_index"))
 
     def lists(self, questions: DataFrame) -> DataFrame:
-        """Ranked lists of all retrievers (query_id, list_id, rank, key), superseded chunks left out unless history is asked for."""
+        """Ranked lists of all retrievers (query_id, list_id, rank, key, chunk_index) for `query`, or else `question`.
+
+        Superseded chunks are left out unless the question asks for history.
+        """
         s = self.settings
         k = 2 * s.top_k if s.version_filter else s.top_k
-        best = lexical.bm25_topk(self.chunks, questions, "chunk_index", k, "page_content", k1=s.bm25_k1, b=s.bm25_b, epsilon=s.bm25_epsilon)
-        found = best.select("query_id", F.lit(0).alias("list_id"), "rank", "chunk_index")
+        query = F.col("query" if "query" in questions.columns else "question")
+        asked = questions.select("query_id", query.alias("question"))
+        found = [self.by_words(asked, k, WORDS)]
         if self.embed is not None:
-            index = self.chunks.select(F.col("chunk_index").alias("vec_id"), "embedding")
-            near = vectors.nearest(index, self.embed(questions), k)
-            found = found.unionByName(near.select("query_id", F.lit(1).alias("list_id"), "rank", F.col("vec_id").alias("chunk_index")))
-        known = found.join(self.chunks.select("chunk_index", "superseded", F.col("md5").alias("key")), "chunk_index")
-        kept = [fusion.version_filtered(known.where(F.col("list_id") == i), questions, s.top_k, s.version_filter) for i in ((0, 1) if self.embed else (0,))]
-        out = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
-        return out.select("query_id", "list_id", "rank", "key", "chunk_index")
+            found.append(self.by_vectors(asked, k, VECTORS))
+        if s.hyde and self.hypothesize is not None:
+            said = self.settle(self.hypothesize(asked)).select("query_id", "question", T.clean_hypothetical(F.col("raw"), s.max_hypothetical_chars).alias("hypothetical")).where("hypothetical is not null")
+            if s.hyde_mode == "terms":
+                terms = said.select("query_id", T.expansion_terms(F.col("question"), F.col("hypothetical")).alias("question")).where("question is not null")
+                found.append(self.by_words(terms, k, HYPO_WORDS))
+            else:
+                texts = said.select("query_id", F.col("hypothetical").alias("question"))
+                found.append(self.by_words(texts, k, HYPO_WORDS))
+                if self.embed is not None:
+                    found.append(self.by_vectors(texts, k, HYPO_VECTORS))
+        keys = self.chunks.select("chunk_index", "superseded", F.col("md5").alias("key"))
+        kept = [fusion.version_filtered(rows.join(keys, "chunk_index"), questions, s.top_k, s.version_filter) for rows in found]
+        out = kept[0].select("query_id", "list_id", "rank", "key", "chunk_index")
+        for rows in kept[1:]:
+            out = out.unionByName(rows.select(*out.columns))
+        return out
 
     def search(self, questions: DataFrame) -> DataFrame:
-        """query_id, rank, chunk_index and the chunk's columns: the fused list."""
+        """query_id, rank, chunk_index and the chunk's columns: the fused list, re-ranked if a model is there for it."""
         lists = self.lists(questions)
         fused = fusion.fuse(lists, self.settings.top_k, self.settings.rrf_k)
         first = lists.select("query_id", "key", "chunk_index", "list_id", F.col("rank").alias("r")).groupBy("query_id", "key").agg(F.min_by("chunk_index", F.struct("list_id", "r")).alias("chunk_index"))
-        return fused.join(first, ["query_id", "key"]).join(self.chunks.drop("embedding"), "chunk_index")
+        found = fused.join(first, ["query_id", "key"]).join(self.chunks.drop("embedding"), "chunk_index")
+        if self.permute is None or not self.settings.rerank:
+            return found
+        texts = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "page_content"))).alias("d"))
+        listed = questions.select("query_id", "question").join(texts, "query_id").select("query_id", "question", F.col("d.page_content").alias("documents"))
+        given = self.settle(self.permute(listed)).select("query_id", "permutation")
+        return fusion.permuted(found, given).drop("rank").withColumnRenamed("new_rank", "rank")
 
-    def ask(self, questions: DataFrame) -> DataFrame:
-        """query_id, context, sources, answer of each question (query_id, question)."""
+    def corrected(self, questions: DataFrame) -> DataFrame:
+        """As `search`; where a judge finds a question's documents insufficient, it is rewritten and searched again."""
+        if self.grade is None or self.rewrite is None:
+            return self.search(questions)
+        asked = questions.select("query_id", "question")
+
+        def retrieve(rows: DataFrame) -> DataFrame:
+            listed = self.search(rows).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_index", "page_content"))).alias("documents"))
+            return rows.join(listed, "query_id", "left")
+
+        done = routing.corrective_loop(asked, retrieve, self.grade, self.rewrite, self.settings, self.settle)
+        kept = self.settle(done.select("query_id", F.col("documents"))).select("query_id", F.explode("documents").alias("d")).select("query_id", "d.rank", "d.chunk_index")
+        return kept.join(self.chunks.drop("embedding"), "chunk_index")
+
+    def contexts(self, questions: DataFrame, found: DataFrame) -> DataFrame:
+        """query_id, question, context, sources: what of each question's list goes into its prompt, empty if nothing was found."""
         s = self.settings
         routed = routing.routed(questions, s)
-        found = self.search(questions).join(routed.select("query_id", "generate_top_n", "neighbor_window"), "query_id")
-        kept = context.cut(found, F.col("generate_top_n"), s.exclude_diagrams)
+        met = found.join(routed.select("query_id", "generate_top_n", "neighbor_window"), "query_id")
+        kept = context.cut(met, F.col("generate_top_n"), s.exclude_diagrams)
         columns = ["query_id", "rank", "chunk_index", "source", "version", "superseded", "kind", "page_content"]
         plain = kept.where("neighbor_window = 0").select(*columns)
         widest = max([s.neighbor_window, *(w for _, w, *_ in routing.STRATEGIES)])
         for w in range(1, widest + 1):
             plain = plain.unionByName(context.neighbours_of(kept.where(F.col("neighbor_window") == w).select(*columns), self.chunks, w).select(*columns))
-        return self.generate(context.context_text(plain, s.context_order, s.context_separator, s.archived_prefix))
+        texts = context.context_text(plain, s.context_order, s.context_separator, s.archived_prefix)
+        whole = questions.select("query_id", "question").join(texts, "query_id", "left")
+        return whole.select("query_id", "question", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+    def answered(self, questions: DataFrame, found: DataFrame) -> DataFrame:
+        said = self.settle(self.generate(self.contexts(questions, found)))
+        mended = routing.repaired(said, self.repair) if self.repair is not None else said
+        return routing.verified(mended, self.judge, self.settings)
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        """query_id, question, context, sources, answer, grounded, unsupported_claim of each question (query_id, question).
+
+        With a planner, comparisons are taken apart: each part is searched once, without the corrective loop, and answered.
+        """
+        if self.plan is None or not self.settings.team_routing:
+            return self.answered(questions, self.corrected(questions))
+        routed = routing.routed(questions, self.settings)
+        plain, team = (routed.where(c).select("query_id", "question") for c in ("not use_team", "use_team"))
+        plans = self.settle(self.plan(team)).select("query_id", T.parse_plan(F.col("raw"), F.col("question"), self.settings.max_sub_questions).alias("sub_questions"))
+        parts = routing.fan_out(plans).select(F.struct("query_id", "pos").alias("query_id"), "question")
+        said = self.answered(parts, self.search(parts)).select("query_id.query_id", "query_id.pos", "answer", "sources")
+        joined = team.join(routing.fan_in(said), "query_id")
+        alone = joined.where("single").withColumn("answer", F.get("answers", F.lit(0)))
+        several = joined.where("not single")
+        merged = self.synthesize(several) if self.synthesize is not None else several.withColumn("answer", F.array_join("answers", "\n\n"))
+        both = alone.select("query_id", "question", "sources", "answer").unionByName(merged.select("query_id", "question", "sources", "answer"))
+        direct = self.answered(plain, self.corrected(plain))
+        return direct.unionByName(both, allowMissingColumns=True)
+
+    def search_text(self, questions: DataFrame) -> DataFrame:
+        """query_id, text: `[source] text` of the documents that would go into the prompt, in rank order."""
+        kept = context.cut(self.search(questions), self.settings.generate_top_n, self.settings.exclude_diagrams)
+        line = F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("page_content"))
+        rows = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))).alias("d"))
+        return rows.select("query_id", F.array_join("d.t", "\n\n").alias("text"))

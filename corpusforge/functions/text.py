@@ -31,6 +31,7 @@ REFUSAL = (
 )
 REWRITE_PREFIX = r"^\s*(재작성(된)?\s*질문|질문|검색\s*질의|답변)\s*[:：]\s*"
 FULL_WIDTH, HALF_WIDTH = "。，、：；！？（）「」『』", ".,,:;!?()\"\"\"\""
+FOREIGN = "[一-鿿]"
 QUOTES = "\"'`“”‘’"
 DEFECTS = {
     "color_macro": r"\$\\color\{",
@@ -142,12 +143,17 @@ def expansion_terms(query: Column, hypothetical: Column) -> Column:
     return F.when(F.size(new) > 0, F.array_join(new, " "))
 
 
-def keep_script(answer: Column, foreign: str = "[一-鿿]", run: int = 3, least: int = 20) -> Column:
-    """Drop sentences with `run` or more characters of a foreign script, if at least `least` characters are left."""
+def own_script(answer: Column, foreign: str = FOREIGN, run: int = 3, least: int = 20) -> Column:
+    """The sentences with fewer than `run` characters of a foreign script; null if fewer than `least` characters are left."""
     count = lambda s: F.length(s) - F.length(F.regexp_replace(s, foreign, ""))
     kept = F.filter(F.split(answer, r"(?<=[.!?。])\s+|\n+"), lambda s: (trim_all(s) != "") & (count(s) < run))
     out = trim_all(F.array_join(kept, " "))
-    return F.when(~answer.rlike(foreign) | (F.length(out) < least), answer).otherwise(out)
+    return F.when(F.length(out) >= least, out)
+
+
+def keep_script(answer: Column, foreign: str = FOREIGN, run: int = 3, least: int = 20) -> Column:
+    """Drop sentences with `run` or more characters of a foreign script, if at least `least` characters are left."""
+    return F.when(~answer.rlike(foreign), answer).otherwise(F.coalesce(own_script(answer, foreign, run, least), answer))
 
 
 def parse_plan(text: Column, fallback: Column, most: int = 3) -> Column:

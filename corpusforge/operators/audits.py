@@ -33,7 +33,8 @@ def fingerprint(chunks: DataFrame, key: str, md5: Column) -> DataFrame:
 def containment(old: DataFrame, new: DataFrame, n: int = 5) -> DataFrame:
     """old (old_id, text), new (new_id, text): best and runner-up share of old's n-grams that a new text holds.
 
-    An equi-join on grams; texts without a common gram don't meet. Rows: old_id, new_id, score, runner_up.
+    An equi-join on grams; texts without a common gram don't meet. old is a stated set: its (old_id, size) by gram are one row a
+    gram, so a side that Spark finds small enough is broadcast and new's other grams are never shuffled. Rows: old_id, new_id, score, runner_up.
     """
     a = old.select("old_id", char_grams(F.col("text"), n).alias("g")).select("old_id", F.size("g").alias("size"), F.explode("g").alias("gram"))
     b = new.select("new_id", F.explode(char_grams(F.col("text"), n)).alias("gram"))

@@ -1,53 +1,61 @@
-"""Inverted index and BM25 (Okapi with floored idf) as DataFrame operators."""
+"""Inverted index and BM25 (Okapi with floored idf) as DataFrame operators.
+
+`analyse` turns a text column into an array of terms; any function of columns may stand in for `tokens`, an Arrow UDF too.
+Index and questions must be given the same one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+Analyser = Callable[[Column], Column]
+
 
-def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
+def postings(chunks: DataFrame, key: str, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     """key, term, tf."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select(key, F.explode(analyse(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_stats(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
+def doc_stats(chunks: DataFrame, key: str, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     """key, dl: tokens of each chunk; no shuffle."""
-    return chunks.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
+    return chunks.select(key, F.size(analyse(F.col(text))).cast("long").alias("dl"))
 
 
-def doc_freq(chunks: DataFrame, text: str = "text") -> DataFrame:
+def doc_freq(chunks: DataFrame, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     """term, df. Each chunk sends a term once; partial counts are combined before the shuffle."""
-    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return chunks.select(F.explode(F.array_distinct(analyse(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def term_stats(chunks: DataFrame, text: str = "text", epsilon: float = 0.25) -> DataFrame:
+def term_stats(chunks: DataFrame, text: str = "text", epsilon: float = 0.25, analyse: Analyser = tokens) -> DataFrame:
     """term, df, idf: ln(n - df + 0.5) - ln(df + 0.5), a negative one replaced by epsilon times the mean idf."""
-    freq = doc_freq(chunks, text)
+    freq = doc_freq(chunks, text, analyse)
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     raw = freq.crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row on the right
     mean = raw.agg(F.avg("idf").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * epsilon).otherwise(F.col("idf")).alias("idf"))
 
 
-def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
+def query_terms(queries: DataFrame, text: str = "question", analyse: Analyser = tokens) -> DataFrame:
     """query_id, term, qtf: a repeated token counts each time."""
-    return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return queries.select("query_id", F.explode(analyse(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", question: str = "question", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25_topk(chunks: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", question: str = "question", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, analyse: Analyser = tokens) -> DataFrame:
     """query_id, rank, key, score: the k best chunks with a positive score, ties by key; scores to six places.
 
     Only tokens that some query asks for are counted, so the index isn't built for the rest of the vocabulary. Which
     side of a join is broadcast is left to Spark, which checks its size.
     """
-    terms = query_terms(queries, question)
-    counted = chunks.select(key, F.size(tokens(F.col(text))).alias("dl"), tokens(F.col(text)).alias("tokens"))
-    lengths = chunks.agg(F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    terms = query_terms(queries, question, analyse)
+    counted = chunks.select(key, F.size(analyse(F.col(text))).alias("dl"), analyse(F.col(text)).alias("tokens"))
+    lengths = chunks.agg(F.avg(F.size(analyse(F.col(text)))).alias("avgdl"))
     tf = counted.select(key, "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = term_stats(chunks, text, epsilon).join(terms.select("term").distinct(), "term", "left_semi")
+    stats = term_stats(chunks, text, epsilon, analyse).join(terms.select("term").distinct(), "term", "left_semi")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighted = tf.join(stats, "term").crossJoin(F.broadcast(lengths)).select(key, "term", part.alias("part"))
     scored = weighted.join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score")).where("score > 0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import question_type
+from ..functions.text import FOREIGN, keep_script, own_script, question_type
 from ..settings import DEFAULTS, Settings
 
 #: Overrides by question type: (type, neighbor_window, generate_top_n, context_order, prompt_variant).
@@ -30,6 +30,29 @@ def verdict(judged: Column) -> Column:
     return F.when(word.startswith("no"), "insufficient").otherwise("sufficient")
 
 
+def verified(answers: DataFrame, judge: Callable[[DataFrame], DataFrame] | None, settings: Settings = DEFAULTS) -> DataFrame:
+    """answers with grounded (null: not judged, or the verdict can't be parsed) and unsupported_claim. The answer never changes.
+
+    judge adds `raw`: a JSON object with grounded and unsupported_claim.
+    """
+    if judge is None or not settings.verify_grounding:
+        return answers.withColumns({"grounded": F.lit(None).cast("boolean"), "unsupported_claim": F.lit(None).cast("string")})
+    said = judge(answers)
+    found = F.from_json("raw", "grounded boolean, unsupported_claim string")
+    claim = F.when(found["grounded"].isNotNull() & (F.trim(found["unsupported_claim"]) != ""), found["unsupported_claim"])
+    return said.select(*[F.col(c) for c in answers.columns], found["grounded"].alias("grounded"), claim.alias("unsupported_claim"))
+
+
+def repaired(answers: DataFrame, repair: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answers without sentences of a foreign script. Where too little would be left, repair adds `repaired`; a repair that is
+    foreign too is cut likewise, and if nothing is left of it the first answer stays."""
+    said = F.col("answer")
+    lost = F.coalesce(said.rlike(FOREIGN) & own_script(said).isNull(), F.lit(False))
+    kept = answers.where(~lost).withColumn("answer", keep_script(said))
+    new = F.when(~F.col("repaired").rlike(FOREIGN), F.trim("repaired")).otherwise(own_script(F.col("repaired")))
+    return kept.unionByName(repair(answers.where(lost)).withColumn("answer", F.coalesce(new, said)).select(*answers.columns))
+
+
 def after_retrieve(rewrites: Column, most: int = 1) -> Column:
     """Grading is skipped where its answer couldn't change the way."""
     return F.when(rewrites >= most, "generate").otherwise("grade")
@@ -43,23 +66,24 @@ def after_rewrite(failed: Column) -> Column:
     return F.when(failed, "generate").otherwise("retrieve")
 
 
-def corrective_loop(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], grade: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
+def corrective_loop(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], grade: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], settings: Settings = DEFAULTS, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Unrolled: at most max_rewrites + 1 retrievals. Functions take and return question rows (query_id, question, query, rewrites, ...).
 
     retrieve adds `documents`; grade adds `judged` (text); rewrite adds `new_query` (null if it failed). Only rows that need
-    a step are given to its function, so an expensive judge never sees the rest.
+    a step are given to its function, so an expensive judge never sees the rest; settle may write a
+    table between steps, as each step's rows are read by two branches.
     """
     waiting = questions.withColumns({"query": F.col("question"), "rewrites": F.lit(0)})
     done: DataFrame | None = None
     columns = None
     for _ in range(settings.max_rewrites + 1):
-        found = retrieve(waiting)
+        found = settle(retrieve(waiting))
         columns = columns or found.columns
         to_grade = found.where(after_retrieve(F.col("rewrites"), settings.max_rewrites) == "grade")
         straight = found.where(after_retrieve(F.col("rewrites"), settings.max_rewrites) == "generate")
-        graded = grade(to_grade).withColumn("grade", verdict(F.col("judged")))
+        graded = settle(grade(to_grade).withColumn("grade", verdict(F.col("judged"))))
         step = after_grade(F.col("grade"), F.col("rewrites"), settings.max_rewrites)
-        rewritten = rewrite(graded.where(step == "rewrite")).withColumn("rewrites", F.col("rewrites") + 1)
+        rewritten = settle(rewrite(graded.where(step == "rewrite")).withColumn("rewrites", F.col("rewrites") + 1))
         failed = F.col("new_query").isNull()
         finished = [straight.select(*columns), graded.where(step == "generate").select(*columns), rewritten.where(failed).select(*columns)]
         for part in finished:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import platform
 
 
 @dataclasses.dataclass(frozen=True)
@@ -48,5 +49,19 @@ class Settings:
     def fingerprint(self) -> str:
         return hashlib.md5(json.dumps(dataclasses.asdict(self), sort_keys=True).encode()).hexdigest()
 
+    def run_fingerprint(self, spark_version: str, models: dict[str, str] | None = None, manifest: dict | None = None) -> dict:
+        """What a result file needs to be compared with another: all knobs, versions, host, models and the index it ran on."""
+        manifest = manifest or {}
+        return {
+            "settings": dataclasses.asdict(self),
+            "settings_md5": self.fingerprint(),
+            "models": dict(models or {}),
+            "vector_store": manifest.get("vector_store"),
+            "index_chunks_md5": manifest.get("chunks_md5"),
+            "n_chunks": manifest.get("n_chunks"),
+            "versions": {"spark": spark_version, "python": platform.python_version()},
+            "host": {"os": platform.platform(), "machine": platform.machine()},
+        }
+
 
 DEFAULTS = Settings()

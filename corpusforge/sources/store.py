@@ -1,7 +1,9 @@
-"""Stored tables: chunks as JSON lines or Parquet, the index manifest, traces and the answer cache."""
+"""Stored tables: chunks as JSON lines or Parquet, vectors, the graph, the index manifest, traces and the answer cache."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,39 @@ def manifest(chunks: DataFrame, settings: Settings, vector_store: str = "exact",
     return print_.select(F.col("fingerprint").alias("chunks_md5"), F.col("n_chunks").cast("long").alias("n_chunks"), F.lit(vector_store).alias("vector_store"), F.lit(embed_model).alias("embed_model"), F.lit(settings.chunk_size).alias("chunk_size"), F.lit(settings.chunk_overlap).alias("chunk_overlap"), F.lit(settings.min_chunk_chars).alias("min_chunk_chars"))
 
 
+def write_manifest(row: DataFrame, folder: str) -> None:
+    row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/manifest.parquet")
+
+
+def build_vectors(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str) -> None:
+    """Embed every chunk and store vec_id, embedding, source and superseded; a store that is there is replaced.
+
+    embed takes (chunk_index, page_content, ...) to the same rows with `embedding`; an Arrow UDF gets batches whose size
+    the session sets in spark.sql.execution.arrow.maxRecordsPerBatch. Filters on source reach the scan.
+    """
+    rows = embed(chunks).select(F.col("chunk_index").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "source", "superseded")
+    rows.write.mode("overwrite").parquet(f"{folder}/vectors.parquet")
+
+
+def load_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/vectors.parquet")
+
+
+def save_graph(node_rows: DataFrame, edge_rows: DataFrame, folder: str) -> None:
+    """The graph as two tables; parallel edges stay."""
+    node_rows.write.mode("overwrite").parquet(f"{folder}/nodes.parquet")
+    edge_rows.write.mode("overwrite").parquet(f"{folder}/edges.parquet")
+
+
+def load_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as they were saved."""
+    return spark.read.parquet(f"{folder}/nodes.parquet"), spark.read.parquet(f"{folder}/edges.parquet")
+
+
 def consistency(current: DataFrame, stored: DataFrame | None) -> DataFrame:
     """status of one-row manifests: ok, mismatch, or unknown without a stored one."""
     if stored is None:
