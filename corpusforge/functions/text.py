@@ -92,12 +92,9 @@ def sentences(text: Column) -> Column:
 def char_grams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams of the text without marks and blanks; a shorter text is its own gram."""
 
-    def of(chars: Column) -> Column:
-        # Characters by index: a substring would walk to its place from the start each time.
-        gram = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
-        return F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), gram))
-
-    return F.array_distinct(once(F.array_remove(F.split(F.regexp_replace(text, NOT_GRAM, ""), ""), ""), of))
+    # A look-ahead matches at each character in turn: one pass of the pattern, no walk to a place from the start.
+    every = lambda bare: F.when(F.length(bare) < n, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+    return F.array_distinct(once(F.regexp_replace(text, NOT_GRAM, ""), every))
 
 
 def wants_history(question: Column) -> Column:

@@ -50,6 +50,30 @@ def without_match(patterns: DataFrame, chunks: DataFrame, text: str = "text") ->
     return patterns.join(found, "pattern_id", "left_anti")
 
 
+def pattern_states(patterns: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
+    """patterns (pattern_id, pattern, derived, expect_refusal) with state: leak (a refusal is expected, yet a chunk matches),
+    refusal, ok, derived (an answer that must be worked out may match nothing), or dead."""
+    unmatched = without_match(patterns.select("pattern_id", "pattern"), chunks, text).select("pattern_id", F.lit(True).alias("none"))
+    missing = F.coalesce("none", F.lit(False))
+    state = F.when(F.col("expect_refusal"), F.when(missing, "refusal").otherwise("leak")).when(~missing, "ok").when(F.col("derived"), "derived").otherwise("dead")
+    return patterns.join(unmatched, "pattern_id", "left").withColumn("state", state).drop("none")
+
+
+def feasibility(covers: DataFrame, top_k: int) -> DataFrame:
+    """covers (query_id, path_id, size: chunks of the path's smallest cover, null if an anchor has none): query_id, need, state.
+
+    need is the cheapest path's; more than top_k can't be retrieved (infeasible), and without a whole path it is unresolved.
+    """
+    need = covers.groupBy("query_id").agg(F.min("size").alias("need"))
+    return need.withColumn("state", F.when(F.col("need").isNull(), "unresolved").when(F.col("need") > top_k, "infeasible").otherwise("feasible"))
+
+
+def pass_but_miss(passed: Column, satisfied: Column, supported: Column, n_contexts: Column) -> Column:
+    """Why an answer passed though its labelled evidence wasn't found: a label is missing (a context supports it), it is
+    ungrounded (none does), or unknown (no contexts are stored). Null for all other answers."""
+    return F.when(passed & ~satisfied, F.when(supported, "missing_label").when(n_contexts > 0, "ungrounded").otherwise("unknown"))
+
+
 def derived_paths(sets: Column, anchors: Column) -> Column:
     """Explicit paths if there are any, else each anchor as a path of its own."""
     return F.when(F.coalesce(F.size(sets), F.lit(0)) > 0, sets).otherwise(F.transform(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: F.array(a)))

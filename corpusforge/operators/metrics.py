@@ -76,6 +76,30 @@ def ab_delta(rows: DataFrame) -> DataFrame:
     return wide.groupBy("treated").agg(*[F.sum(c).cast("long").alias(c) for c in ("passed_a", "of_a", "passed_b", "of_b")], F.count(F.when(wins > 0, 1)).alias("rescued"), F.count(F.when(wins < 0, 1)).alias("broken"), F.count(F.when(wins == 0, 1)).alias("unchanged"))
 
 
+def ab_values(outcomes: DataFrame, value: str, base, passed: str = "passed") -> DataFrame:
+    """outcomes (query_id, value, passed) of a parameter's values: n, passed, and questions rescued and broken against the base value."""
+    before = outcomes.where(F.col(value) == base).select("query_id", F.col(passed).alias("before"))
+    met = outcomes.join(before, "query_id")
+    count = lambda c: F.count(F.when(c, 1))
+    return met.groupBy(value).agg(F.count(F.lit(1)).alias("n"), count(F.col(passed)).alias("passed"), count(F.col(passed) & ~F.col("before")).alias("rescued"), count(~F.col(passed) & F.col("before")).alias("broken"))
+
+
+def profile_summary(traces: DataFrame, loop: tuple[str, ...] = ("grade", "rewrite")) -> DataFrame:
+    """traces (timings map, rewrites): n_queries, share of the loop's steps (percent of all seconds), rewrite rate (percent),
+    medians of a query's seconds over all, rewritten and other queries; null where there is none."""
+    seconds = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    rows = traces.select(seconds("timings").alias("all"), seconds(F.map_filter("timings", lambda k, _: k.isin(*loop))).alias("looped"), (F.col("rewrites") > 0).alias("again"))
+    median = lambda c: F.round(F.median(c), 4)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_queries"),
+        F.round(100 * F.sum("looped") / F.sum("all"), 4).alias("loop_share"),
+        F.round(100 * F.avg(F.col("again").cast("double")), 4).alias("rewrite_rate"),
+        median("all").alias("median_total"),
+        median(F.when(F.col("again"), F.col("all"))).alias("median_rewritten"),
+        median(F.when(~F.col("again"), F.col("all"))).alias("median_plain"),
+    )
+
+
 def node_profile(traces: DataFrame) -> DataFrame:
     """traces (timings map): node, total, share (percent of all seconds), median, calls."""
     rows = traces.select(F.explode("timings").alias("node", "sec"))

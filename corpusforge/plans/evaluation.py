@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import udfs
-from ..operators import audits, metrics
+from ..operators import audits, chunking, context, lexical, metrics
 from . import workload as w
 from .workload import query, table
 
@@ -146,17 +146,34 @@ def rescore_flips(spark, sf_dir):
 
 @query(
     "grader_cases",
-    "WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM benchmark) SELECT a.item_id AS query_id, c.item_id AS shown_id FROM b a JOIN b c ON c.p = (a.p + a.n // 2) % a.n WHERE NOT EXISTS (SELECT 1 FROM {gold} x JOIN gold y ON x.doc_id = y.doc_id WHERE x.query_id = a.item_id AND y.query_id = c.item_id)",
+    """WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM benchmark),
+    top AS (SELECT item_id AS query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS docs FROM benchmark LEFT JOIN (SELECT * FROM {bm} WHERE rank <= 3) t ON t.query_id = item_id GROUP BY ALL),
+    hit AS (SELECT DISTINCT l.query_id AS shown_id, g.query_id FROM bm l JOIN {gold} g USING (doc_id) WHERE l.rank <= 3),
+    own AS (SELECT top.query_id, EXISTS (SELECT 1 FROM hit WHERE hit.query_id = top.query_id AND shown_id = top.query_id) AS ok, docs FROM top)
+    SELECT CASE WHEN ok THEN 'positive' ELSE 'retrieval-miss' END AS kind, query_id, docs, CASE WHEN ok THEN 'yes' ELSE 'no' END AS expected FROM own
+    UNION ALL SELECT 'shuffled', a.item_id, docs, 'no' FROM b a JOIN b c ON c.p = (a.p + a.n // 2) % a.n JOIN top ON top.query_id = c.item_id WHERE c.item_id <> a.item_id AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.query_id = a.item_id AND shown_id = c.item_id)
+    UNION ALL SELECT 'out-of-scope', qo.query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank), 'no' FROM {qo} LEFT JOIN (SELECT * FROM {bmo} WHERE rank <= 3) t ON t.query_id = qo.query_id GROUP BY qo.query_id""",
 )
 def grader_cases(spark, sf_dir):
-    """Each question with the passage half a table away, left out where both lie in one document."""
-    numbered = table(spark, sf_dir, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("p"))  # a stated set
+    """Questions with three documents and the verdict they should get: their own three, those of the question half a table
+    away (left out where gold is among them), and those found for questions out of scope."""
+    asked = w.questions(spark, sf_dir)
+    found = w.best(spark, sf_dir, 3).select("query_id", "rank", "doc_id")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",")
+    tops = asked.select("query_id").join(found.groupBy("query_id").agg(listed.alias("docs")), "query_id", "left")
+    hits = found.select(F.col("query_id").alias("shown_id"), "doc_id").join(w.gold(spark, sf_dir), "doc_id").select("query_id", "shown_id").distinct().withColumn("hit", F.lit(True))
+    own = tops.withColumn("shown_id", F.col("query_id")).join(hits, ["query_id", "shown_id"], "left").withColumn("ok", F.coalesce("hit", F.lit(False)))
+    first = own.select(F.when(F.col("ok"), "positive").otherwise("retrieval-miss").alias("kind"), "query_id", "docs", F.when(F.col("ok"), "yes").otherwise("no").alias("expected"))
+    numbered = asked.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).alias("p"))  # a stated set
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    shifted = numbered.select(F.col("item_id").alias("shown_id"), F.col("p").alias("at"))
-    pairs = numbered.crossJoin(F.broadcast(n)).withColumn("at", F.pmod(F.col("p") + F.floor(F.col("n") / 2), F.col("n"))).join(shifted, "at").select(F.col("item_id").alias("query_id"), "shown_id")
-    gold = w.gold(spark, sf_dir)
-    leaks = gold.join(gold.select(F.col("query_id").alias("shown_id"), "doc_id"), "doc_id").select("query_id", "shown_id").distinct()
-    return pairs.join(leaks, ["query_id", "shown_id"], "left_anti")
+    shifted = numbered.select(F.col("query_id").alias("shown_id"), F.col("p").alias("at"))
+    pairs = numbered.crossJoin(F.broadcast(n)).withColumn("at", F.pmod(F.col("p") + F.floor(F.col("n") / 2), F.col("n"))).join(shifted, "at").select("query_id", "shown_id").where("query_id <> shown_id")
+    clean = pairs.join(hits, ["query_id", "shown_id"], "left_anti").join(tops.withColumnRenamed("query_id", "shown_id"), "shown_id")
+    second = clean.select(F.lit("shuffled").alias("kind"), "query_id", "docs", F.lit("no").alias("expected"))
+    outside = spark.createDataFrame(list(enumerate(w.OUT_OF_SCOPE)), "query_id long, question string")
+    third = lexical.bm25_topk(table(spark, sf_dir, DOCS), outside, "doc_id", 3)
+    third = outside.select("query_id").join(third.groupBy("query_id").agg(listed.alias("docs")), "query_id", "left")
+    return first.unionByName(second).unionByName(third.select(F.lit("out-of-scope").alias("kind"), "query_id", "docs", F.lit("no").alias("expected")))
 
 
 @query("confusion_summary", "SELECT count(*) AS n, round(avg(CASE WHEN p = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(greatest(avg(quality), 1 - avg(quality)), 6) AS constant_baseline, count(*) FILTER (p = 1 AND quality = 0) AS false_positives, count(*) FILTER (p = 0 AND quality = 1) AS false_negatives, count(*) FILTER (p IS NULL) AS unparsed FROM (SELECT quality, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN n_chars > 300 THEN 1 ELSE 0 END AS p FROM {ans})")
@@ -258,3 +275,112 @@ def derive_paths(spark, sf_dir):
 def subset_check(spark, sf_dir):
     called = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("called"))
     return called.select("conv_id", (F.size(F.array_except(F.array(F.lit("user"), F.lit("assistant")), F.col("called"))) == 0).alias("complete"))
+
+
+TOP_NS = (1, 2, 3, 5, 6)
+
+
+@query(
+    "ab_top_n",
+    "WITH o AS (SELECT item_id AS query_id, top_n, coalesce(g <= top_n, false) AS passed FROM benchmark LEFT JOIN (SELECT query_id AS item_id, min(rank) AS g FROM {bm} SEMI JOIN {gold} USING (query_id, doc_id) GROUP BY 1) USING (item_id), (SELECT unnest([1, 2, 3, 5, 6])::INTEGER AS top_n)) SELECT o.top_n, count(*) AS n, count(*) FILTER (o.passed) AS passed, count(*) FILTER (o.passed AND NOT b.passed) AS rescued, count(*) FILTER (NOT o.passed AND b.passed) AS broken FROM o JOIN o b ON o.query_id = b.query_id AND b.top_n = 5 GROUP BY o.top_n",
+)
+def ab_top_n(spark, sf_dir):
+    """How many documents go into the prompt: questions whose passage is among them, against five."""
+    ranked = ranks(spark, sf_dir)
+    values = spark.createDataFrame([(n,) for n in TOP_NS], "top_n int")
+    outcomes = ranked.crossJoin(F.broadcast(values)).select("query_id", "top_n", F.coalesce(F.col("gold_rank") <= F.col("top_n"), F.lit(False)).alias("passed"))
+    return metrics.ab_values(outcomes, "top_n", 5)
+
+
+@query(
+    "ab_lists",
+    "WITH g AS (SELECT l, query_id, min(rank) AS g FROM (SELECT 'long' AS l, query_id, doc_id, rank FROM {bm} UNION ALL SELECT 'short', query_id, doc_id, rank FROM {bmh}) SEMI JOIN {gold} USING (query_id, doc_id) GROUP BY ALL), o AS (SELECT item_id AS query_id, l.l AS list, coalesce(g.g <= 3, false) AS passed FROM benchmark CROSS JOIN (VALUES ('long'), ('short')) l(l) LEFT JOIN g ON g.l = l.l AND g.query_id = item_id) SELECT o.list, count(*) AS n, count(*) FILTER (o.passed) AS passed, count(*) FILTER (o.passed AND NOT b.passed) AS rescued, count(*) FILTER (NOT o.passed AND b.passed) AS broken FROM o JOIN o b ON o.query_id = b.query_id AND b.list = 'long' GROUP BY o.list",
+)
+def ab_lists(spark, sf_dir):
+    """Which form of a question is searched: twelve of its tokens or three."""
+    both = ranks(spark, sf_dir).withColumn("list", F.lit("long")).unionByName(ranks(spark, sf_dir, 5, 3).withColumn("list", F.lit("short")))
+    return metrics.ab_values(both.select("query_id", "list", F.coalesce(F.col("gold_rank") <= 3, F.lit(False)).alias("passed")), "list", "long")
+
+
+@query(
+    "ab_context_order",
+    "WITH t AS (SELECT query_id, rank, doc_id, count(*) OVER (PARTITION BY query_id) AS n FROM {bm} WHERE rank <= 5), g AS (SELECT query_id, min(rank) AS r, any_value(n) AS n FROM t SEMI JOIN {gold} USING (query_id, doc_id) GROUP BY query_id) SELECT o AS context_order, count(*) AS n, round(avg(CASE o WHEN 'ranked' THEN r WHEN 'reversed' THEN n - r + 1 ELSE CASE WHEN n < 3 THEN n - r + 1 WHEN r = 1 THEN 1 ELSE n - r + 2 END END), 6) AS mean_place FROM g, (VALUES ('ranked'), ('reversed'), ('sandwich')) v(o) GROUP BY o",
+)
+def ab_context_order(spark, sf_dir):
+    """Where in the prompt the best gold document first stands, by order."""
+    found = w.best(spark, sf_dir, 5)
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id")))["doc_id"].alias("docs"))
+    best = found.join(w.gold(spark, sf_dir), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min_by("doc_id", "rank").alias("doc_id"))
+    orders = ("ranked", "reversed", "sandwich")
+    place = F.explode(F.array(*[F.struct(F.lit(o).alias("context_order"), F.array_position(context.ordered(F.col("docs"), o), F.col("doc_id")).alias("place")) for o in orders]))
+    return lists.join(best, "query_id").select(place.alias("p")).groupBy("p.context_order").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p.place"), 6).alias("mean_place"))
+
+
+@query("pattern_audit", "SELECT item_id AS pattern_id, CASE WHEN item_id % 7 = 0 THEN CASE WHEN g IS NULL THEN 'refusal' ELSE 'leak' END WHEN g IS NOT NULL THEN 'ok' WHEN item_id % 5 = 0 THEN 'derived' ELSE 'dead' END AS state FROM benchmark LEFT JOIN (SELECT DISTINCT query_id AS item_id, true AS g FROM {gold}) USING (item_id)")
+def pattern_audit(spark, sf_dir):
+    """Whole passages as patterns; every fifth is taken as derived and every seventh as a refusal."""
+    literal = F.concat(F.lit("\\Q"), F.col("text"), F.lit("\\E"))
+    patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), literal.alias("pattern"), (F.col("item_id") % 5 == 0).alias("derived"), (F.col("item_id") % 7 == 0).alias("expect_refusal"))
+    return audits.pattern_states(patterns, table(spark, sf_dir, DOCS)).select("pattern_id", "state")
+
+
+@query(
+    "coverage_feasibility",
+    f"WITH p AS ({PATHS}), c AS (SELECT p.query_id, p.path_id, CASE WHEN bool_or(g.doc_id IS NULL) THEN NULL WHEN EXISTS (SELECT 1 FROM {{gold}} x JOIN p y ON x.query_id = y.anchor_id WHERE y.query_id = p.query_id AND y.path_id = p.path_id GROUP BY x.doc_id HAVING count(DISTINCT y.anchor_id) = (SELECT count(*) FROM p z WHERE z.query_id = p.query_id AND z.path_id = p.path_id)) THEN 1 ELSE count(DISTINCT p.anchor_id) END AS size FROM p LEFT JOIN gold g ON g.query_id = p.anchor_id GROUP BY p.query_id, p.path_id) SELECT query_id, min(size)::INTEGER AS need, CASE WHEN min(size) IS NULL THEN 'unresolved' WHEN min(size) > 1 THEN 'infeasible' ELSE 'feasible' END AS state FROM c GROUP BY query_id",
+)
+def coverage_feasibility(spark, sf_dir):
+    """Whether one document can hold a question's whole evidence (top_k 1); paths have two anchors, so the SQL needs no search."""
+    covers = min_cover(spark, sf_dir).select("query_id", "path_id", F.size(F.split("cover", ",")).alias("size"))
+    return audits.feasibility(covers.withColumn("size", F.when(F.col("size") > 0, F.col("size"))), 1)
+
+
+@query(
+    "pass_but_miss",
+    "WITH s AS (SELECT item_id, text, EXISTS (SELECT 1 FROM {bmh} b SEMI JOIN {gold} USING (query_id, doc_id) WHERE b.rank <= 1 AND b.query_id = item_id) AS satisfied, EXISTS (SELECT 1 FROM {bm} b JOIN documents USING (doc_id) WHERE b.rank <= 6 AND b.query_id = item_id AND contains(documents.text, benchmark.text)) AS supported, (SELECT count(*) FROM bm b WHERE b.rank <= 6 AND b.query_id = item_id) AS n FROM benchmark) SELECT item_id AS query_id, CASE WHEN item_id % 2 = 1 OR satisfied THEN NULL WHEN supported THEN 'missing_label' WHEN n > 0 THEN 'ungrounded' ELSE 'unknown' END AS reason FROM s",
+)
+def pass_but_miss(spark, sf_dir):
+    """Even questions count as passed; the short list's first document is the labelled evidence, the long list's six are the contexts."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("pattern"))
+    gold = w.gold(spark, sf_dir)
+    first = w.best(spark, sf_dir, 1, 5, 3).join(gold, ["query_id", "doc_id"], "left_semi").select("query_id", F.lit(True).alias("satisfied"))
+    shown = w.best(spark, sf_dir, 6).join(table(spark, sf_dir, DOCS).select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    support = shown.groupBy("query_id").agg(F.max(F.contains("text", "pattern")).alias("supported"), F.count(F.lit(1)).alias("n"))
+    rows = asked.select("query_id").join(first, "query_id", "left").join(support, "query_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select("query_id", audits.pass_but_miss(F.col("query_id") % 2 == 0, no("satisfied"), no("supported"), F.coalesce("n", F.lit(0))).alias("reason"))
+
+
+@query(
+    "profile_summary",
+    "WITH t AS (SELECT user_id, sum(value) AS total, coalesce(sum(value) FILTER (event_type IN ('click', 'view')), 0) AS looped FROM events GROUP BY user_id) SELECT count(*) AS n_queries, round(100 * sum(looped) / sum(total), 4) AS loop_share, round(100 * avg((user_id % 3 = 0)::INTEGER), 4) AS rewrite_rate, round(quantile_cont(total, 0.5), 4) AS median_total, round(quantile_cont(total, 0.5) FILTER (user_id % 3 = 0), 4) AS median_rewritten, round(quantile_cont(total, 0.5) FILTER (user_id % 3 <> 0), 4) AS median_plain FROM t",
+)
+def profile_summary(spark, sf_dir):
+    """A user's events are a query's steps; every third user's query counts as rewritten."""
+    sums = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("sec"))
+    traces = sums.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "sec"))).alias("timings"))
+    return metrics.profile_summary(traces.withColumn("rewrites", F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)), ("click", "view"))
+
+
+@query("regrade", "SELECT doc_id, quality = 1 AS before, regexp_matches(text, '[0-9]') AS after FROM documents JOIN labels USING (doc_id) WHERE (quality = 1) <> regexp_matches(text, '[0-9]')")
+def regrade(spark, sf_dir):
+    """Stored answers graded again by their criteria (here: a digit); those whose grade flips."""
+    stored = table(spark, sf_dir, DOCS).select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+    after = metrics.passes(F.col("text"), F.array(F.lit("[0-9]")), F.lit(None).cast("array<string>"), F.lit(False))
+    return stored.select("doc_id", (F.col("quality") == 1).alias("before"), after.alias("after")).where("before <> after")
+
+
+@query("sweep_chunk_size")
+def sweep_chunk_size(spark, sf_dir):
+    """By chunk size: chunks, their median length, recall of a chunk that holds the passage, and passages that no chunk holds whole."""
+    docs = table(spark, sf_dir, DOCS).select("doc_id", "text")
+    anchors = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
+    rows = []
+    for size, overlap in ((400, 50), (800, 100), (1600, 200)):
+        pieces = docs.select("doc_id", F.posexplode(chunking.recursive_chunks(F.col("text"), size, overlap)).alias("pos", "piece"))
+        pieces = pieces.select(F.struct("doc_id", "pos").alias("chunk"), F.col("piece").alias("text"))
+        held = metrics.anchor_hits(anchors, pieces, "chunk").select("query_id", "chunk").distinct()
+        found = metrics.gold_rank(anchors, lexical.bm25_topk(pieces, w.questions(spark, sf_dir), "chunk", 6), held, "chunk")
+        lost = anchors.select("query_id").join(held, "query_id", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+        lengths = pieces.agg(F.count(F.lit(1)).alias("n_chunks"), F.median(F.length("text")).alias("median_chars"))
+        rows.append(metrics.recall_mrr(found).crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(lengths)).withColumn("size", F.lit(size)))  # a row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

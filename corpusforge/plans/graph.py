@@ -75,9 +75,9 @@ def relation_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("order of "), who).alias("sentence"), F.concat(F.lit("customer "), who).alias("subject"), kind.alias("relation"), F.col("o_orderpriority").alias("object"))
 
 
-@query("sentence_group", f"SELECT (row_number() OVER (ORDER BY first_ord) - 1)::INTEGER AS chunk_index, sentence, n_triples FROM (SELECT sentence, min(ord) AS first_ord, count(*) FILTER (relation <> 'no_relation')::INTEGER AS n_triples FROM ({RELATIONS}) GROUP BY sentence ORDER BY first_ord LIMIT 500)")
+@query("sentence_group", f"SELECT (row_number() OVER (ORDER BY first_ord) - 1)::INTEGER AS chunk_index, sentence, n_triples FROM (SELECT sentence, min(ord) AS first_ord, count(*) FILTER (relation <> 'no_relation')::INTEGER AS n_triples FROM ({RELATIONS}) GROUP BY sentence ORDER BY first_ord LIMIT 1500)")
 def sentence_group(spark, sf_dir):
-    return kgraph.sentence_chunks(relation_rows(spark, sf_dir), 500).select("chunk_index", "sentence", F.size("triples").alias("n_triples"))
+    return kgraph.sentence_chunks(relation_rows(spark, sf_dir), 1500).select("chunk_index", "sentence", F.size("triples").alias("n_triples"))
 
 
 #: Question templates by relation (the caller's table in use); particles agree with the subject.
@@ -92,11 +92,11 @@ def render_question(spark, sf_dir):
 
 @query(
     "capped_questions",
-    f"SELECT row_number() OVER (ORDER BY chunk_index, relation, subject, object) AS query_id, CASE relation WHEN 'placed' THEN subject || '는 무엇을 주문했나요?' ELSE subject || '가 매긴 등급은?' END AS question, relation, chunk_index FROM (SELECT ord AS chunk_index, relation, subject, object FROM ({RELATIONS}) WHERE relation <> 'no_relation' QUALIFY row_number() OVER (PARTITION BY relation ORDER BY ord, subject, object) <= 6 ORDER BY ord, relation, subject, object LIMIT 10)",
+    f"SELECT row_number() OVER (ORDER BY chunk_index, relation, subject, object) AS query_id, CASE relation WHEN 'placed' THEN subject || '는 무엇을 주문했나요?' ELSE subject || '가 매긴 등급은?' END AS question, relation, chunk_index FROM (SELECT ord AS chunk_index, relation, subject, object FROM ({RELATIONS}) WHERE relation <> 'no_relation' QUALIFY row_number() OVER (PARTITION BY relation ORDER BY ord, subject, object) <= 6 ORDER BY ord, relation, subject, object LIMIT 120)",
 )
 def capped_questions(spark, sf_dir):
     rows = relation_rows(spark, sf_dir).where("relation <> 'no_relation'").withColumnRenamed("ord", "chunk_index")
-    return kgraph.questions_of(rows, spark.createDataFrame(TEMPLATES, "relation string, template string"), 6, 10)
+    return kgraph.questions_of(rows, spark.createDataFrame(TEMPLATES, "relation string, template string"), 6, 120)
 
 
 @query("sweep_seed_ratio", "SELECT ratio_limit, count(*) AS n_seeds, count(DISTINCT query_id) AS n_queries FROM {kov}, (SELECT unnest([0.3, 0.5, 0.6, 0.7, 1.0])::DOUBLE AS ratio_limit) WHERE ratio >= ratio_limit GROUP BY ratio_limit")
