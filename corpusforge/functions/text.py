@@ -75,7 +75,8 @@ def clean_markdown(text: Column) -> Column:
 
 
 def drop_thousands_commas(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+    # The comma comes first in the pattern: a look-behind there would be tried at every character.
+    return F.regexp_replace(text, r",(?<=\d,)(?=\d{3}(?:\D|$))", "")
 
 
 def tokens(text: Column) -> Column:

@@ -16,9 +16,18 @@ from ..functions.text import tokens
 Analyser = Callable[[Column], Column]
 
 
+#: Term of the row that holds the tokens of all chunks; no analyser gives it.
+TOTAL = "\0"
+
+
+def _exploded(terms: Column) -> Column:
+    # Outer, so that no test of the array's size is pushed below: it would make the terms a second time.
+    return F.explode_outer(terms).alias("term")
+
+
 def postings(chunks: DataFrame, key: str, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     """key, term, tf."""
-    return chunks.select(key, F.explode(analyse(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select(key, _exploded(analyse(F.col(text)))).where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_stats(chunks: DataFrame, key: str, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
@@ -28,16 +37,28 @@ def doc_stats(chunks: DataFrame, key: str, text: str = "text", analyse: Analyser
 
 def doc_freq(chunks: DataFrame, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     """term, df. Each chunk sends a term once; partial counts are combined before the shuffle."""
-    return chunks.select(F.explode(F.array_distinct(analyse(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return chunks.select(_exploded(F.array_distinct(analyse(F.col(text))))).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _counts(chunks: DataFrame, text: str, analyse: Analyser) -> DataFrame:
+    """term, df, and a row of TOTAL whose df is the number of all tokens: one pass over the text, one shuffle."""
+    terms = chunks.select(F.coalesce(analyse(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    sized = terms.select(F.size("t").cast("long").alias("dl"), F.concat(F.array(F.lit(TOTAL)), F.array_distinct("t")).alias("t"))
+    rows = sized.select("dl", _exploded(F.col("t")))
+    return rows.where("term is not null").groupBy("term").agg(F.sum(F.when(F.col("term") == TOTAL, F.col("dl")).otherwise(1)).alias("df"))
+
+
+def _weighted(counts: DataFrame, chunks: DataFrame, text: str, epsilon: float) -> DataFrame:
+    """term, df, idf (null for TOTAL), avgdl. All branches read the same shuffle of counts, so Spark makes it once."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("n_texts"))
+    raw = counts.crossJoin(F.broadcast(n)).withColumn("idf", F.when(F.col("term") != TOTAL, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))  # one row on the right
+    whole = raw.agg(F.avg("idf").alias("mean"), F.max(F.when(F.col("term") == TOTAL, F.col("df") / F.col("n_texts"))).alias("avgdl"))
+    return raw.crossJoin(F.broadcast(whole)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * epsilon).otherwise(F.col("idf")).alias("idf"), "avgdl")
 
 
 def term_stats(chunks: DataFrame, text: str = "text", epsilon: float = 0.25, analyse: Analyser = tokens) -> DataFrame:
     """term, df, idf: ln(n - df + 0.5) - ln(df + 0.5), a negative one replaced by epsilon times the mean idf."""
-    freq = doc_freq(chunks, text, analyse)
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    raw = freq.crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row on the right
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * epsilon).otherwise(F.col("idf")).alias("idf"))
+    return _weighted(_counts(chunks, text, analyse), chunks, text, epsilon).where(F.col("term") != TOTAL).select("term", "df", "idf")
 
 
 def query_terms(queries: DataFrame, text: str = "question", analyse: Analyser = tokens) -> DataFrame:
@@ -52,12 +73,13 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, key: str, k: int, text: str
     side of a join is broadcast is left to Spark, which checks its size.
     """
     terms = query_terms(queries, question, analyse)
-    counted = chunks.select(key, F.size(analyse(F.col(text))).alias("dl"), analyse(F.col(text)).alias("tokens"))
-    lengths = chunks.agg(F.avg(F.size(analyse(F.col(text)))).alias("avgdl"))
-    tf = counted.select(key, "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = term_stats(chunks, text, epsilon, analyse).join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = terms.select("term").distinct()
+    counted = chunks.select(key, analyse(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens").select(key, "dl", _exploded(F.col("tokens")))
+    tf = counted.join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # An inner join: a semi-join would be pushed below the counts, and they would be made again for the mean.
+    stats = _weighted(_counts(chunks, text, analyse), chunks, text, epsilon).join(wanted, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(stats, "term").crossJoin(F.broadcast(lengths)).select(key, "term", part.alias("part"))
+    weighted = tf.join(stats, "term").select(key, "term", part.alias("part"))
     scored = weighted.join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score")).where("score > 0")
     return top_k(scored, k, F.col("score").desc(), F.col(key))
 
