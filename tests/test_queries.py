@@ -58,3 +58,22 @@ def test_min_cover_takes_every_anchor_of_each_path(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["query_id"], r["path_id"]): r["cover"] for r in plans.QUERIES["min_cover"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): "12", (0, 1): "13,14", (1, 0): None, (1, 1): "16"}
+
+
+def test_chunk_sizes_against_the_plain_splitter(spark, tmp_path):
+    from statistics import median
+
+    from corpusforge.operators.chunking import split_recursive
+
+    passages = {0: "zebra quartz lantern " * 3, 1: "velvet orchid " * 60, 2: "absent words"}
+    docs = {10: "plain filler text. " * 40 + passages[0].strip() + ". " + "more filler text. " * 60, 11: passages[1].strip(), 12: "other filler. " * 90}
+    spark.createDataFrame([(i, t.strip()) for i, t in passages.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["size"]: r for r in plans.QUERIES["sweep_chunk_size"](spark, str(tmp_path)).collect()}
+    for size, overlap in ((400, 50), (800, 100), (1600, 200)):
+        pieces = [p for t in docs.values() for p in split_recursive(t, size, overlap)]
+        lost = sum(all(t.strip() not in p for p in pieces) for t in passages.values())
+        row = got[size]
+        assert (row["n"], row["n_chunks"], row["median_chars"], row["lost"]) == (3, len(pieces), median(map(len, pieces)), lost)
+        assert row["recall_at_6"] == round((3 - lost) / 3, 6)
+    assert got[400]["lost"] > got[1600]["lost"]
