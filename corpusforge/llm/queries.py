@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, golden, mixing, periodic, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
+from . import ann, byte_bpe, golden, mixing, periodic, pii, ppm, quality_cascade, sharding, simhash, token_counts, token_store, toxicity
 from .common import table
 
 #: Parameters of the queries.
@@ -62,9 +62,13 @@ def op11_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.digests(table(spark, sf_dir, "clients"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_mixing, op4_ivf_pq, op5_toxicity, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring, op11_golden_records, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_mixing, op4_ivf_pq, op5_toxicity, op6_rendezvous_sharding, op7_byte_bpe, op8_token_store, op9_quality_rules, op10_ppm_scoring, op11_golden_records, op12_pii, op13_periodic_runs)}
 ORACLES = {"op3_mixing": mixing.judged_sql(), "op9_quality_rules": quality_cascade.JUDGE_SQL.replace("{documents}", "documents"), "op11_golden_records": golden.DIGESTS_SQL}
