@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions.udfs import nfkc_tokens
 from .operators import context, fusion, lexical, routing, vectors
 from .settings import DEFAULTS, Settings
+from .sources import postings
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -37,7 +38,9 @@ class Engine:
     sources). analyse: text to terms. hypothesize: adds raw, a made-up passage (with settings.hyde). permute: adds
     permutation to (query_id, question, documents), documents being texts in rank order (with settings.rerank). grade and
     rewrite: see routing.corrective_loop. judge: see routing.verified. repair: see routing.repaired. plan: adds raw, a JSON
-    array of sub-questions (with settings.team_routing); synthesize: adds answer to (query_id, question, answers).
+    array of sub-questions (with settings.team_routing); synthesize: adds answer to (query_id, question, answers). index: a stored
+    index of the chunks' page_content by chunk_index, made with the same analyse; with it questions read postings, not texts. vectors: a stored
+    vector table (vec_id, embedding), read in place of the chunks' own.
     """
 
     chunks: DataFrame
@@ -53,17 +56,20 @@ class Engine:
     repair: Step | None = None
     plan: Step | None = None
     synthesize: Step | None = None
+    index: postings.Index | None = None
+    vectors: DataFrame | None = None
     settle: Step = field(default=lambda df: df)
 
     def by_words(self, asked: DataFrame, k: int, list_id: int) -> DataFrame:
         """query_id, list_id, rank, chunk_index: BM25 of asked's `question`."""
-        s = self.settings
-        best = lexical.bm25_topk(self.chunks, asked, "chunk_index", k, "page_content", k1=s.bm25_k1, b=s.bm25_b, epsilon=s.bm25_epsilon, analyse=self.analyse)
+        how = {"k1": self.settings.bm25_k1, "b": self.settings.bm25_b, "epsilon": self.settings.bm25_epsilon, "analyse": self.analyse}
+        best = postings.search(self.index, asked, k, **how) if self.index is not None else lexical.bm25_topk(self.chunks, asked, "chunk_index", k, "page_content", **how)
         return best.select("query_id", F.lit(list_id).alias("list_id"), "rank", "chunk_index")
 
     def by_vectors(self, asked: DataFrame, k: int, list_id: int) -> DataFrame:
         """The same of the nearest vectors."""
-        index = self.chunks.select(F.col("chunk_index").alias("vec_id"), "embedding")
+        index = self.vectors if self.vectors is not None else self.chunks.select(F.col("chunk_index").alias("vec_id"), "embedding")
+        index = index.select("vec_id", "embedding")
         near = vectors.nearest(index, self.embed(asked), k)
         return near.select("query_id", F.lit(list_id).alias("list_id"), "rank", F.col("vec_id").alias("chunk_index"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_markdown, sentences
 from ..functions.vector import cosine
 from ..settings import DEFAULTS, Settings
+from ..sources.shared import written
 
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", " ")
 #: Box-drawing characters, and the share of them above which a fenced block is a diagram.
@@ -122,47 +123,91 @@ def long_enough(chunks: DataFrame, least: int = 30, text: str = "page_content")
     return chunks.where(F.length(text) >= least)
 
 
-def place_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+def marker_pattern(settings: Settings = DEFAULTS) -> str:
+    """A pattern that matches the markers of the settings."""
+    return "|".join(re.escape(m).replace(re.escape("{n}"), "[0-9]+") for m in (settings.table_marker, settings.diagram_marker))
+
+
+def place_blocks(chunks: DataFrame, blocks: DataFrame, pattern: str | None = None) -> DataFrame:
     """chunks (source, ord, page_content) and blocks (source, ord, kind, marker, page_content) in one order a source.
 
-    A block follows the first chunk of its source that holds its marker; those without one come last. Blocks meet only
-    chunks that hold a marker at all, by an equi-join on the source.
+    A block follows the first chunk of its source that holds its marker; those without one come last. With a pattern that matches
+    every marker, markers are read off the chunks and met by equality. Without one, a block is compared with each chunk of its source.
     """
-    holds = chunks.select("source", F.col("ord").alias("at"), F.col("page_content").alias("holder"))
-    near = blocks.join(holds, "source").where(F.contains("holder", "marker")).groupBy("source", "kind", F.col("ord")).agg(F.min("at").alias("anchor"))
+    if pattern is None:
+        holds = chunks.select("source", F.col("ord").alias("at"), F.col("page_content").alias("holder"))
+        met = blocks.join(holds, "source").where(F.contains("holder", "marker"))
+    else:
+        held = F.explode(F.array_distinct(F.regexp_extract_all("page_content", F.lit(pattern), F.lit(0))))
+        first = chunks.select("source", F.col("ord").alias("at"), held.alias("marker")).groupBy("source", "marker").agg(F.min("at").alias("at"))
+        met = blocks.join(first, ["source", "marker"])
+    near = met.groupBy("source", "kind", F.col("ord")).agg(F.min("at").alias("anchor"))
     placed = blocks.join(near, ["source", "kind", "ord"], "left").select("source", "kind", "marker", "page_content", F.struct(F.coalesce("anchor", F.lit(2147483647)).alias("a"), F.lit(1).alias("b"), F.col("ord").alias("c")).alias("place"))
     prose = chunks.select("source", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("marker"), "page_content", F.struct(F.col("ord").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("place"))
     return prose.unionByName(placed.withColumn("place", F.struct(F.col("place.a").cast("int").alias("a"), F.col("place.b").alias("b"), F.col("place.c").cast("int").alias("c"))))
 
 
-def with_positions(chunks: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """chunk_index (dense from 0 over all), doc_index and doc_total (in the source).
+ROW_BITS = 33  # of monotonically_increasing_id: the partition above them, the row in it below
+
+
+def dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of the order, with _at: the range's number above ROW_BITS, the place in it below."""
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordinals")
 
-    The global ordinal adds each source's row numbers to the counts of the sources before it: one row a source meets in
-    a single task, never all chunks.
+
+def ordinals(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """rows with their place in the order of all, from 0, as a long. Rows that tie in `order` are in any order.
+
+    Rows are dealt by ranges of the order and numbered in their partition; each partition begins after the counts of those
+    before it, one number a partition. No task holds more than its range, also where one value of the first column is most
+    rows. The dealt rows are written once, so that numbers are the same for every reader.
     """
-    inside = Window.partitionBy(source)
-    numbered = chunks.withColumns({"doc_index": F.row_number().over(inside.orderBy(*order)) - 1, "doc_total": F.count(F.lit(1)).over(inside)})
-    counts = chunks.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(source, F.coalesce(F.sum("_n").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(before, source).withColumn("chunk_index", (F.col("_before") + F.col("doc_index")).cast("int")).drop("_before")
+    ranged, part = dealt(rows, order), F.shiftright("_at", ROW_BITS)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)).drop("_part", "_before", "_at")
+
+
+def with_positions(chunks: DataFrame, source: str, order: list[str]) -> DataFrame:
+    """chunk_index (dense from 0 over all), doc_index and doc_total (in the source), all long."""
+    numbered = ordinals(chunks, [source, *order], "chunk_index")
+    sources = numbered.groupBy(source).agg(F.min("chunk_index").alias("_first"), F.count(F.lit(1)).alias("doc_total"))
+    met = numbered.withColumnRenamed(source, "_source").join(sources, F.col("_source").eqNullSafe(F.col(source)))
+    return met.withColumn("doc_index", F.col("chunk_index") - F.col("_first")).select(*chunks.columns, "doc_index", "doc_total", "chunk_index")
 
 
 def build_chunks(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> DataFrame:
     """documents (source, text) to positioned chunks: blocks out, prose cleaned and split, short pieces dropped, blocks placed."""
+    return with_positions(placed_chunks(documents, settings, text), "source", ["place"]).withColumn("md5", F.md5(F.col("page_content").cast("binary"))).drop("place")
+
+
+def placed_chunks(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> DataFrame:
+    """source, kind, marker, page_content, place of all chunks that are long enough. Texts are taken apart once and written."""
+    prose, blocks = pieces(documents, settings, text)
+    return place_blocks(long_enough(prose, settings.min_chunk_chars), blocks, marker_pattern(settings))
+
+
+def pieces(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(prose pieces: source, ord, page_content; whole blocks: source, ord, kind, marker, page_content)."""
     cut = documents.select("source", extract_blocks(F.col(text), settings).alias("x"))
-    prose = cut.select("source", F.posexplode(recursive_chunks(clean_markdown(F.col("x.body")), settings.chunk_size, settings.chunk_overlap)).alias("ord", "page_content"))
-    blocks = cut.select("source", F.posexplode("x.blocks").alias("ord", "b")).select("source", "ord", "b.kind", "b.marker", "b.page_content")
-    placed = place_blocks(long_enough(prose, settings.min_chunk_chars), blocks)
-    return with_positions(placed, "source", ["place"]).withColumn("md5", F.md5(F.col("page_content").cast("binary"))).drop("place")
+    split = recursive_chunks(clean_markdown(F.col("x.body")), settings.chunk_size, settings.chunk_overlap)
+    cut = written(cut.select("source", split.alias("prose"), "x.blocks"), "pieces")
+    prose = cut.select("source", F.posexplode("prose").alias("ord", "page_content"))
+    return prose, cut.select("source", F.posexplode("blocks").alias("ord", "b")).select("source", "ord", "b.kind", "b.marker", "b.page_content")
 
 
 def parent_child(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> DataFrame:
-    """source, parent_id, parent_ord, parent, child_ord, child. parent_id is a hash of source and ordinal, the same on every run."""
-    parents = documents.select("source", F.posexplode(recursive_chunks(F.col(text), settings.parent_size, settings.parent_overlap)).alias("parent_ord", "parent")).where(F.length("parent") >= settings.min_chunk_chars)
-    parents = parents.withColumn("parent_id", F.md5(F.concat_ws(":", "source", "parent_ord").cast("binary")))
-    children = parents.select("*", F.posexplode(recursive_chunks(F.col("parent"), settings.child_size, settings.child_overlap)).alias("child_ord", "child"))
-    return children.where(F.length("child") >= settings.min_chunk_chars)
+    """source, kind, parent_id, parent_ord, parent, child_ord, child. parent_id is a hash of source, kind and ordinal, the same on every run.
+
+    Whole blocks aren't split: each is its own parent and only child, of any length. Prose is cut into parents, these into children; short ones go.
+    """
+    cut = documents.select("source", extract_blocks(F.col(text), settings).alias("x"))
+    cut = written(cut.select("source", recursive_chunks(clean_markdown(F.col("x.body")), settings.parent_size, settings.parent_overlap).alias("prose"), "x.blocks"), "parents")
+    named = lambda df: df.withColumn("parent_id", F.md5(F.concat_ws(":", "source", "kind", "parent_ord").cast("binary")))
+    prose = named(cut.select("source", F.lit(None).cast("string").alias("kind"), F.posexplode("prose").alias("parent_ord", "parent")).where(F.length("parent") >= settings.min_chunk_chars))
+    children = prose.select("*", F.posexplode(recursive_chunks(F.col("parent"), settings.child_size, settings.child_overlap)).alias("child_ord", "child")).where(F.length("child") >= settings.min_chunk_chars)
+    blocks = named(cut.select("source", F.posexplode("blocks").alias("parent_ord", "b")).select("source", "b.kind", "parent_ord", F.col("b.page_content").alias("parent")))
+    return children.unionByName(blocks.withColumns({"child_ord": F.lit(0), "child": F.col("parent")}))
 
 
 def adjacent_distances(vectors: DataFrame, group: str, order: str, vector: str = "embedding") -> DataFrame:

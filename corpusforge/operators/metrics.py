@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_punctuation, refuses
+from . import passages
 
 
 def gold_rank(questions: DataFrame, ranked: DataFrame, gold: DataFrame, key: str) -> DataFrame:
@@ -28,7 +29,7 @@ def chance(n: Column, gold: Column, k: int) -> Column:
 
 def anchor_hits(anchors: DataFrame, chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
     """anchors (..., anchor) joined to the chunks that contain them. Anchors are a stated set of phrases."""
-    return chunks.select(key, text).join(anchors, F.contains(F.col(text), F.col("anchor"))).drop(text)
+    return passages.containing(chunks.select(key, text), anchors, text)
 
 
 def path_coverage(paths: DataFrame, hits: DataFrame) -> DataFrame:

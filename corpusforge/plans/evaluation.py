@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..operators import audits, chunking, context, lexical, metrics
+from ..sources.shared import written
 from . import workload as w
 from .workload import query, table
 
@@ -15,8 +16,8 @@ RANKS = "SELECT query_id, gold_rank FROM (SELECT item_id AS query_id FROM benchm
 MEASURES = "count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN gold_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_{k}" for k in (1, 3, 6)) + ", round(avg(coalesce(1.0 / gold_rank, 0.0)), 6) AS mrr"
 
 
-def ranks(spark, sf_dir, first=1, n=12):
-    return metrics.gold_rank(w.questions(spark, sf_dir), w.best(spark, sf_dir, 6, first, n), w.gold(spark, sf_dir), "doc_id")
+def ranks(spark, sf_dir, first=1, n=12, gold=None):
+    return metrics.gold_rank(w.questions(spark, sf_dir), w.best(spark, sf_dir, 6, first, n), w.gold(spark, sf_dir) if gold is None else gold, "doc_id")
 
 
 @query("gold_rank", RANKS)
@@ -29,12 +30,13 @@ CHANCE = "1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({k}), l
 
 @query("recall_mrr", f"SELECT {MEASURES}, (SELECT round(avg({CHANCE.format(k=6)}), 6) FROM (SELECT item_id, (SELECT count(*) FROM documents) AS n_docs, coalesce(g, 0) AS g FROM benchmark LEFT JOIN (SELECT query_id AS item_id, count(*) AS g FROM {{gold}} GROUP BY 1) USING (item_id))) AS random_at_6 FROM ({RANKS})")
 def recall_mrr(spark, sf_dir):
-    return metrics.recall_mrr(ranks(spark, sf_dir)).crossJoin(F.broadcast(by_chance(spark, sf_dir, (6,))))  # a row each
+    gold = written(w.gold(spark, sf_dir), "gold")
+    return metrics.recall_mrr(ranks(spark, sf_dir, gold=gold)).crossJoin(F.broadcast(by_chance(spark, sf_dir, (6,), gold)))  # a row each
 
 
-def by_chance(spark, sf_dir, ks):
+def by_chance(spark, sf_dir, ks, gold=None):
     n = table(spark, sf_dir, DOCS).agg(F.count(F.lit(1)).alias("n_docs"))
-    golds = w.gold(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("g"))
+    golds = (w.gold(spark, sf_dir) if gold is None else gold).groupBy("query_id").agg(F.count(F.lit(1)).alias("g"))
     rows = w.questions(spark, sf_dir).select("query_id").join(golds, "query_id", "left").crossJoin(F.broadcast(n))
     return rows.agg(*[F.round(F.avg(metrics.chance(F.col("n_docs"), F.coalesce("g", F.lit(0)), k)), 6).alias(f"random_at_{k}") for k in ks])
 
@@ -46,7 +48,8 @@ def random_baseline(spark, sf_dir):
 
 @query("system_comparison", f"SELECT 'long' AS system, {MEASURES} FROM ({RANKS}) GROUP BY 1 UNION ALL SELECT 'short', {MEASURES} FROM ({RANKS.replace('{bm}', '{bmh}')}) GROUP BY 1")
 def system_comparison(spark, sf_dir):
-    both = ranks(spark, sf_dir).withColumn("system", F.lit("long")).unionByName(ranks(spark, sf_dir, 5, 3).withColumn("system", F.lit("short")))
+    gold = written(w.gold(spark, sf_dir), "gold")
+    both = ranks(spark, sf_dir, gold=gold).withColumn("system", F.lit("long")).unionByName(ranks(spark, sf_dir, 5, 3, gold).withColumn("system", F.lit("short")))
     return metrics.recall_mrr(both, by=("system",))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, fusion, lexical, vectors
+from ..sources import postings as postings_store
+from ..sources.shared import fresh
 from . import workload as w
 from .workload import WORDS, query, table
 
@@ -44,6 +46,16 @@ def bm25_topk_short(spark, sf_dir):
     return w.best(spark, sf_dir, 6, 5, 3).select("query_id", "rank", "doc_id", "score")
 
 
+@query("bm25_stored", "SELECT query_id, rank, doc_id, score FROM {bm} WHERE rank <= 6")
+def bm25_stored(spark, sf_dir):
+    """The same from a stored index: half of the languages built first, the others appended; questions read postings only."""
+    docs, folder = table(spark, sf_dir, DOCS), fresh(spark, "index")
+    early = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))
+    postings_store.append(spark, folder, docs.where(early), "doc_id")
+    index = postings_store.append(spark, folder, docs.where(~early), "doc_id")
+    return postings_store.search(index, w.questions(spark, sf_dir), 6).select("query_id", "rank", "doc_id", "score")
+
+
 @query(
     "expansion_terms",
     f"""SELECT query_id, CASE WHEN len(n) > 0 THEN array_to_string(n, ' ') END AS terms FROM (SELECT item_id AS query_id, list_filter(list_distinct_ordered, lambda t: regexp_full_match(t, '[a-z0-9]+') AND NOT list_contains(qt, t)) AS n

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import chunking, lexical
+from ..operators import chunking, lexical, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,14 +40,18 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "qo": ("qo AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(OUT_OF_SCOPE)) + ") t(query_id, question))", ()),
     "tok": (f"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM documents)", ()),
     "post": ("post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)", ("tok",)),
-    "stat": ("stat0 AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term), stat AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM stat0) ELSE raw END AS idf FROM stat0)", ("post",)),
+    "df": ("df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term)", ("post",)),
+    "size": ("size AS MATERIALIZED (SELECT count(*) AS n FROM documents)", ()),
+    "raw": ("raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df CROSS JOIN size)", ("df", "size")),
+    "mean": ("mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)", ("raw",)),
+    "stat": ("stat AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw CROSS JOIN mean)", ("raw", "mean")),
     "len": (f"len AS (SELECT doc_id, len(regexp_extract_all(lower(text), {WORDS})) AS dl FROM documents)", ()),
     "part": ("part AS (SELECT post.doc_id, post.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM len))) AS part FROM post JOIN stat USING (term) JOIN len USING (doc_id))", ("post", "stat", "len")),
     **{f"bm{x}": (f"bm{x}0 AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), {WORDS})) AS term FROM q{x}) JOIN part USING (term) GROUP BY ALL HAVING round(sum(part), 6) > 0), bm{x} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM bm{x}0 QUALIFY rank <= 12)", (f"q{x}", "part")) for x in ("", "h", "o")},
     "gold": ("gold AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))", ()),
     "lists": ("lists AS (SELECT query_id, 0 AS list_id, rank, md5(text) AS key FROM bm JOIN documents USING (doc_id) WHERE rank <= 6 UNION ALL SELECT query_id, 1, rank, md5(text) FROM bmh JOIN documents USING (doc_id) WHERE rank <= 6)", ("bm", "bmh")),
     "ver": ("ver AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS superseded FROM documents)", ()),
-    "ch": ("ch AS (SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::INTEGER AS chunk_index, conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS doc_index, count(*) OVER (PARTITION BY conv_id) AS doc_total, CASE WHEN role = 'system' THEN 'table' END AS kind, text AS page_content FROM conversations)", ()),
+    "ch": ("ch AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS chunk_index, conv_id AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_index, count(*) OVER (PARTITION BY conv_id) AS doc_total, CASE WHEN role = 'system' THEN 'table' END AS kind, text AS page_content FROM conversations)", ()),
     "sel": ("sel AS (SELECT source AS query_id, (row_number() OVER (PARTITION BY source ORDER BY length(page_content) DESC, chunk_index))::INTEGER AS rank, * FROM ch)", ("ch",)),
     "vq": ("vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))", ()),
     "pair": ("pair AS (SELECT query_id, vec_id, label, round(list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(qv::DOUBLE[], qv::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM vq, embeddings)", ("vq",)),
@@ -98,8 +102,7 @@ def best(spark: SparkSession, sf_dir: str, k: int = 12, first: int = 1, n: int =
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(passages, F.contains("text", "anchor")).select("query_id", "doc_id")
+    return metrics.anchor_hits(passages, table(spark, sf_dir, "documents"), "doc_id").select("query_id", "doc_id")
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
