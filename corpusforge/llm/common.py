@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Word separators of every operator here: space, tab, LF, VT, FF, CR. `bytes.split()` splits at the same six.
 SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir` of the session.
-
-    Only where the session names none (local tests), a temporary folder is set and removed at exit.
-    """
-    context = spark.sparkContext
-    set_dir = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="corpusforge-")
-        atexit.register(shutil.rmtree, set_dir, ignore_errors=True)
-        context.setCheckpointDir(set_dir)
-        set_dir = context.getCheckpointDir()
-    return set_dir
-
-
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder (a subfolder for each value of `by`) and read it back: lineage ends there and an executor's loss costs nothing."""
     path = os.path.join(shared_folder(df.sparkSession), "corpusforge", f"{name}-{uuid.uuid4().hex}")

@@ -159,10 +159,14 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return written(rows.select("rid", key, base.alias("base"), tokens_of(F.col("t")).alias("tokens")), "pii-scan")
 
 
-def candidates(scan: DataFrame) -> DataFrame:
-    """context, kind, n_values, n_rows of the patterns: contexts that SEEDS different seeds of a kind fill; the commonest kind's, ties to the first listed."""
+def fillers(scan: DataFrame) -> DataFrame:
+    """context, value, seed, n: how often each identifier-like token fills each context."""
     rows = scan.select(F.explode("tokens").alias("t")).select("t.value", "t.seed", F.explode("t.contexts").alias("context"))
-    by_value = rows.groupBy("context", "value", "seed").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("context", "value", "seed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidates(by_value: DataFrame) -> DataFrame:
+    """context, kind, n_values, n_rows of the patterns: contexts that SEEDS different seeds of a kind fill; the commonest kind's, ties to the first listed."""
     seeds = [F.count(F.when(F.col("seed") == k, 1)) for k in range(len(KINDS))]
     counted = by_value.groupBy("context").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_rows"), F.array(*seeds).alias("seeds"))
     most = counted.withColumn("most", F.array_max("seeds")).where(F.col("most") >= SEEDS)
@@ -196,15 +200,16 @@ def score_values(edges: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def discovered(docs: DataFrame, scan: DataFrame, text: str = "text") -> DataFrame | None:
     """value, k: the identifiers that the patterns find, each of the kind of its highest score; None if there is no pattern."""
-    patterns = written(candidates(scan), "pii-patterns")
+    by_value = written(fillers(scan), "pii-fillers")
+    patterns = written(candidates(by_value), "pii-patterns")
     n = patterns.count()
     if not n:
         return None
     sized = patterns.join(standing(docs, patterns, n, text), "context", "left")
     size = F.col("n_values") + F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - F.col("n_rows"))
     sized = sized.select("context", "kind", size.cast("double").alias("size"))
-    rows = scan.select(F.explode("tokens").alias("t")).select("t.value", "t.seed", F.explode("t.contexts").alias("context"))
-    edges = written(rows.join(sized, "context").distinct(), "pii-edges")
+    # Nothing stands above this join that needs a context's rows together, so a hot context's can be split.
+    edges = written(by_value.drop("n").join(sized, "context"), "pii-edges")
     scores = docs.sparkSession.createDataFrame([], "value string, kind int, score double, reached boolean")
     for _ in range(ROUNDS):
         scores = written(score_values(edges, score_patterns(edges, scores)), "pii-scores")

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SEPARATORS, let, written
 
@@ -131,9 +132,18 @@ METHOD_RULES = (
 )
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of a type: no map or variant in it, however deep."""
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind)
+    return kind.typeName() not in ("map", "variant")
+
+
 def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The texts (null as empty) of the rows of least hash in the whole table. All columns are hashed, so that copies of a text don't come all or none."""
-    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
+    """The texts (null as empty) of the rows of least hash in the whole table. All columns that can be are hashed, so that copies of a text don't come all or none."""
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if hashable(f.dataType)])
     slim = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), hashed.alias("hash"))
     return written(slim.orderBy("hash", "text").limit(rows).select("text"), "quality-sample")
 

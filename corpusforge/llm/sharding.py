@@ -3,8 +3,9 @@
 Method. Every (key, shard) pair has a hash; read as a uniform number u it gives the score -weight / ln(u), and the
 record goes to the shard of highest score. A shard that is added wins some records and moves no other; shard weights set
 the shares. This is the law `key`: key and shard count alone decide. All is expression work on one row, no shuffle.
-Slots (0, 1, ... in each shard) need one: rows are dealt by (shard, bucket of the key), numbered inside the bucket,
-and shifted by the counts of the buckets before, so no task holds a whole shard.
+Slots (0, 1, ... in each shard) need one: rows are dealt by (shard, bucket), numbered inside the bucket,
+and shifted by the counts of the buckets before, so no task holds a whole shard. An empty table gives no rows; texts of any
+length are hashed in place and never shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Buckets in a shard for numbering; a bucket holds 1/BUCKETS of a shard.
 BUCKETS = 256
 
@@ -35,16 +38,18 @@ def assign(df: DataFrame, key: Column, weights: list[float], shard: str = "shard
 
 
 def with_slots(df: DataFrame, shard: str, key: Column, order: list[Column], slot: str = "slot") -> DataFrame:
-    """df with gapless slots from 0 in each shard. Order: bucket of the key, then `order`; repeated rows get a slot each.
+    """df with gapless slots from 0 in each shard. Order: bucket of the key and of `order`, then `order`; repeated rows get a slot each.
 
-    A key that many rows share would fill one bucket, so keys should be record keys (nearly unique).
+    Rows that share a key are dealt over the buckets by what else they are ordered by, so null or repeated ids don't gather; only rows
+    that are equal in all of it fill one bucket. All other columns of df are kept, whatever their names.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(BUCKETS)).cast("int"))
-    counts = df.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(shard), "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order)))
-    return numbered.join(offsets, [shard, "_bucket"]).withColumn(slot, F.col("_before") + F.col("_row") - 1).drop("_bucket", "_row", "_before")
+    bucket, n, before, row = (free_name([*df.columns, shard, slot], x) for x in ("bucket", "n", "before", "row"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(key, *order, F.lit("slot")), F.lit(BUCKETS)).cast("int"))
+    counts = df.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(shard), bucket, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    numbered = df.withColumn(row, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*order)))
+    return numbered.join(offsets, [shard, bucket]).withColumn(slot, F.col(before) + F.col(row) - 1).drop(bucket, row, before)
 
 
 def shard_documents(docs: DataFrame, shards: int, weights: list[float] | None = None) -> DataFrame:

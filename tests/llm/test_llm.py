@@ -772,8 +772,8 @@ def test_pipeline_stage_by_stage(spark, pipeline_folder):
         elif name == "toxicity":
             assert not any("idiot" in (rows[i] or "") for i in kept) and len(kept) > 100
         elif name == "near duplicates":
-            groups = brute_groups([(i, brute_fingerprint(t)) for i, t in sorted(rows.items())])
-            assert kept == set(groups.values())
+            ids = sorted(rows)
+            assert kept == {ids[g] for g in shingle_groups([rows[i] for i in ids])}
         else:
             assert kept == {r["doc_id"] for r in mixing.judged(docs).where("kept").collect()}
         docs = spark.createDataFrame(out.collect(), docs.schema)
@@ -793,3 +793,27 @@ def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and all(r["_keep"] == r["mix"] == "x" for r in out.collect()), name
+
+
+def test_quality_rules_beside_nested_maps(spark):
+    docs = table(spark, TEXTS).select("*", F.array(F.create_map(F.lit("k"), F.lit(1))).alias("maps"), F.struct(F.create_map(F.lit("k"), F.lit(1)).alias("m")).alias("deep"))
+    assert {r["doc_id"] for r in quality_cascade.keep(docs).collect()} == {i for i, t in enumerate(TEXTS) if brute_quality(t)[-1]}
+
+
+def test_slots_keep_all_columns_and_split_equal_keys(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("_row"), F.lit(1).alias("bucket"), (F.col("id") % 2).cast("int").alias("shard"), F.lit("x").alias("n"))
+    out = sharding.with_slots(df, "shard", F.col("k"), [F.col("_row")])
+    assert out.columns == ["shard", *[c for c in df.columns if c != "shard"], "slot"] or set(out.columns) == {*df.columns, "slot"}
+    rows = out.collect()
+    for s in (0, 1):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(1500))
+    assert {r["n"] for r in rows} == {"x"} and {r["_row"] for r in rows} == set(range(3000))
+    # Null keys are dealt over the buckets.
+    assert df.select(F.pmod(F.xxhash64(F.col("k"), F.col("_row"), F.lit("slot")), F.lit(sharding.BUCKETS))).distinct().count() > 200
+
+
+def test_toxicity_takes_a_column_as_spark_resolves_it(spark):
+    docs, labels, _ = labelled(spark, 60)
+    model = toxicity.train(docs, labels)
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs.withColumnRenamed("text", "Text"), model).collect()}
+    assert kept == {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()}
