@@ -6,27 +6,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs
-from ..operators import routing
+from ..operators import lexical, routing
 from ..settings import DEFAULTS
 from ..sources import store
+from ..sources.shared import written
 from ..streaming import traces
 from . import workload as w
-from .retrieval import VALUES, asked
+from .retrieval import ASKED_SQL, asked
 from .workload import query, table
 
 TYPE_SQL = r"CASE WHEN regexp_matches(question, '중\s*(더|먼저|나중|늦게|어느|어떤|무엇)') THEN 'comparison' WHEN regexp_matches(question, '몇\s*(편|건|배)|(총|합치면|모두)\s*몇') THEN 'aggregation' WHEN regexp_matches(question, '들을?\s*(알려|무엇|모두)|모두\s*(알려|나열)|(?:몇|\d+|[한두세네]|다섯|여섯)\s*가지|들을?\s*어떤\s*순서') THEN 'enumeration' ELSE 'fact' END"
 
 
-@query("route_classify", f"SELECT query_id, {TYPE_SQL} AS type FROM (VALUES {VALUES}) t(query_id, question)")
+@query("route_classify", f"SELECT query_id, {TYPE_SQL} AS type FROM {ASKED_SQL}")
 def route_classify(spark, sf_dir):
-    return asked(spark).select("query_id", T.question_type(F.col("question")).alias("type"))
+    return asked(spark, sf_dir).select("query_id", T.question_type(F.col("question")).alias("type"))
 
 
-@query("route_strategy", f"SELECT query_id, type, CASE WHEN type IN ('aggregation', 'enumeration') THEN 1 ELSE 0 END::INTEGER AS neighbor_window, CASE WHEN type = 'aggregation' THEN 3 ELSE 5 END::INTEGER AS generate_top_n, type = 'comparison' AS use_team FROM (SELECT query_id, {TYPE_SQL} AS type FROM (VALUES {VALUES}) t(query_id, question))")
+@query("route_strategy", f"SELECT query_id, type, CASE WHEN type IN ('aggregation', 'enumeration') THEN 1 ELSE 0 END::INTEGER AS neighbor_window, CASE WHEN type = 'aggregation' THEN 3 ELSE 5 END::INTEGER AS generate_top_n, type = 'comparison' AS use_team FROM (SELECT query_id, {TYPE_SQL} AS type FROM {ASKED_SQL})")
 def route_strategy(spark, sf_dir):
     import dataclasses
 
-    return routing.routed(asked(spark), dataclasses.replace(DEFAULTS, team_routing=True)).select("query_id", "type", "neighbor_window", "generate_top_n", "use_team")
+    return routing.routed(asked(spark, sf_dir), dataclasses.replace(DEFAULTS, team_routing=True)).select("query_id", "type", "neighbor_window", "generate_top_n", "use_team")
 
 
 @query(
@@ -45,29 +46,49 @@ def grade_fail_open(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", routing.verdict(said).alias("verdict"))
 
 
-@query("corrective_loop", "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS rewrites, CASE WHEN query_id % 3 = 0 AND query_id % 2 = 0 THEN 'x' || query_id ELSE 'q' || query_id END AS query FROM (SELECT unnest(range(40)) AS query_id)")
+@query("corrective_loop", "SELECT q.query_id, (f.query_id IS NULL)::INTEGER AS rewrites, CASE WHEN f.query_id IS NULL THEN q.question ELSE qh.question END AS query FROM {q} JOIN {qh} USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM {bmh} SEMI JOIN {gold} USING (query_id, doc_id) WHERE rank <= 6) f USING (query_id)")
 def corrective_loop(spark, sf_dir):
-    """Every third question is judged insufficient; of these the odd ones can't be rewritten."""
-    i = F.col("query_id")
-    questions = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"))
-    retrieve = lambda df: df.withColumn("documents", F.concat(F.lit("d"), i.cast("string")))
-    grade = lambda df: df.withColumn("judged", F.when(i % 3 == 0, "no").otherwise("yes"))
-    rewrite = lambda df: df.withColumn("new_query", F.when(i % 2 == 0, F.concat(F.lit("x"), i.cast("string"))))
-    return routing.corrective_loop(questions, retrieve, grade, rewrite).select("query_id", "rewrites", "query")
+    """Three words of each passage are asked. Where none of the six documents found holds the passage, twelve words are asked instead."""
+    docs, gold = table(spark, sf_dir, "documents"), written(w.gold(spark, sf_dir), "gold")
+    longer = w.questions(spark, sf_dir).select("query_id", F.col("question").alias("new_query"))
 
+    def retrieve(rows):
+        found = lexical.bm25_topk(docs, rows.select("query_id", F.col("query").alias("question")), "doc_id", 6)
+        return rows.join(found.groupBy("query_id").agg(F.collect_list("doc_id").alias("documents")), "query_id", "left")
 
-SCRIPTS = ["이 문장은 한국어로 쓰여 있고 충분히 길다. 这是一个中文句子。", "짧다. 这是一个中文句子。", "古語 하나는 남는다. 그리고 더 길게 이어 쓴다.", "English only."]
+    def grade(rows):
+        good = rows.select("query_id", F.explode("documents").alias("doc_id")).join(gold, ["query_id", "doc_id"], "left_semi").select("query_id").distinct()
+        return rows.join(good.withColumn("good", F.lit("yes")), "query_id", "left").withColumn("judged", F.coalesce("good", F.lit("no"))).drop("good")
 
+    rewrite = lambda rows: rows.join(longer, "query_id", "left")
+    out = routing.corrective_loop(w.questions(spark, sf_dir, 5, 3), retrieve, grade, rewrite, settle=lambda df: written(df, "loop"))
+    return out.select("query_id", "rewrites", "query")
 
-@query("script_filter", "SELECT row_id, text FROM (VALUES (0::BIGINT, '이 문장은 한국어로 쓰여 있고 충분히 길다.'), (1::BIGINT, '짧다. 这是一个中文句子。'), (2::BIGINT, '古語 하나는 남는다. 그리고 더 길게 이어 쓴다.'), (3::BIGINT, 'English only.')) t(row_id, text)")
+
+FOREIGN_TAIL = " 这是一个中文句子。 古語 하나는 남는다."
+SPLIT_SQL = "list_filter(string_split_regex(regexp_replace(t, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+
+
+@query(
+    "script_filter",
+    f"""WITH d AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN '{FOREIGN_TAIL}' ELSE '' END AS t FROM conversations),
+    k AS (SELECT *, regexp_replace(array_to_string(list_filter({SPLIT_SQL}, lambda x: length(x) - length(regexp_replace(x, '[一-鿿]', '', 'g')) < 3), ' '), '^\\s+|\\s+$', '', 'g') AS kept FROM d)
+    SELECT conv_id, turn, md5(CASE WHEN regexp_matches(t, '[一-鿿]') AND length(kept) >= 20 THEN kept ELSE t END) AS text_md5 FROM k""",
+)
 def script_filter(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(SCRIPTS)), "row_id long, text string").select("row_id", T.keep_script(F.col("text")).alias("text"))
+    """Every other turn has slipped into a foreign script."""
+    text = F.concat("text", F.when(F.col("turn") % 2 == 0, FOREIGN_TAIL).otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.keep_script(text).cast("binary")).alias("text_md5"))
 
 
-@query("clean_rewrite", "SELECT row_id, query FROM (VALUES (0::BIGINT, '새 질문'), (1::BIGINT, NULL), (2::BIGINT, '다음 줄'), (3::BIGINT, NULL), (4::BIGINT, 'plain')) t(row_id, query)")
+@query("clean_rewrite", "SELECT query_id, CASE query_id % 5 WHEN 1 THEN NULL WHEN 3 THEN NULL ELSE question END AS query FROM {q}")
 def clean_rewrite(spark, sf_dir):
-    rows = [(0, '재작성된 질문: "새 질문"', "q"), (1, "원래", "원래"), (2, "다음과 같습니다:\n다음 줄\n셋째", "q"), (3, "안내:", "q"), (4, "\n\n  'plain'  ", "q")]
-    return spark.createDataFrame(rows, "row_id long, raw string, original string").select("row_id", T.clean_rewrite(F.col("raw"), F.col("original")).alias("query"))
+    """Questions as a model would give them back: labelled and quoted, unchanged, after an announcement, announced only, among blank lines."""
+    q = F.col("question")
+    said = [F.concat(F.lit('재작성된 질문: "'), q, F.lit('"')), q, F.concat(F.lit("다음과 같습니다:\n"), q, F.lit("\nmore")), F.lit("안내:"), F.concat(F.lit("\n\n  '"), q, F.lit("'  "))]
+    raw = F.get(F.array(*said), (F.col("query_id") % 5).cast("int"))
+    original = F.when(F.col("query_id") % 5 == 1, q).otherwise(F.lit("what was asked"))
+    return w.questions(spark, sf_dir).select("query_id", T.clean_rewrite(raw, original).alias("query"))
 
 
 @query("timings_merge", "SELECT user_id, event_type AS step, round(sum(value), 4) AS seconds FROM events GROUP BY ALL")
@@ -79,24 +100,37 @@ def timings_merge(spark, sf_dir):
     return maps.select("user_id", F.explode(routing.merged_timings(F.col("m0"), F.col("m1"))).alias("step", "seconds")).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("plan_parse", "SELECT row_id, questions FROM (VALUES (0::BIGINT, 'a|b'), (1::BIGINT, 'whole'), (2::BIGINT, '1|2|3'), (3::BIGINT, 'whole'), (4::BIGINT, 'whole')) t(row_id, questions)")
+@query("plan_parse", "SELECT query_id, CASE query_id % 4 WHEN 0 THEN p[1] || '|' || p[2] WHEN 2 THEN p[1] || '|' || p[2] || '|' || p[3] ELSE question END AS questions FROM (SELECT query_id, question, string_split(question, ' ') AS p FROM {q})")
 def plan_parse(spark, sf_dir):
-    rows = [(0, 'Sure: [" a ", "b", ""] done'), (1, "no array"), (2, '["1","2","3","4"]'), (3, "[]"), (4, "[broken")]
-    return spark.createDataFrame(rows, "row_id long, text string").select("row_id", F.array_join(T.parse_plan(F.col("text"), F.lit("whole")), "|").alias("questions"))
+    """Plans as a model would write them, from each question's words: with talk around, none, too many parts, cut off."""
+    word, q = (lambda i: F.get(F.split("question", " "), F.lit(i))), F.col("question")
+    plans = [F.concat(F.lit('Sure: [" '), word(0), F.lit(' ", "'), word(1), F.lit('", ""] done')), q, F.concat(F.lit("["), F.array_join(F.transform(F.split(q, " "), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("]")), F.concat(F.lit('["'), word(0))]
+    raw = F.get(F.array(*plans), (F.col("query_id") % 4).cast("int"))
+    return w.questions(spark, sf_dir).select("query_id", F.array_join(T.parse_plan(raw, q), "|").alias("questions"))
 
 
-@query("fanout_fanin", "SELECT conv_id AS query_id, string_agg(substr(text, 1, 5) || '!', '|' ORDER BY turn) AS answers, array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(*) = 1 AS single FROM conversations GROUP BY conv_id")
+FIRST_SENTENCE = "regexp_replace(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n{2,}')[1], '^\\s+|\\s+$', '', 'g')"
+
+
+@query("fanout_fanin", f"SELECT conv_id AS query_id, md5(string_agg({FIRST_SENTENCE}, '|' ORDER BY turn)) AS answers_md5, array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(*) = 1 AS single FROM conversations GROUP BY conv_id")
 def fanout_fanin(spark, sf_dir):
+    """Turns as parts of a question; the stand-in model answers with a part's first sentence."""
     turns = table(spark, sf_dir, "conversations")
     plans = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("s")).select("query_id", F.col("s").alias("sub_questions"))
-    answered = routing.fan_out(plans).select("query_id", "pos", F.concat(F.substring("question.text", 1, 5), F.lit("!")).alias("answer"), F.array("question.role").alias("sources"))
-    return routing.fan_in(answered).select("query_id", F.array_join("answers", "|").alias("answers"), F.array_join("sources", ",").alias("sources"), "single")
+    answered = routing.fan_out(plans).select("query_id", "pos", F.get(T.sentences(F.col("question.text")), F.lit(0)).alias("answer"), F.array("question.role").alias("sources"))
+    return routing.fan_in(answered).select("query_id", F.md5(F.array_join("answers", "|").cast("binary")).alias("answers_md5"), F.array_join("sources", ",").alias("sources"), "single")
 
 
-@query("calculate")
+@query(
+    "calculate",
+    "SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN (l_quantity - l_linenumber) / l_linenumber * 100 WHEN 1 THEN l_linenumber ** 2 ** 2 - -l_quantity WHEN 2 THEN NULL ELSE 2 * (l_quantity + 3) - 10 / (l_linenumber + 1) END, 6) AS result FROM lineitem",
+)
 def calculate(spark, sf_dir):
-    rows = ["(2292-334)/2292*100", "2**10", "2**65", "-3 + 4.5", "__import__('os')", "1/0", ""]
-    return spark.createDataFrame(list(enumerate(rows)), "row_id long, expression string").select("row_id", "expression", udfs.calculate("expression").alias("result"))
+    """Arithmetic written out from each order line; every fourth isn't arithmetic and gives nothing."""
+    n, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    forms = [F.concat(F.lit("("), q, F.lit("-"), n, F.lit(")/"), n, F.lit("*100")), F.concat(n, F.lit("**2**2 - -"), q), F.concat(F.lit("price of "), n), F.concat(F.lit("2*("), q, F.lit(" + 3) - 10/("), n, F.lit("+1)"))]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.get(F.array(*forms), F.col("l_linenumber") % 4).alias("expression"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(udfs.calculate("expression").try_cast("double"), 6).alias("result"))
 
 
 @query("nfkc")

@@ -117,21 +117,24 @@ def quadrants(spark, sf_dir):
     return wide.select("quality", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("0", "clean"), ("1", "toxic"))])
 
 
-ANSWERS = [
-    (0, "매출은 2,292억원입니다。", ["2,292"], None, None),
-    (1, "정보가 없습니다", ["2"], None, None),
-    (2, "문서에서 찾을 수 없습니다", None, None, True),
-    (3, "It uses Spark and Arrow", None, ["spark", "ARROW"], False),
-    (4, "It uses Spark", None, ["spark", "arrow"], None),
-    (5, "지어낸 답", None, None, True),
-    (6, "값：３", ["값:", "[0-9３]"], ["x"], False),
-]
-
-
-@query("answer_grade", "SELECT case_id, passed FROM (VALUES (0::BIGINT, true), (1::BIGINT, false), (2::BIGINT, true), (3::BIGINT, true), (4::BIGINT, false), (5::BIGINT, false), (6::BIGINT, true)) t(case_id, passed)")
+REFUSED = " 정보가 없습니다"
+
+
+@query(
+    "answer_grade",
+    f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN refused WHEN 1 THEN NOT refused AND conv_id % 2 = 0 WHEN 2 THEN NOT refused AND conv_id % 5 <> 0 ELSE NOT refused AND conv_id % 5 <> 0 END AS passed
+    FROM (SELECT conv_id, turn, text, conv_id % 3 = 0 AS refused FROM conversations)""",
+)
 def answer_grade(spark, sf_dir):
-    rows = spark.createDataFrame(ANSWERS, "case_id long, answer string, patterns array<string>, keywords array<string>, expect_refusal boolean")
-    return rows.select("case_id", metrics.passes(*[F.col(c) for c in ("answer", "patterns", "keywords", "expect_refusal")]).alias("passed"))
+    """Turns as answers, every third conversation refusing. Criteria by turn: a refusal is wanted; a pattern made of the answer's own first word, or of one it lacks; its words in capitals as keywords; a pattern in full-width marks beside keywords that count for nothing."""
+    i, first = F.col("conv_id"), F.regexp_extract("text", r"^\s*(\S{1,4})", 1)
+    own = F.concat(F.lit(r"\Q"), first, F.lit(r"\E"))
+    turn = F.col("turn") % 4
+    answer = F.concat("text", F.lit("：end"), F.when(i % 3 == 0, REFUSED).otherwise(""))
+    absent = F.concat(F.lit("zq"), i.cast("string"))
+    patterns = F.when(turn == 1, F.array(own, F.when(i % 2 == 0, F.lit(":end")).otherwise(absent))).when(turn == 3, F.array(F.when(i % 5 == 0, absent).otherwise(F.lit("(?i)[:]END"))))
+    keywords = F.when(turn == 2, F.array(F.lit(":END"), F.when(i % 5 == 0, absent).otherwise(F.upper(first)))).when(turn == 3, F.array(absent))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.passes(answer, patterns, keywords, turn == 0).alias("passed"))
 
 
 @query("accuracy_rollup", "SELECT type, count(*) AS n, round(avg(passed::INTEGER), 6) AS accuracy, round(avg(rewrote::INTEGER), 6) AS rewrite_rate, round(avg(latency), 4) AS latency FROM {ans} GROUP BY ROLLUP (type)")
@@ -267,11 +270,13 @@ def gold_audit(spark, sf_dir):
     return omitted.unionByName(stale)
 
 
-@query("derive_paths", "SELECT row_id, n_paths, first_path FROM (VALUES (0::BIGINT, 2::INTEGER, 'a+b'), (1::BIGINT, 3::INTEGER, 'x'), (2::BIGINT, 0::INTEGER, NULL)) t(row_id, n_paths, first_path)")
+@query("derive_paths", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 2 WHEN conv_id % 3 = 1 THEN count(*) ELSE 0 END::INTEGER AS n_paths, CASE WHEN conv_id % 3 = 0 THEN string_agg(role, '+' ORDER BY turn) WHEN conv_id % 3 = 1 THEN min_by(role, turn) END AS first_path FROM conversations GROUP BY conv_id")
 def derive_paths(spark, sf_dir):
-    rows = spark.createDataFrame([(0, [["a", "b"], ["c"]], ["z"]), (1, None, ["x", "y", "z"]), (2, [], None)], "row_id long, sets array<array<string>>, anchors array<string>")
-    p = rows.select("row_id", audits.derived_paths(F.col("sets"), F.col("anchors")).alias("p"))
-    return p.select("row_id", F.size("p").alias("n_paths"), F.array_join(F.get("p", F.lit(0)), "+").alias("first_path"))
+    """A conversation's roles as anchors: given as two paths, given as anchors alone, or not given."""
+    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("s")).select("conv_id", F.col("s.role").alias("roles"))
+    sets, anchors = F.when(F.col("conv_id") % 3 == 0, F.array("roles", F.array(F.lit("z")))), F.when(F.col("conv_id") % 3 < 2, F.col("roles"))
+    p = roles.select("conv_id", audits.derived_paths(sets, anchors).alias("p"))
+    return p.select("conv_id", F.size("p").alias("n_paths"), F.array_join(F.get("p", F.lit(0)), "+").alias("first_path"))
 
 
 @query("subset_check", "SELECT conv_id, list_has_all(list(DISTINCT role), ['user', 'assistant']) AS complete FROM conversations GROUP BY conv_id")

@@ -9,13 +9,10 @@ from ..operators import fusion, kgraph
 from . import workload as w
 from .workload import query, table
 
-NAMES = ["  Acme  Corp ", "서울  대학교", "ACME\tcorp", "Ünit A", "x"]
-NAME_VALUES = ", ".join("({}::BIGINT, replace('{}', '~', chr(9)))".format(i, n.replace("\t", "~")) for i, n in enumerate(NAMES))
-
-
-@query("entity_normalize", rf"SELECT row_id, CASE WHEN regexp_full_match(n, '[\x00-\x7F]*') THEN lower(n) ELSE n END AS name FROM (SELECT row_id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS n FROM (VALUES {NAME_VALUES}) t(row_id, name))")
+@query("entity_normalize", r"SELECT p_partkey, CASE WHEN regexp_full_match(n, '[\x00-\x7F]*') THEN lower(n) ELSE n END AS name FROM (SELECT p_partkey, trim(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN '  ' || p_name || chr(9) || ' Part ' ELSE '부품  ' || p_brand || chr(10) || ' X ' END, '\s+', ' ', 'g')) AS n FROM part)")
 def entity_normalize(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(NAMES)), "row_id long, name string").select("row_id", T.normalize_entity(F.col("name")).alias("name"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name", F.lit("\t Part "))).otherwise(F.concat(F.lit("부품  "), "p_brand", F.lit("\n X ")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_entity(name).alias("name"))
 
 
 def triples(spark, sf_dir):
@@ -84,10 +81,13 @@ def sentence_group(spark, sf_dir):
 TEMPLATES = [("placed", "{s}{eun_neun} 무엇을 주문했나요?"), ("rated", "{s}{i_ga} 매긴 등급은?")]
 
 
-@query("render_question", "SELECT query_id, question FROM (VALUES (0::BIGINT, '서울은 어디'), (1::BIGINT, '회사는 어디'), (2::BIGINT, '을지로가 좋다'), (3::BIGINT, 'Acme를 본다'), (4::BIGINT, '강을 본다')) t(query_id, question)")
+@query("render_question", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN s || CASE WHEN closed THEN '은' ELSE '는' END || ' 어디' WHEN 1 THEN s || CASE WHEN closed THEN '이' ELSE '가' END || ' 좋다' ELSE s || CASE WHEN closed THEN '을' ELSE '를' END || ' 본다' END AS question FROM (SELECT c_custkey, c_custkey % 2 = 0 AS closed, c_name || CASE WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 2 = 0 THEN '상점' ELSE '회사' END AS s FROM customer)")
 def render_question(spark, sf_dir):
-    rows = [(0, "{s}{eun_neun} 어디", "서울"), (1, "{s}{eun_neun} 어디", "회사"), (2, "{s}{i_ga} 좋다", "을지로"), (3, "{s}{eul_reul} 본다", "Acme"), (4, "{s}{eul_reul} 본다", "강")]
-    return spark.createDataFrame(rows, "query_id long, template string, subject string").select("query_id", T.render_question(F.col("template"), F.col("subject")).alias("question"))
+    """Names end in a closed syllable, an open one, or a digit; each template asks for another particle."""
+    i = F.col("c_custkey")
+    template = F.get(F.array(F.lit("{s}{eun_neun} 어디"), F.lit("{s}{i_ga} 좋다"), F.lit("{s}{eul_reul} 본다")), (i % 3).cast("int"))
+    subject = F.concat("c_name", F.when(i % 4 == 1, "").when(i % 2 == 0, "상점").otherwise("회사"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.render_question(template, subject).alias("question"))
 
 
 @query(

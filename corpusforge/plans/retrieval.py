@@ -96,16 +96,18 @@ def version_filter(spark, sf_dir):
 
 HISTORY_SQL = r"이전\s*(버전|판)|예전|과거|옛\s*(버전|판)|구\s*버전|당시|\bv\d+\s*(에서|에는|의)|(\d{4})\s*년\s*(기준|당시|버전|판)|바뀌기\s*전|수정\s*전|개정\s*전|업데이트\s*전"
 ASKED = ["예전 버전에서는 어땠나요", "v2 에서는 무엇이 달랐나요", "2023년 기준 매출은", "지금 버전은 무엇인가요", "A와 B 중 더 큰 것은", "논문은 몇 편인가요", "제품들을 모두 나열해 주세요", "기준 세 가지는 무엇인가요", "주소는 어디인가요", "개정 전 규정은", ""]
-VALUES = ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(ASKED))
+#: Each passage's first words, followed by one of the intents in turn.
+ASKED_SQL = f"(SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), {WORDS})[1:12], ' ') || ' ' || [{', '.join(f"'{q}'" for q in ASKED)}][item_id % {len(ASKED)} + 1] AS question FROM benchmark)"
 
 
-def asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "query_id long, question string")
+def asked(spark, sf_dir):
+    intent = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("query_id") % len(ASKED) + 1).cast("int"))
+    return w.questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "question", intent))
 
 
-@query("history_intent", f"SELECT query_id, regexp_matches(question, '{HISTORY_SQL}') AS history FROM (VALUES {VALUES}) t(query_id, question)")
+@query("history_intent", f"SELECT query_id, regexp_matches(question, '{HISTORY_SQL}') AS history FROM {ASKED_SQL}")
 def history_intent(spark, sf_dir):
-    return asked(spark).select("query_id", T.wants_history(F.col("question")).alias("history"))
+    return asked(spark, sf_dir).select("query_id", T.wants_history(F.col("question")).alias("history"))
 
 
 @query("rerank_permutation", "SELECT query_id, CASE WHEN n > 1 AND query_id % 3 <> 0 THEN n - rank + 1 ELSE rank END::INTEGER AS rank, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM {bm} WHERE rank <= 6)")
