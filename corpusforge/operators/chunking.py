@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,17 +181,40 @@ def build_chunks(documents: DataFrame, settings: Settings = DEFAULTS, text: str
     return with_positions(placed_chunks(documents, settings, text), "source", ["place"]).withColumn("md5", F.md5(F.col("page_content").cast("binary"))).drop("place")
 
 
-def placed_chunks(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> DataFrame:
+class Report:
+    """What is counted in passing while texts are taken apart, without a second scan: see `counts` and `empty_sources`."""
+
+    def __init__(self):
+        self.observation, self.cut = Observation(), None
+
+    def counts(self) -> dict[str, int]:
+        """documents, empty (no chunk comes of them), pieces of prose, dropped (those that are too short)."""
+        return {k: v or 0 for k, v in self.observation.get.items()}
+
+    def empty_sources(self) -> DataFrame:
+        """source of every document that no chunk comes of."""
+        return self.cut.where("kept = 0").select("source")
+
+
+def placed_chunks(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text", report: Report | None = None) -> DataFrame:
     """source, kind, marker, page_content, place of all chunks that are long enough. Texts are taken apart once and written."""
-    prose, blocks = pieces(documents, settings, text)
+    prose, blocks = pieces(documents, settings, text, report)
     return place_blocks(long_enough(prose, settings.min_chunk_chars), blocks, marker_pattern(settings))
 
 
-def pieces(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def pieces(documents: DataFrame, settings: Settings = DEFAULTS, text: str = "text", report: Report | None = None) -> tuple[DataFrame, DataFrame]:
     """(prose pieces: source, ord, page_content; whole blocks: source, ord, kind, marker, page_content)."""
     cut = documents.select("source", extract_blocks(F.col(text), settings).alias("x"))
     split = recursive_chunks(clean_markdown(F.col("x.body")), settings.chunk_size, settings.chunk_overlap)
-    cut = written(cut.select("source", split.alias("prose"), "x.blocks"), "pieces")
+    cut = cut.select("source", split.alias("prose"), "x.blocks")
+    if report is not None:
+        long = F.size(F.filter("prose", lambda p: F.length(p) >= settings.min_chunk_chars))
+        cut = cut.withColumns({"kept": long + F.size("blocks"), "_pieces": F.size("prose"), "_long": long})
+        seen = {"documents": F.count(F.lit(1)), "empty": F.count_if(F.col("kept") == 0), "pieces": F.sum("_pieces"), "dropped": F.sum(F.col("_pieces") - F.col("_long"))}
+        cut = cut.observe(report.observation, *[c.alias(k) for k, c in seen.items()]).drop("_pieces", "_long")
+    cut = written(cut, "pieces")
+    if report is not None:
+        report.cut = cut
     prose = cut.select("source", F.posexplode("prose").alias("ord", "page_content"))
     return prose, cut.select("source", F.posexplode("blocks").alias("ord", "b")).select("source", "ord", "b.kind", "b.marker", "b.page_content")
 

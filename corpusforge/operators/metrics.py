@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_punctuation, refuses
-from . import passages
+from . import passages, quantiles
 
 
 def gold_rank(questions: DataFrame, ranked: DataFrame, gold: DataFrame, key: str) -> DataFrame:
@@ -50,10 +50,9 @@ def passes(answer: Column, patterns: Column, keywords: Column, expect_refusal: C
 
 
 def upper_median(values: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
-    """The element at n // 2 of the sorted values of each group."""
-    over = Window.partitionBy(*by)
-    marked = values.withColumns({"_r": F.row_number().over(over.orderBy(value)), "_n": F.count(F.lit(1)).over(over)})
-    return marked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(value).alias("median_upper"))
+    """The element at n // 2 of the sorted values of each group; groups of any size (see quantiles)."""
+    found = quantiles.order_statistics(values, value, by, F.array(F.floor(F.col("n") / 2)))
+    return found.select(*by, F.col(value).alias("median_upper"))
 
 
 def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions import udfs
 from ..operators import lexical, routing
 from ..settings import DEFAULTS
 from ..sources import store
-from ..sources.shared import written
-from ..streaming import traces
+from ..sources.shared import fresh, written
+from ..streaming import cache, traces
 from . import workload as w
 from .retrieval import ASKED_SQL, asked
 from .workload import query, table
@@ -139,12 +139,18 @@ def nfkc(spark, sf_dir):
     return docs.select("doc_id", F.md5(udfs.nfkc("text").cast("binary")).alias("text_md5"))
 
 
-@query("cache_lookup", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN item_id % 3 = 0 THEN 'cached' ELSE 'new' END AS state FROM benchmark) GROUP BY state")
+@query("cache_lookup", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN md5(text) END AS payload FROM benchmark")
 def cache_lookup(spark, sf_dir):
+    """Every third question's answer is written into the cache by a stream; then all questions are looked up."""
+    folder = fresh(spark, "cache")
     key = store.cache_key(F.lit(DEFAULTS.fingerprint()), F.lit("index"), F.col("text"))
-    questions = table(spark, sf_dir, "benchmark").select("item_id", key.alias("cache_key"))
-    cached, new = store.cached_and_new(questions, questions.where("item_id % 3 = 0").select("cache_key", F.lit("answer").alias("payload")))
-    return cached.select(F.lit("cached").alias("state")).unionByName(new.select(F.lit("new").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    questions = table(spark, sf_dir, "benchmark")
+    stream = spark.readStream.schema(questions.schema).option("pathGlobFilter", "benchmark*.parquet").parquet(sf_dir)
+    answered = stream.where("item_id % 3 = 0").select(key.alias("cache_key"), F.md5(F.col("text").cast("binary")).alias("payload"), F.timestamp_seconds(F.lit(0)).alias("at"))
+    cache.feed(answered, folder, fresh(spark, "cache-checkpoint")).awaitTermination()
+    kept = cache.current(cache.entries(spark, folder), F.current_timestamp()).drop("at")
+    cached, new = store.cached_and_new(questions.select("item_id", key.alias("cache_key")), kept)
+    return cached.select("item_id", "payload").unionByName(new.select("item_id", F.lit(None).cast("string").alias("payload")))
 
 
 @query("trace_rollup", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -155,12 +161,10 @@ def trace_rollup(spark, sf_dir):
 @query("trace_rollup_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def trace_rollup_stream(spark, sf_dir):
     """The same roll-up by Structured Streaming over the file as it lies there."""
-    import tempfile
     import uuid
 
     name = f"trace_rollup_{uuid.uuid4().hex}"
-    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusforge-stream-")
-    traces.run_to_table(traces.rollup(traces.read(spark, sf_dir, "events.parquet")), name, "complete", f"{root}/{name}")
+    traces.run_to_table(traces.rollup(traces.read(spark, sf_dir, "events.parquet")), name, "complete", fresh(spark, name))
     return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

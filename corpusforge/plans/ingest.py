@@ -209,6 +209,25 @@ def chunk_recursive(spark, sf_dir):
     return rows.select("doc_id", "ord", F.length("page_content").alias("size"), F.md5(F.col("page_content").cast("binary")).alias("md5"))
 
 
+@query("chunk_recursive_sql")
+def chunk_recursive_sql(spark, sf_dir):
+    """The same from SQL, by the table function."""
+    from .. import sql
+
+    sql.register(spark)
+    table(spark, sf_dir, DOCS).createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT d.doc_id, c.ord, length(c.page_content) AS size, md5(c.page_content) AS md5 FROM chunked_documents d, LATERAL recursive_chunks(d.text, 800, 100) c")
+
+
+@query("ingest_report")
+def ingest_report(spark, sf_dir):
+    """What the run that cuts the texts observes in passing: documents, those without a chunk, pieces, pieces too short."""
+    docs = table(spark, sf_dir, DOCS).select(F.col("doc_id").cast("string").alias("source"), "text")
+    report = chunking.Report()
+    chunking.placed_chunks(docs, report=report)
+    return spark.createDataFrame([tuple(report.counts()[c] for c in ("documents", "empty", "pieces", "dropped"))], "documents long, empty long, pieces long, dropped long")
+
+
 @query("build_chunks")
 def build_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, DOCS).select(F.col("doc_id").cast("string").alias("source"), "text")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, fusion, lexical, vectors
+from ..operators import context, fusion, lexical, textvectors, vectors
 from ..sources import postings as postings_store
-from ..sources.shared import fresh
+from ..sources.shared import fresh, written
 from . import workload as w
 from .workload import WORDS, query, table
 
@@ -250,3 +250,38 @@ def answer_contexts(spark, sf_dir):
     over = Window.partitionBy("source").orderBy("doc_id")
     rows = docs.select(F.col("doc_id").cast("int").alias("chunk_index"), "source", F.when(F.col("superseded"), "v1").otherwise("current").alias("version"), "superseded", F.lit(None).cast("string").alias("kind"), F.col("text").alias("page_content"), F.md5(F.col("text").cast("binary")).alias("md5"), (F.row_number().over(over) - 1).alias("doc_index"))
     return Engine(rows).ask(w.questions(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.array_join("sources", ",").alias("sources"), "answer")
+
+
+#: Two spaces of the same texts: terms weighted by rarity, and terms alike. Signs of a term: the first 12 digits of its md5.
+VECTOR_SQL = "(SELECT {id}, [" + ", ".join(f"sum(CASE WHEN (s >> {j}) & 1 = 1 THEN w ELSE -w END)" for j in range(textvectors.DIMENSIONS)) + "] AS v FROM (SELECT {id}, ('0x' || substr(md5(term), 1, 12))::BIGINT AS s, (1 + ln(tf)) * {weight} AS w FROM {rows}) GROUP BY {id})"
+RARE_SQL = "ln(1 + n / df::DOUBLE)"
+QUESTION_TERMS = f"(SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), {WORDS})) AS term FROM {{q}}) GROUP BY ALL)"
+
+
+def _space_sql(name, weight, more):
+    docs, asked_ = (VECTOR_SQL.format(id=i, weight=weight, rows=f"{r}{more}") for i, r in (("doc_id", "{post}"), ("query_id", QUESTION_TERMS)))
+    score = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)"
+    return f"(SELECT '{name}' AS space, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, doc_id) AS rank FROM {asked_} a, {docs} b QUALIFY rank <= 6)"
+
+
+@query(
+    "embedding_comparison",
+    f"""WITH r AS (SELECT * FROM {_space_sql("rarity", RARE_SQL, " JOIN {df} USING (term) CROSS JOIN {size}")} UNION ALL SELECT * FROM {_space_sql("plain", "1", "")}),
+    g AS (SELECT space, query_id, min(rank) AS gold_rank FROM r SEMI JOIN {{gold}} USING (query_id, doc_id) GROUP BY ALL)
+    SELECT space, count(*) AS n, {", ".join(f"round(avg(CASE WHEN gold_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_{k}" for k in (1, 3, 6))}, round(avg(coalesce(1.0 / gold_rank, 0.0)), 6) AS mrr
+    FROM (SELECT item_id AS query_id, unnest(['rarity', 'plain']) AS space FROM benchmark) LEFT JOIN g USING (space, query_id) GROUP BY space""",
+)
+def embedding_comparison(spark, sf_dir):
+    """Recall and MRR of two vector spaces on the same texts and questions; vectors are stored, then searched."""
+    from ..operators import metrics
+
+    docs, asked_, gold = table(spark, sf_dir, DOCS), w.questions(spark, sf_dir), written(w.gold(spark, sf_dir), "gold")
+    n, frequencies = docs.count(), written(lexical.doc_freq(docs), "frequencies")
+    out = None
+    for space, more in (("rarity", {"frequencies": frequencies, "n": n}), ("plain", {})):
+        stored = written(textvectors.text_vectors(docs, "doc_id", "text", **more).withColumnRenamed("doc_id", "vec_id"), space)
+        questions = textvectors.text_vectors(asked_, "query_id", "question", **more).withColumnRenamed("embedding", "query_vector")
+        ranked = vectors.nearest(stored, questions, 6).withColumnRenamed("vec_id", "doc_id")
+        rows = metrics.gold_rank(asked_, ranked, gold, "doc_id").withColumn("space", F.lit(space))
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.recall_mrr(out, by=("space",))
