@@ -130,7 +130,10 @@ class Engine:
         return kept.join(self.chunks.drop("embedding"), "chunk_index")
 
     def contexts(self, questions: DataFrame, found: DataFrame) -> DataFrame:
-        """query_id, question, context, sources: what of each question's list goes into its prompt, empty if nothing was found."""
+        """query_id, question, context, sources, prompt_variant: what of each question's list goes into its prompt, empty if nothing was found.
+
+        Cut, window, order and prompt are those of the question's type.
+        """
         s = self.settings
         routed = routing.routed(questions, s)
         met = found.join(routed.select("query_id", "generate_top_n", "neighbor_window"), "query_id")
@@ -140,9 +143,9 @@ class Engine:
         widest = max([s.neighbor_window, *(w for _, w, *_ in routing.STRATEGIES)])
         for w in range(1, widest + 1):
             plain = plain.unionByName(context.neighbours_of(kept.where(F.col("neighbor_window") == w).select(*columns), self.chunks, w).select(*columns))
-        texts = context.context_text(plain, s.context_order, s.context_separator, s.archived_prefix)
-        whole = questions.select("query_id", "question").join(texts, "query_id", "left")
-        return whole.select("query_id", "question", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+        texts = context.context_text(plain.join(routed.select("query_id", "context_order"), "query_id"), F.col("context_order"), s.context_separator, s.archived_prefix)
+        whole = routed.select("query_id", "question", "prompt_variant").join(texts, "query_id", "left")
+        return whole.select("query_id", "question", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "prompt_variant")
 
     def answered(self, questions: DataFrame, found: DataFrame) -> DataFrame:
         said = self.settle(self.generate(self.contexts(questions, found)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFECTS, REAL_URL, char_grams
+from ..functions.text import DEFECTS, REAL_URL, REVIEW, char_grams
 
 
 def defects(chunks: DataFrame, text: str, rules: dict[str, str] | None = None) -> DataFrame:
@@ -16,6 +16,13 @@ def defects(chunks: DataFrame, text: str, rules: dict[str, str] | None = None) -
     return chunks.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def for_review(chunks: DataFrame, key: str, text: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """key, rule of chunks that someone should look at: what the rules match is no defect by itself."""
+    rules = rules or REVIEW
+    hits = F.array(*[F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in rules.items()])
+    return chunks.select(key, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule"))
+
+
 def length_histogram(chunks: DataFrame, text: str, edges: tuple[int, ...]) -> DataFrame:
     """low, high, n of every bin [low, high) that holds a chunk."""
     size = F.length(text)

@@ -45,22 +45,21 @@ def parents_of(children: DataFrame, parents: DataFrame) -> DataFrame:
     return first.withColumn("rank", rank)
 
 
-def ordered(items: Column, order: str = "reversed") -> Column:
-    """An array in rank order, arranged for the prompt: ranked, sandwich (three or more: first, rest reversed, first), or reversed."""
-    if order == "ranked":
-        return items
-    if order == "sandwich":
-        head = F.slice(items, 1, 1)
-        return F.when(F.size(items) >= 3, F.concat(head, F.reverse(F.slice(items, F.lit(2), F.size(items) - 1)), head)).otherwise(F.reverse(items))
-    return F.reverse(items)
-
-
-def context_text(docs: DataFrame, order: str = "ranked", separator: str = "\n---\n", prefix: str = "[archived {version}] ") -> DataFrame:
-    """query_id, context, sources: texts joined (archived ones marked), and the sorted distinct sources used."""
+def ordered(items: Column, order: str | Column = "reversed") -> Column:
+    """An array in rank order, arranged for the prompt: ranked, sandwich (three or more: first, rest reversed, first), or reversed. The order may differ by row."""
+    order = F.lit(order) if isinstance(order, str) else order
+    head = F.slice(items, 1, 1)
+    sandwich = F.concat(head, F.reverse(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))), head)
+    return F.when(order == "ranked", items).when((order == "sandwich") & (F.size(items) >= 3), sandwich).otherwise(F.reverse(items))
+
+
+def context_text(docs: DataFrame, order: str | Column = "ranked", separator: str = "\n---\n", prefix: str = "[archived {version}] ") -> DataFrame:
+    """query_id, context, sources: texts joined (archived ones marked), and the sorted distinct sources used. order: one for all, or a column that is the same in a query's rows."""
     before, after = prefix.split("{version}")
     text = F.when(F.col("superseded"), F.concat(F.lit(before), F.col("version"), F.lit(after), F.col("page_content"))).otherwise(F.col("page_content"))
-    rows = docs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))).alias("d"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return rows.select("query_id", F.array_join(ordered(F.col("d.t"), order), separator).alias("context"), "sources")
+    arranged = F.lit(order) if isinstance(order, str) else order
+    rows = docs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))).alias("d"), F.array_sort(F.collect_set("source")).alias("sources"), F.min(arranged).alias("o"))
+    return rows.select("query_id", F.array_join(ordered(F.col("d.t"), F.col("o")), separator).alias("context"), "sources")
 
 
 __all__ = ["context_text", "cut", "neighbours_of", "ordered", "parents_of", "top_k", "widened"]

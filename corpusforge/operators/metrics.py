@@ -69,6 +69,20 @@ def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     )
 
 
+def flips(rows: DataFrame, case: str, verdict: str) -> DataFrame:
+    """n_cases, flipped: cases whose repeated verdicts (a row each) aren't all the same; a verdict that can't be parsed (null) is one of its own."""
+    kinds = F.count_distinct(verdict) + F.max(F.col(verdict).isNull().cast("int"))
+    return rows.groupBy(case).agg((kinds > 1).alias("flipped")).agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("flipped").alias("flipped"))
+
+
+def quadrants(rows: DataFrame, retrieved: str = "retrieved", passed: str = "passed") -> DataFrame:
+    """retrieved, passed, n of all four combinations: was the evidence found, was the answer right."""
+    spark = rows.sparkSession
+    every = spark.createDataFrame([(r, p) for r in (True, False) for p in (True, False)], "retrieved boolean, passed boolean")
+    counted = rows.groupBy(F.col(retrieved).alias("retrieved"), F.col(passed).alias("passed")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counted, ["retrieved", "passed"], "left").select("retrieved", "passed", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def ab_delta(rows: DataFrame) -> DataFrame:
     """rows (question, arm: a or b, treated, passed, of): passed by arm and group, with rescued, broken and unchanged questions."""
     wide = rows.groupBy("question", "treated").agg(*[F.sum(F.when(F.col("arm") == x, F.col(c))).alias(f"{c}_{x}") for x in ("a", "b") for c in ("passed", "of")])

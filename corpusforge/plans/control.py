@@ -10,24 +10,23 @@ from ..operators import lexical, routing
 from ..settings import DEFAULTS
 from ..sources import store
 from ..sources.shared import fresh, written
-from ..streaming import cache, traces
+from ..streaming import cache, profiles, traces
 from . import workload as w
-from .retrieval import ASKED_SQL, asked
 from .workload import query, table
 
 TYPE_SQL = r"CASE WHEN regexp_matches(question, '중\s*(더|먼저|나중|늦게|어느|어떤|무엇)') THEN 'comparison' WHEN regexp_matches(question, '몇\s*(편|건|배)|(총|합치면|모두)\s*몇') THEN 'aggregation' WHEN regexp_matches(question, '들을?\s*(알려|무엇|모두)|모두\s*(알려|나열)|(?:몇|\d+|[한두세네]|다섯|여섯)\s*가지|들을?\s*어떤\s*순서') THEN 'enumeration' ELSE 'fact' END"
 
 
-@query("route_classify", f"SELECT query_id, {TYPE_SQL} AS type FROM {ASKED_SQL}")
+@query("route_classify", f"SELECT query_id, {TYPE_SQL} AS type FROM {{qa}}")
 def route_classify(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", T.question_type(F.col("question")).alias("type"))
+    return w.asked(spark, sf_dir).select("query_id", T.question_type(F.col("question")).alias("type"))
 
 
-@query("route_strategy", f"SELECT query_id, type, CASE WHEN type IN ('aggregation', 'enumeration') THEN 1 ELSE 0 END::INTEGER AS neighbor_window, CASE WHEN type = 'aggregation' THEN 3 ELSE 5 END::INTEGER AS generate_top_n, type = 'comparison' AS use_team FROM (SELECT query_id, {TYPE_SQL} AS type FROM {ASKED_SQL})")
+@query("route_strategy", f"SELECT query_id, type, CASE WHEN type IN ('aggregation', 'enumeration') THEN 1 ELSE 0 END::INTEGER AS neighbor_window, CASE WHEN type = 'aggregation' THEN 3 ELSE 5 END::INTEGER AS generate_top_n, type = 'comparison' AS use_team FROM (SELECT query_id, {TYPE_SQL} AS type FROM {{qa}})")
 def route_strategy(spark, sf_dir):
     import dataclasses
 
-    return routing.routed(asked(spark, sf_dir), dataclasses.replace(DEFAULTS, team_routing=True)).select("query_id", "type", "neighbor_window", "generate_top_n", "use_team")
+    return routing.routed(w.asked(spark, sf_dir), dataclasses.replace(DEFAULTS, team_routing=True)).select("query_id", "type", "neighbor_window", "generate_top_n", "use_team")
 
 
 @query(
@@ -168,6 +167,26 @@ def trace_rollup_stream(spark, sf_dir):
     return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+IDLE_SQL = """WITH s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR, true) AS new FROM events)),
+    g AS (SELECT user_id, s, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS until, max(s) OVER (PARTITION BY user_id) AS last FROM s GROUP BY user_id, s)
+    SELECT user_id, n, total, until FROM g WHERE s < last OR until + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events)"""
+
+
+@query("idle_profiles", IDLE_SQL)
+def idle_profiles(spark, sf_dir):
+    """A stream of events as profiles of users, given out once idle for a day; users still active stay in the state."""
+    import uuid
+
+    name = f"idle_profiles_{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", profiles.PROVIDER)
+    try:
+        traces.run_to_table(profiles.profiles(traces.read(spark, sf_dir, "events.parquet")), name, "append", fresh(spark, name))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.table(name).select("user_id", "n", F.round("total", 4).alias("total"), F.col("until").cast("timestamp_ntz").alias("until"))
+
+
 @query("trace_sliding", "SELECT (date_trunc('day', ts) - to_days(k::INTEGER))::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
 def trace_sliding(spark, sf_dir):
     return traces.sliding(traces.timed(table(spark, sf_dir, "events"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

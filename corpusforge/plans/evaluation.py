@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..operators import audits, chunking, context, lexical, metrics
-from ..sources.shared import written
+from ..settings import Settings
+from ..sources import postings
+from ..sources.shared import fresh, written
 from . import workload as w
 from .workload import query, table
 
@@ -392,3 +394,83 @@ def sweep_chunk_size(spark, sf_dir):
         lengths = pieces.agg(F.count(F.lit(1)).alias("n_chunks"), F.median(F.length("text")).alias("median_chars"))
         rows.append(metrics.recall_mrr(found).crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(lengths)).withColumn("size", F.lit(size)))  # a row each
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("retrieval_quadrants", "WITH h AS (SELECT DISTINCT query_id FROM {bmh} SEMI JOIN {gold} USING (query_id, doc_id) WHERE rank <= 6), t AS (SELECT DISTINCT query_id FROM {bm} SEMI JOIN {gold} USING (query_id, doc_id) WHERE rank = 1), r AS (SELECT item_id IN (SELECT query_id FROM h) AS retrieved, item_id IN (SELECT query_id FROM t) AS passed FROM benchmark) SELECT retrieved, passed, count(r.retrieved) AS n FROM (SELECT unnest([true, true, false, false]) AS retrieved, unnest([true, false, true, false]) AS passed) LEFT JOIN r USING (retrieved, passed) GROUP BY ALL")
+def retrieval_quadrants(spark, sf_dir):
+    """Evidence found by three words of a passage, against an answer taken from the first document for twelve."""
+    gold = written(w.gold(spark, sf_dir), "gold")
+    hit = lambda df, k, name: df.select("query_id", F.coalesce(F.col("gold_rank") <= k, F.lit(False)).alias(name))
+    return metrics.quadrants(hit(ranks(spark, sf_dir, 5, 3, gold), 6, "retrieved").join(hit(ranks(spark, sf_dir, gold=gold), 1, "passed"), "query_id"))
+
+
+@query("verdict_flips", "SELECT count(*) AS n_cases, count(*) FILTER (k > 1) AS flipped FROM (SELECT doc_id, count(DISTINCT v) AS k FROM (SELECT doc_id, unnest([contains(text[:length(text) // 2], '. '), contains(text[length(text) // 2 + 1:], '. '), contains(text, '. ')]) AS v FROM documents) GROUP BY doc_id)")
+def verdict_flips(spark, sf_dir):
+    """The same check made of a text's first half, its second half and the whole."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    views = F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")), F.col("text"))
+    rows = table(spark, sf_dir, DOCS).select("doc_id", F.explode(views).alias("t")).select("doc_id", F.contains("t", F.lit(". ")).alias("v"))
+    return metrics.flips(rows, "doc_id", "v")
+
+
+def compared(spark, sf_dir, questions, arms, base, **hooks):
+    """arm, n, passed, rescued, broken: through the engine, whether each question's passage is in its context, against the base arm."""
+    from ..engine import Engine
+    from ..functions.text import tokens
+
+    chunks = written(w.engine_chunks(spark, sf_dir), "chunks")
+    index = postings.append(spark, fresh(spark, "index"), chunks, "chunk_index", "page_content", tokens)
+    anchors = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
+    out = None
+    for arm, settings in arms.items():
+        engine = Engine(chunks, settings, index=index, analyse=tokens, **hooks)
+        held = engine.contexts(questions, engine.search(questions)).join(anchors, "query_id")
+        rows = held.select("query_id", F.lit(arm).alias("arm"), F.contains("context", "anchor").alias("passed"))
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.ab_values(written(out, "arms"), "arm", base)
+
+
+AB_SQL = "SELECT o.arm, count(*) AS n, count(*) FILTER (o.passed) AS passed, count(*) FILTER (o.passed AND NOT b.passed) AS rescued, count(*) FILTER (NOT o.passed AND b.passed) AS broken FROM o JOIN o b ON o.query_id = b.query_id AND b.arm = '{base}' GROUP BY o.arm"
+
+
+@query(
+    "ab_neighbor_window",
+    "WITH p AS (SELECT e.query_id, max((contains(e.text, q.text))::INTEGER) AS own, max((contains(coalesce(d.text, ''), q.text))::INTEGER) AS near FROM {eng} e JOIN benchmark q ON q.item_id = e.query_id LEFT JOIN documents d ON d.source = e.source AND d.doc_id BETWEEN e.doc_id - 1 AND e.doc_id + 1 WHERE e.rank <= 3 GROUP BY e.query_id), o AS (SELECT item_id AS query_id, arm, CASE arm WHEN 'none' THEN coalesce(own, 0) ELSE coalesce(near, 0) END = 1 AS passed FROM benchmark CROSS JOIN (SELECT unnest(['none', 'one']) AS arm) LEFT JOIN p ON p.query_id = item_id) " + AB_SQL.format(base="none"),
+)
+def ab_neighbor_window(spark, sf_dir):
+    """Contexts of three documents as they are, or widened by the documents beside them."""
+    arms = {"none": Settings(generate_top_n=3, type_routing=False), "one": Settings(generate_top_n=3, neighbor_window=1, type_routing=False)}
+    return compared(spark, sf_dir, w.questions(spark, sf_dir), arms, "none")
+
+
+@query(
+    "ab_rerank",
+    "WITH e AS (SELECT query_id, text, rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text), rank) AS shortest FROM {eng}), p AS (SELECT query_id, max((rank <= 2 AND contains(e.text, q.text))::INTEGER) AS off, max((shortest <= 2 AND contains(e.text, q.text))::INTEGER) AS on_ FROM e JOIN benchmark q ON q.item_id = e.query_id GROUP BY query_id), o AS (SELECT item_id AS query_id, arm, CASE arm WHEN 'off' THEN coalesce(off, 0) ELSE coalesce(on_, 0) END = 1 AS passed FROM benchmark CROSS JOIN (SELECT unnest(['off', 'shortest']) AS arm) LEFT JOIN p ON p.query_id = item_id) " + AB_SQL.format(base="off"),
+)
+def ab_rerank(spark, sf_dir):
+    """Contexts of two documents in the fused order, or of the two shortest of the list (what stands in for a model)."""
+
+    def shortest(rows):
+        sized = F.transform("documents", lambda d, i: F.struct(F.length(d).alias("n"), i.alias("i")))
+        return rows.withColumn("permutation", F.transform(F.array_sort(sized), lambda x: x["i"]))
+
+    arms = {"off": Settings(generate_top_n=2, type_routing=False), "shortest": Settings(generate_top_n=2, type_routing=False, rerank=True)}
+    return compared(spark, sf_dir, w.questions(spark, sf_dir), arms, "off", permute=shortest)
+
+
+@query(
+    "ab_hyde",
+    "WITH l AS (SELECT query_id, doc_id, text, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM {bmh} JOIN {ver} USING (doc_id) WHERE NOT superseded QUALIFY r <= 6 UNION ALL SELECT query_id, doc_id, text, 1, rank FROM {eng}), f AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + r)), 9) DESC, min(l * 1000 + r)) AS rank FROM l GROUP BY query_id, text), p AS (SELECT item_id AS query_id, 'off' AS arm, count(*) FILTER (contains(l.text, q.text)) > 0 AS passed FROM benchmark q LEFT JOIN l ON l.query_id = item_id AND l = 0 AND r <= 3 GROUP BY item_id UNION ALL SELECT item_id, 'full', count(*) FILTER (contains(f.text, q.text)) > 0 FROM benchmark q LEFT JOIN f ON f.query_id = item_id AND rank <= 3 GROUP BY item_id), o AS (SELECT * FROM p) " + AB_SQL.format(base="off"),
+)
+def ab_hyde(spark, sf_dir):
+    """Three words asked alone, or fused with a list for a made-up passage (here the first twelve words of the real one)."""
+    longer = w.questions(spark, sf_dir).select("query_id", F.col("question").alias("raw"))
+    arms = {"off": Settings(generate_top_n=3, type_routing=False), "full": Settings(generate_top_n=3, type_routing=False, hyde=True)}
+    return compared(spark, sf_dir, w.questions(spark, sf_dir, 5, 3), arms, "off", hypothesize=lambda rows: rows.join(longer, "query_id", "left"))
+
+
+@query("ab_route")
+def ab_route(spark, sf_dir):
+    """Questions with intents, routed by type or all alike. Without SQL: a test holds the routed contexts against the engine's parts."""
+    arms = {"alike": Settings(generate_top_n=2, type_routing=False), "routed": Settings(generate_top_n=2)}
+    return compared(spark, sf_dir, w.asked(spark, sf_dir), arms, "alike")

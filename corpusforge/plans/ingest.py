@@ -171,6 +171,13 @@ def defect_scan(spark, sf_dir):
     return audits.defects(table(spark, sf_dir, "pages"), "html")
 
 
+@query("review_scan", "SELECT doc_id, 'mermaid' AS rule FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN chr(10) || '  flowchart TD ' ELSE '' END || text AS t FROM documents) WHERE regexp_matches(t, '(?m)```mermaid|^[\\s]*(?:graph|sequenceDiagram|flowchart)\\s')")
+def review_scan(spark, sf_dir):
+    """Every fifth document is given the first line of a drawn diagram."""
+    text = F.concat(F.when(F.col("doc_id") % 5 == 0, "\n  flowchart TD ").otherwise(""), "text")
+    return audits.for_review(table(spark, sf_dir, DOCS).select("doc_id", text.alias("t")), "doc_id", "t")
+
+
 @query("systematic_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, greatest(1, count(*) OVER () // 150) AS s FROM documents) WHERE p % s = 0 AND p / s < 150")
 def systematic_sample(spark, sf_dir):
     rows = chunking.with_positions(table(spark, sf_dir, DOCS).select("doc_id", F.floor(F.col("doc_id") / 1000).alias("block")), "block", ["doc_id"])

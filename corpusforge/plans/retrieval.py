@@ -95,19 +95,9 @@ def version_filter(spark, sf_dir):
 
 
 HISTORY_SQL = r"이전\s*(버전|판)|예전|과거|옛\s*(버전|판)|구\s*버전|당시|\bv\d+\s*(에서|에는|의)|(\d{4})\s*년\s*(기준|당시|버전|판)|바뀌기\s*전|수정\s*전|개정\s*전|업데이트\s*전"
-ASKED = ["예전 버전에서는 어땠나요", "v2 에서는 무엇이 달랐나요", "2023년 기준 매출은", "지금 버전은 무엇인가요", "A와 B 중 더 큰 것은", "논문은 몇 편인가요", "제품들을 모두 나열해 주세요", "기준 세 가지는 무엇인가요", "주소는 어디인가요", "개정 전 규정은", ""]
-#: Each passage's first words, followed by one of the intents in turn.
-ASKED_SQL = f"(SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), {WORDS})[1:12], ' ') || ' ' || [{', '.join(f"'{q}'" for q in ASKED)}][item_id % {len(ASKED)} + 1] AS question FROM benchmark)"
-
-
-def asked(spark, sf_dir):
-    intent = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("query_id") % len(ASKED) + 1).cast("int"))
-    return w.questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "question", intent))
-
-
-@query("history_intent", f"SELECT query_id, regexp_matches(question, '{HISTORY_SQL}') AS history FROM {ASKED_SQL}")
+@query("history_intent", f"SELECT query_id, regexp_matches(question, '{HISTORY_SQL}') AS history FROM {{qa}}")
 def history_intent(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", T.wants_history(F.col("question")).alias("history"))
+    return w.asked(spark, sf_dir).select("query_id", T.wants_history(F.col("question")).alias("history"))
 
 
 @query("rerank_permutation", "SELECT query_id, CASE WHEN n > 1 AND query_id % 3 <> 0 THEN n - rank + 1 ELSE rank END::INTEGER AS rank, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM {bm} WHERE rank <= 6)")
@@ -241,15 +231,22 @@ def retriever_diff(spark, sf_dir):
     return mark(a.subtract(b), "long").unionByName(mark(b.subtract(a), "short"))
 
 
-@query("answer_contexts")
+SENTENCES_SQL = "list_filter(list_transform(string_split_regex(regexp_replace(context, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n{2,}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(
+    "answer_contexts",
+    f"""WITH c AS (SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank DESC) AS context, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM {{eng}} WHERE rank <= 5 GROUP BY query_id)
+    SELECT item_id AS query_id, md5(coalesce(context, '')) AS context_md5, coalesce(sources, '') AS sources, {SENTENCES_SQL}[1] AS answer FROM benchmark LEFT JOIN c ON item_id = query_id""",
+)
 def answer_contexts(spark, sf_dir):
-    """The engine end to end: BM25, version filter, fusion, routing, neighbours, context and a stand-in answer."""
+    """The engine end to end from a stored index: BM25, version filter, fusion, routing, neighbours, context and a stand-in answer."""
     from ..engine import Engine
+    from ..functions.udfs import nfkc_tokens
 
-    docs = w.versions(spark, sf_dir)
-    over = Window.partitionBy("source").orderBy("doc_id")
-    rows = docs.select(F.col("doc_id").cast("int").alias("chunk_index"), "source", F.when(F.col("superseded"), "v1").otherwise("current").alias("version"), "superseded", F.lit(None).cast("string").alias("kind"), F.col("text").alias("page_content"), F.md5(F.col("text").cast("binary")).alias("md5"), (F.row_number().over(over) - 1).alias("doc_index"))
-    return Engine(rows).ask(w.questions(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.array_join("sources", ",").alias("sources"), "answer")
+    rows = written(w.engine_chunks(spark, sf_dir), "chunks")
+    index = postings_store.append(spark, fresh(spark, "index"), rows, "chunk_index", "page_content", nfkc_tokens)
+    return Engine(rows, index=index).ask(w.questions(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.array_join("sources", ",").alias("sources"), "answer")
 
 
 #: Two spaces of the same texts: terms weighted by rarity, and terms alike. Signs of a term: the first 12 digits of its md5.

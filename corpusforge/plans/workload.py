@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Questions that no document of the corpus is about.
 OUT_OF_SCOPE = ("what is the weather tomorrow", "recommend a restaurant nearby", "how do I renew a passport", "who won the match last night")
+#: Endings that ask for history, a comparison, a count, a list, or none of these.
+ASKED = ["예전 버전에서는 어땠나요", "v2 에서는 무엇이 달랐나요", "2023년 기준 매출은", "지금 버전은 무엇인가요", "A와 B 중 더 큰 것은", "논문은 몇 편인가요", "제품들을 모두 나열해 주세요", "기준 세 가지는 무엇인가요", "주소는 어디인가요", "개정 전 규정은", ""]
 WORDS = r"'\p{L}+|\p{N}+'"
 #: name: (CTE text, CTEs that it needs)
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "q": (f"q AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), {WORDS})[1:12], ' ') AS question FROM benchmark)", ()),
     "qh": (f"qh AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), {WORDS})[5:7], ' ') AS question FROM benchmark)", ()),
+    "qa": (f"qa AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), {WORDS})[1:12], ' ') || ' ' || [{', '.join(repr(q) for q in ASKED)}][item_id % {len(ASKED)} + 1] AS question FROM benchmark)", ()),
     "qo": ("qo AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(OUT_OF_SCOPE)) + ") t(query_id, question))", ()),
     "tok": (f"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM documents)", ()),
     "post": ("post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)", ("tok",)),
@@ -47,10 +50,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "stat": ("stat AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw CROSS JOIN mean)", ("raw", "mean")),
     "len": (f"len AS (SELECT doc_id, len(regexp_extract_all(lower(text), {WORDS})) AS dl FROM documents)", ()),
     "part": ("part AS (SELECT post.doc_id, post.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM len))) AS part FROM post JOIN stat USING (term) JOIN len USING (doc_id))", ("post", "stat", "len")),
-    **{f"bm{x}": (f"bm{x}0 AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), {WORDS})) AS term FROM q{x}) JOIN part USING (term) GROUP BY ALL HAVING round(sum(part), 6) > 0), bm{x} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM bm{x}0 QUALIFY rank <= 12)", (f"q{x}", "part")) for x in ("", "h", "o")},
+    **{f"bm{x}": (f"bm{x}0 AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), {WORDS})) AS term FROM q{x}) JOIN part USING (term) GROUP BY ALL HAVING round(sum(part), 6) > 0), bm{x} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM bm{x}0 QUALIFY rank <= 12)", (f"q{x}", "part")) for x in ("", "h", "o", "a")},
     "gold": ("gold AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))", ()),
     "lists": ("lists AS (SELECT query_id, 0 AS list_id, rank, md5(text) AS key FROM bm JOIN documents USING (doc_id) WHERE rank <= 6 UNION ALL SELECT query_id, 1, rank, md5(text) FROM bmh JOIN documents USING (doc_id) WHERE rank <= 6)", ("bm", "bmh")),
     "ver": ("ver AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS superseded FROM documents)", ()),
+    "eng": ("eng AS (SELECT query_id, doc_id, source, text, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank FROM bm JOIN ver USING (doc_id) WHERE NOT superseded QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 6)", ("bm", "ver")),
     "ch": ("ch AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS chunk_index, conv_id AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_index, count(*) OVER (PARTITION BY conv_id) AS doc_total, CASE WHEN role = 'system' THEN 'table' END AS kind, text AS page_content FROM conversations)", ()),
     "sel": ("sel AS (SELECT source AS query_id, (row_number() OVER (PARTITION BY source ORDER BY length(page_content) DESC, chunk_index))::INTEGER AS rank, * FROM ch)", ("ch",)),
     "vq": ("vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))", ()),
@@ -96,6 +100,12 @@ def questions(spark: SparkSession, sf_dir: str, first: int = 1, n: int = 12) ->
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("question"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions, each followed by one of the endings in turn."""
+    ending = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("query_id") % len(ASKED) + 1).cast("int"))
+    return questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "question", ending))
+
+
 def best(spark: SparkSession, sf_dir: str, k: int = 12, first: int = 1, n: int = 12) -> DataFrame:
     return lexical.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir, first, n), "doc_id", k)
 
@@ -118,6 +128,13 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text", (F.row_number().over(over) > 1).alias("superseded"))
 
 
+def engine_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the engine's chunks; of equal texts all but the first are superseded."""
+    old = versions(spark, sf_dir)
+    over = Window.partitionBy("source").orderBy("doc_id")
+    return old.select(F.col("doc_id").alias("chunk_index"), "source", F.when(F.col("superseded"), "v1").otherwise("current").alias("version"), "superseded", F.lit(None).cast("string").alias("kind"), F.col("text").alias("page_content"), F.md5(F.col("text").cast("binary")).alias("md5"), (F.row_number().over(over) - 1).alias("doc_index"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as positioned chunks; system turns stand for tables."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), "turn", F.when(F.col("role") == "system", "table").alias("kind"), F.col("text").alias("page_content"))

@@ -23,8 +23,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Profile(StatefulProcessor):
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_micros: int):
+        self.idle = idle_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -34,19 +34,19 @@ class Profile(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
-        times = new["ts"].map(lambda t: int(t.timestamp() * 1000))
+        times = new["ts"].map(lambda t: t.value // 1000)  # microseconds
         until = self.sums.get()[2] if self.sums.exists() else None
         # A stretch ends where a row comes more than the idle span after the one before, in the state or in this batch.
         gap = times.diff().fillna(0.0)
         if until is not None:
             gap.iloc[0] = times.iloc[0] - until
-        for k, stretch in new.groupby((gap > self.idle_ms).cumsum()):
+        for k, stretch in new.groupby((gap > self.idle).cumsum()):
             if k:
                 yield from self.given_out(key)
             self.add(stretch, int(times[stretch.index].max()))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(self.sums.get()[2] + self.idle_ms)
+        self.handle.registerTimer(-(-(self.sums.get()[2] + self.idle) // 1000))  # milliseconds, up
 
     def add(self, rows: pd.DataFrame, until: int) -> None:
         n, total, before = self.sums.get() if self.sums.exists() else (0, 0.0, until)
@@ -69,7 +69,7 @@ class Profile(StatefulProcessor):
         values = ",".join(f"{v[0]:g}" for v in self.values.get()) if self.values.exists() else ""
         for state in (self.sums, self.kinds, self.values):
             state.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "kinds": [kinds], "last_values": [values], "until": [pd.Timestamp(until, unit="ms")]})
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "kinds": [kinds], "last_values": [values], "until": [pd.Timestamp(until, unit="us")]})
 
     def close(self) -> None:
         pass
@@ -78,4 +78,4 @@ class Profile(StatefulProcessor):
 def profiles(events: DataFrame, idle_hours: float = 24) -> DataFrame:
     """user_id, n, total, kinds, last_values, until: a row for each stretch of a user's events, once it has been idle for idle_hours. A stream alone; the session needs PROVIDER."""
     rows = events.where("user_id is not null and ts is not null").select("user_id", "event_id", "ts", "event_type", F.col("value").cast("double").alias("value")).fillna("none", ["event_type"])
-    return rows.withWatermark("ts", LATE).groupBy("user_id").transformWithStateInPandas(statefulProcessor=Profile(int(idle_hours * 3_600_000)), outputStructType=PROFILE, outputMode="append", timeMode="eventTime")
+    return rows.withWatermark("ts", LATE).groupBy("user_id").transformWithStateInPandas(statefulProcessor=Profile(int(idle_hours * 3_600_000_000)), outputStructType=PROFILE, outputMode="append", timeMode="eventTime")
