@@ -25,7 +25,9 @@ from ..operators.lexical import Analyser, query_terms, top_k
 from .catalog import Catalog, Snapshot
 from .shared import written
 
-SPAN, BUCKETS, FIRST = 4096, 64, 2
+SPAN, FIRST = 4096, 2
+#: The first segment settles how many buckets of terms there are: one for so many chunks, MOST_BUCKETS at most.
+PER_BUCKET, MOST_BUCKETS = 4096, 4096
 #: Stated, as a segment of nothing has no file to read them from.
 POSTINGS = "term string, span long, keys array<{key}>, tfs array<int>, dls array<int>, n int, peaks array<struct<tf:int,dl:int>>, bucket int"
 TERMS = "term string, df long, bucket int"
@@ -35,8 +37,8 @@ SEGMENT = 1 << 32
 SLACK = 1e-5
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -89,17 +91,18 @@ def append(spark: SparkSession, folder: str, chunks: DataFrame, key: str, text:
     """
     catalog = Catalog(spark, folder)
     base = catalog.snapshot()
-    old = base.artefacts.get(f"{name}.postings", {"folders": [], "manifest": {"segments": 0, "n": 0, "n_texts": 0, "tokens": 0, "key": key}})
+    old = base.artefacts.get(f"{name}.postings", {"folders": [], "manifest": {"segments": 0, "n": 0, "n_texts": 0, "tokens": 0, "buckets": 0}})
     number = old["manifest"]["segments"]
     sized = chunks.select(F.col(key).alias("key"), analyse(F.col(text)).alias("t")).select("key", F.size("t").alias("dl"), "t")
     total = chunks.agg(F.count(F.lit(1)), F.count(text)).first()
     spans = max(1, -(-total[0] // SPAN))
+    buckets = old["manifest"]["buckets"] if old["manifest"]["n"] else min(MOST_BUCKETS, 1 + total[0] // PER_BUCKET)
     span = (F.pmod(F.xxhash64("key"), F.lit(spans)) + number * SEGMENT).alias("span")
     # Terms are exploded without a test of the array's size, which would be pushed below the analyser and run it again.
     tf = sized.select("key", "dl", F.explode_outer("t").alias("term")).where("term is not null").groupBy("key", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     rows = tf.groupBy("term", span).agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"))
     columns = [F.col(f"p.{c}").alias(f"{c}s") for c in ("key", "tf", "dl")]
-    rows = rows.select(bucket(F.col("term")).alias("bucket"), "term", "span", *columns, F.size("p").alias("n"), peaks(F.col("p")).alias("peaks"))
+    rows = rows.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "span", *columns, F.size("p").alias("n"), peaks(F.col("p")).alias("peaks"))
     at, terms_at = catalog.aside(f"{name}.postings"), catalog.aside(f"{name}.terms")
     # By range: a common term's rows are split over tasks, and each file is sorted.
     rows.repartitionByRange("bucket", "term", "span").sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(at)
@@ -112,7 +115,7 @@ def append(spark: SparkSession, folder: str, chunks: DataFrame, key: str, text:
     # Every chunk's length is the sum of its frequencies.
     lengths = new.select(F.explode("tfs").alias("tf")).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     mean = spark.read.schema(df.schema).parquet(terms_at).agg(F.avg(idf(said["n"], F.col("df")))).first()[0]
-    manifest = {**said, "tokens": old["manifest"]["tokens"] + lengths, "mean_idf": mean, "key": key, "key_type": chunks.schema[key].dataType.simpleString()}
+    manifest = {**said, "tokens": old["manifest"]["tokens"] + lengths, "mean_idf": mean, "buckets": buckets, "key": key, "key_type": chunks.schema[key].dataType.simpleString()}
     return Index(catalog, catalog.publish(base, {f"{name}.postings": ([*old["folders"], at], manifest), f"{name}.terms": ([terms_at], {})}), name)
 
 
@@ -132,8 +135,8 @@ class _Search:
 
 def _begun(index: Index, queries: DataFrame, k: int, question: str, k1: float, b: float, epsilon: float, analyse: Analyser, first: int) -> _Search:
     said = index.manifest
-    terms = written(query_terms(queries, question, analyse).withColumn("bucket", bucket(F.col("term"))), "asked-terms")
-    buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # BUCKETS at most
+    terms = written(query_terms(queries, question, analyse).withColumn("bucket", bucket(F.col("term"), said["buckets"])), "asked-terms")
+    buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # MOST_BUCKETS at most
     avgdl = said["tokens"] / said["n_texts"] if said["n_texts"] and said["tokens"] else 1.0
     raw = idf(said["n"], F.col("df"))
     floor = F.lit(said["mean_idf"]).cast("double") * epsilon

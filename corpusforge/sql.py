@@ -38,7 +38,7 @@ def register(spark: SparkSession) -> None:
 
 def register_index(spark: SparkSession, index: postings.Index, view: str = "words") -> None:
     """Views `view`_postings (term, key, tf, dl) and `view`_terms (term, df) of one snapshot."""
-    every = list(range(postings.BUCKETS))
+    every = list(range(index.manifest["buckets"]))
     rows = index.postings(every).selectExpr("bucket", "term", "inline(arrays_zip(keys, tfs, dls)) as (key, tf, dl)")
     rows.createOrReplaceTempView(f"{view}_postings")
     index.terms(every).createOrReplaceTempView(f"{view}_terms")

@@ -38,6 +38,7 @@ def rows_of(df):
 @pytest.mark.parametrize("span", [16, 4096])
 def test_stored_search_equals_bm25(spark, tmp_path, monkeypatch, span):
     monkeypatch.setattr(postings, "SPAN", span)
+    monkeypatch.setattr(postings, "PER_BUCKET", 8 * span)
     a, b = corpus(spark, 400, 1), corpus(spark, 150, 2, 1000)
     postings.append(spark, str(tmp_path / "i"), a, "doc_id")
     first = postings.opened(spark, str(tmp_path / "i"))
@@ -50,12 +51,13 @@ def test_stored_search_equals_bm25(spark, tmp_path, monkeypatch, span):
 
 def test_spans_are_skipped_and_few_bytes_are_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "SPAN", 8)
+    monkeypatch.setattr(postings, "PER_BUCKET", 25)
     docs = corpus(spark, 1500, 3)
     index = postings.append(spark, str(tmp_path / "i"), docs, "doc_id")
     read = {r["query_id"]: r for r in postings.reading(index, asked(spark).where("query_id in (0, 2)"), 3).collect()}
     assert read[0]["spans"] > 100 and read[0]["spans_read"] < read[0]["spans"] / 4
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(index.snapshot.folders("words.postings")[0]).select("path", "length").collect()
-    bucket = docs.select(postings.bucket(F.lit(word(299)))).first()[0]
+    bucket = docs.select(postings.bucket(F.lit(word(299)), index.manifest["buckets"])).first()[0]
     one = sum(s["length"] for s in sizes if f"bucket={bucket}/" in s["path"])
     assert 0 < one < sum(s["length"] for s in sizes) / 10
     plan = index.postings([bucket])._jdf.queryExecution().executedPlan().toString()
