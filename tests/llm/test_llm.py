@@ -817,3 +817,10 @@ def test_toxicity_takes_a_column_as_spark_resolves_it(spark):
     model = toxicity.train(docs, labels)
     kept = {r["doc_id"] for r in toxicity.keep_clean(docs.withColumnRenamed("text", "Text"), model).collect()}
     assert kept == {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()}
+
+
+def test_quality_sample_is_the_rows_of_least_hash(spark):
+    docs = table(spark, [f"text {i}" for i in range(900)] + ["copy"] * 300)
+    hashed = docs.withColumn("h", F.xxhash64(*docs.columns)).orderBy("h").limit(50).collect()
+    assert sorted(r["text"] for r in quality_cascade.sample_of(docs, rows=50).collect()) == sorted(r["text"] for r in hashed)
+    assert quality_cascade.sample_of(empty(spark)).count() == 0 and quality_cascade.sample_of(docs).count() == 400
