@@ -77,3 +77,72 @@ def test_chunk_sizes_against_the_plain_splitter(spark, tmp_path):
         assert (row["n"], row["n_chunks"], row["median_chars"], row["lost"]) == (3, len(pieces), median(map(len, pieces)), lost)
         assert row["recall_at_6"] == round((3 - lost) / 3, 6)
     assert got[400]["lost"] > got[1600]["lost"]
+
+
+def _documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+
+
+def _md5(text):
+    import hashlib
+
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_recursive_queries_against_plain_code(spark):
+    """Both forms of the recursive query, positions of all chunks, and parents with children, over all documents."""
+    from corpusforge.functions.text import clean_markdown
+    from corpusforge.operators.chunking import split_blocks, split_recursive
+    from corpusforge.settings import DEFAULTS as S
+
+    run = lambda name, *columns: sorted(tuple(r[c] for c in columns) for r in plans.QUERIES[name](spark, DATA).collect())
+    docs = _documents(spark)
+    plain = sorted((d["doc_id"], i, len(p), _md5(p)) for d in docs for i, p in enumerate(split_recursive(d["text"], 800, 100)))
+    assert run("chunk_recursive", "doc_id", "ord", "size", "md5") == run("chunk_recursive_sql", "doc_id", "ord", "size", "md5") == plain
+    assert not any(split_blocks(d["text"], S.table_marker, S.diagram_marker)["blocks"] for d in docs)
+    bodies = spark.createDataFrame([(str(d["doc_id"]), split_blocks(d["text"], S.table_marker, S.diagram_marker)["body"]) for d in docs], "source string, text string")
+    cleaned = sorted((r["source"], r["t"]) for r in bodies.select("source", clean_markdown(bodies["text"]).alias("t")).collect())
+    kept = [(source, i, p) for source, t in cleaned for i, p in enumerate(split_recursive(t, 800, 100)) if len(p) >= S.min_chunk_chars]
+    assert run("build_chunks", "chunk_index", "source", "md5") == [(n, source, _md5(p)) for n, (source, _, p) in enumerate(kept)]
+    children = [(source, i, j, _md5(c)) for source, i, p in kept for j, c in enumerate(split_recursive(p, S.child_size, S.child_overlap)) if len(c) >= S.min_chunk_chars]
+    assert run("parent_child", "source", "parent_ord", "child_ord", "child_md5") == sorted(children)
+
+
+def test_nfkc_and_semantic_queries_against_plain_code(spark):
+    import unicodedata
+
+    from corpusforge.functions.text import sentences
+    from corpusforge.operators.chunking import merge_sentences
+    from corpusforge.settings import DEFAULTS as S
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert sorted(map(tuple, plans.QUERIES["nfkc"](spark, DATA).collect())) == sorted((d["doc_id"], _md5(unicodedata.normalize("NFKC", d["text"]))) for d in docs.collect())
+    cut = docs.select("doc_id", sentences(docs["text"]).alias("s")).collect()
+    want = sorted((d["doc_id"], i, _md5(c)) for d in cut for i, c in enumerate(merge_sentences(d["s"], set(range(3, len(d["s"]), 4)), S.semantic_max_chars, S.min_chunk_chars)))
+    assert sorted(map(tuple, plans.QUERIES["semantic_chunks"](spark, DATA).collect())) == want
+
+
+def test_routed_contexts_against_the_engines_parts(spark):
+    """ab_route's arms: contexts of each question as cut, widened and ordered by hand for its type."""
+    from corpusforge.engine import Engine
+    from corpusforge.functions.text import tokens
+    from corpusforge.operators import routing
+    from corpusforge.plans import workload as w
+    from corpusforge.settings import Settings
+
+    chunks, questions, s = w.engine_chunks(spark, DATA).cache(), w.asked(spark, DATA), Settings(generate_top_n=2)
+    engine = Engine(chunks, s, analyse=tokens)
+    found = engine.search(questions).cache()
+    got = {r["query_id"]: r["context"] for r in engine.contexts(questions, found).collect()}
+    texts = {r["chunk_index"]: (r["source"], r["page_content"]) for r in chunks.collect()}
+    kinds = {r["query_id"]: (r["type"], r["generate_top_n"], r["neighbor_window"]) for r in routing.routed(questions, s).collect()}
+    ranked = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        ranked.setdefault(r["query_id"], []).append((r["chunk_index"], r["superseded"], r["version"]))
+    for query, (_, n, window) in kinds.items():
+        parts = []
+        for i, old, version in ranked.get(query, [])[:n]:
+            beside = [texts[j][1] for j in range(i - window, i + window + 1) if j in texts and texts[j][0] == texts[i][0]]
+            parts.append((f"[archived {version}] " if old else "") + "\n".join(beside))
+        assert got[query] == "\n---\n".join(reversed(parts)), query
+    assert {k[0] for k in kinds.values()} == {"fact", "aggregation", "enumeration", "comparison"}
