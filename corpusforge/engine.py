@@ -163,14 +163,20 @@ class Engine:
         plain, team = (routed.where(c).select("query_id", "question") for c in ("not use_team", "use_team"))
         plans = self.settle(self.plan(team)).select("query_id", T.parse_plan(F.col("raw"), F.col("question"), self.settings.max_sub_questions).alias("sub_questions"))
         parts = routing.fan_out(plans).select(F.struct("query_id", "pos").alias("query_id"), "question")
-        said = self.answered(parts, self.search(parts)).select("query_id.query_id", "query_id.pos", "answer", "sources")
+        said = self.settle(self.answered(parts, self.search(parts)).select("query_id.query_id", "query_id.pos", "context", "sources", "answer", "prompt_variant", "grounded", "unsupported_claim"))
         joined = team.join(routing.fan_in(said), "query_id")
-        alone = joined.where("single").withColumn("answer", F.get("answers", F.lit(0)))
+        columns = ["query_id", "question", "context", "sources", "answer", "prompt_variant"]
+        alone = joined.where("single").select("query_id", "question").join(said.drop("pos"), "query_id").select(*columns, "grounded", "unsupported_claim")
+        # A merged answer rests on the contexts of all its parts, and is mended and judged like any other.
+        whole = said.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "context"))).alias("c"), F.min("prompt_variant").alias("prompt_variant"))
+        whole = whole.select("query_id", F.array_join("c.context", self.settings.context_separator).alias("context"), "prompt_variant")
         several = joined.where("not single")
         merged = self.synthesize(several) if self.synthesize is not None else several.withColumn("answer", F.array_join("answers", "\n\n"))
-        both = alone.select("query_id", "question", "sources", "answer").unionByName(merged.select("query_id", "question", "sources", "answer"))
+        merged = self.settle(merged.select("query_id", "question", "sources", "answer").join(whole, "query_id").select(*columns))
+        mended = routing.repaired(merged, self.repair) if self.repair is not None else merged
+        both = alone.unionByName(routing.verified(mended, self.judge, self.settings))
         direct = self.answered(plain, self.corrected(plain))
-        return direct.unionByName(both, allowMissingColumns=True)
+        return direct.unionByName(both)
 
     def search_text(self, questions: DataFrame) -> DataFrame:
         """query_id, text: `[source] text` of the documents that would go into the prompt, in rank order."""

@@ -14,7 +14,7 @@ from ..streaming import cache, profiles, traces
 from . import workload as w
 from .workload import query, table
 
-TYPE_SQL = r"CASE WHEN regexp_matches(question, '중\s*(더|먼저|나중|늦게|어느|어떤|무엇)') THEN 'comparison' WHEN regexp_matches(question, '몇\s*(편|건|배)|(총|합치면|모두)\s*몇') THEN 'aggregation' WHEN regexp_matches(question, '들을?\s*(알려|무엇|모두)|모두\s*(알려|나열)|(?:몇|\d+|[한두세네]|다섯|여섯)\s*가지|들을?\s*어떤\s*순서') THEN 'enumeration' ELSE 'fact' END"
+TYPE_SQL = f"CASE WHEN regexp_matches(question, '{T.COMPARISON}') THEN 'comparison' WHEN regexp_matches(question, '{T.AGGREGATION}') THEN 'aggregation' WHEN regexp_matches(question, '{T.ENUMERATION}') THEN 'enumeration' ELSE 'fact' END"
 
 
 @query("route_classify", f"SELECT query_id, {TYPE_SQL} AS type FROM {{qa}}")

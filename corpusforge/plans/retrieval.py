@@ -94,7 +94,7 @@ def version_filter(spark, sf_dir):
     return fusion.version_filtered(w.best(spark, sf_dir, 12).join(old, "doc_id"), w.questions(spark, sf_dir), 6).select("query_id", "rank", "doc_id", "score")
 
 
-HISTORY_SQL = r"이전\s*(버전|판)|예전|과거|옛\s*(버전|판)|구\s*버전|당시|\bv\d+\s*(에서|에는|의)|(\d{4})\s*년\s*(기준|당시|버전|판)|바뀌기\s*전|수정\s*전|개정\s*전|업데이트\s*전"
+HISTORY_SQL = T.HISTORY
 @query("history_intent", f"SELECT query_id, regexp_matches(question, '{HISTORY_SQL}') AS history FROM {{qa}}")
 def history_intent(spark, sf_dir):
     return w.asked(spark, sf_dir).select("query_id", T.wants_history(F.col("question")).alias("history"))

@@ -144,3 +144,15 @@ def test_stores_give_back_what_was_saved_and_replace(spark, chunks, tmp_path):
 def test_run_fingerprint_holds_knobs_and_versions(spark):
     got = Settings(top_k=3).run_fingerprint(spark.version, {"llm": "m"}, {"chunks_md5": "x", "n_chunks": 5})
     assert got["settings"]["top_k"] == 3 and got["versions"]["spark"] == spark.version and got["index_chunks_md5"] == "x" and got["host"]["os"]
+
+
+def test_merged_team_answers_are_mended_and_judged_on_the_contexts_of_their_parts(spark, chunks):
+    plan = lambda df: df.withColumn("raw", F.lit(json.dumps(["arrow batches", "parquet columns"])))
+    judge = lambda df: df.withColumn("raw", F.when(F.contains("context", F.lit("arrow moves")) & F.contains("context", F.lit("parquet keeps")), F.lit('{"grounded": true}')).otherwise(F.lit('{"grounded": false, "unsupported_claim": "x"}')))
+    merge = lambda df: df.withColumn("answer", F.concat(F.array_join("answers", " and "), F.lit(", so both. 这是一个中文句子。")))
+    repair = lambda df: df.withColumn("repaired", F.col("answer"))
+    engine = Engine(chunks, Settings(team_routing=True, verify_grounding=True), plan=plan, judge=judge, synthesize=merge, repair=repair, analyse=tokens)
+    got = {r["query_id"]: r for r in engine.ask(asked(spark, "arrow parquet 중 더", "catalyst plan")).collect()}
+    assert got[0]["grounded"] is True and "arrow moves" in got[0]["context"] and "parquet keeps" in got[0]["context"]
+    assert got[0]["answer"].endswith("so both.") and "中" not in got[0]["answer"]
+    assert got[1]["grounded"] is False and got[1]["unsupported_claim"] == "x"
