@@ -12,11 +12,14 @@ and a text's score is its log10 probability.
 
 Distribution. A context with its byte is a 7-byte gram, one unsigned number: latest byte first, coded byte last. Texts
 are packed into blocks of about `BLOCK` bytes, and a block sends each distinct gram once, sorted and delta-coded, to a
-shard chosen by the last three context bytes. Contexts of three bytes and more lie whole in one shard, which merges the
+shard chosen by the last three context bytes. A context of three, four or five bytes that holds more grams than `SPLIT`
+shards should (by a bounded sample, which has no say in the scores) is hot: its grams are dealt by one byte more. Contexts
+that aren't hot lie whole in one shard; of hot ones the shards exchange the counts of that order first, 256 a context. A shard merges the
 counts of all blocks, scores each block's grams and sends the scores (as single precision) back in the block's own order; the block adds them
 up along its texts. Words travel the same way for the base score. So what moves is one row for a block and shard, at most a
 gram each (never more rows than distinct grams of blocks), a passage that a third of all rows share is a few grams a
-block, and no word or document is a key. Broadcast are only the order 2 counts: 2^24 of 12 bytes at most by construction.
+block, and no word or document is a key. Broadcast are only the order 2 counts, 2^24 of 12 bytes at most by construction,
+and those of hot contexts, `HOT` of an order at most.
 
 Null texts are empty: their only token is the end. A null doc_id counts as training. Repeated rows are rows of their
 own, scored alike. Texts longer than a block go in segments cut after a word; their sums are added. An empty table gives
@@ -28,7 +31,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +49,8 @@ ESCAPE_PRIOR, ESCAPE_SINGLE, ESCAPE_SHIFT, ESCAPE_ONCE, ESCAPE_MOST = 0.3, 0.8,
 #: Bytes of text in a block, and for each shard; bytes whose grams are worked on at a time.
 BLOCK, SHARD, CHUNK = 16 << 20, 16 << 20, 2 << 20
 DELIMITER = b" "
+#: A hot context has more than SPLIT shards' part of all grams, and more than 1 / HOT of them. Bytes of text in the sample that tells.
+SPLIT, HOT, SAMPLE = 4, 1 << 12, 2 << 20
 
 _SCHEMA = "kind string, block long, shard int, payload binary, counts binary, sizes binary"
 _COLUMNS = (("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()))
@@ -114,7 +119,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x))).astype(np.int64)
 
 
-def _chunks(segments: list[bytes]) -> Iterator[list[bytes]]:
+def _chunks(segments: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of segments of about CHUNK bytes."""
     own, size = [], 0
     for s in segments:
@@ -139,14 +144,52 @@ def _distinct_grams(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.add.reduceat(times[order], first)
 
 
-def shard_of_grams(grams: np.ndarray, shards: int) -> np.ndarray:
-    """By the last three context bytes, spread by a multiplicative hash."""
-    return (((grams >> np.uint64(8 * (ORDER - 2))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+#: Sorted hot contexts of each order between LOW and ORDER. Those of a longer order end in those of a shorter one.
+Hot = dict[int, np.ndarray]
+#: Of each of these orders the codes of hot contexts, sorted, and their counts.
+Spread = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _by_shard(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _context(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last `order` bytes before a gram's coded byte."""
+    return grams >> np.uint64(8 * (ORDER + 1 - order))
+
+
+def hot_contexts(docs: DataFrame, size: int, shards: int) -> Hot:
+    """The contexts that are dealt by longer ones, judged on rows with about SAMPLE of the `size` bytes of text."""
+    if shards <= SPLIT:
+        return {}
+    text = F.col("text").cast("string")
+    picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(max(1, size // SAMPLE))) == 0).select(text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = (s for batch in arrow_rows(batches, 256) for t in utf8(batch.column("text")) for s, _, _ in segments_of(t, CHUNK))
+        for own in _chunks(cut):
+            grams, _ = _distinct(grams_of(own))
+            for k in range(LOW + 1, ORDER):
+                context, n = _distinct(_context(grams, k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(context.astype(np.int64)), pa.array(n)], names=["k", "context", "n"])
+
+    held = written(picked.mapInArrow(run, "k int, context long, n long").groupBy("k", "context").agg(F.sum("n").alias("n")), "ppm-contexts")
+    total = held.where(F.col("k") == LOW + 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = held.where(F.col("n") > total * max(SPLIT / shards, 1 / HOT)).toArrow()  # fewer than HOT of an order
+    k, context = rows["k"].to_numpy(), rows["context"].to_numpy()
+    return {o: np.sort(context[k == o]).astype(np.uint64) for o in range(LOW + 1, ORDER)} if len(k) else {}
+
+
+def shard_of_grams(grams: np.ndarray, shards: int, hot: Hot) -> np.ndarray:
+    """By the last three context bytes, or by the fewest that are no hot context, spread by a multiplicative hash."""
+    key = _context(grams, LOW + 1)
+    spread = np.arange(len(grams)) if hot else np.zeros(0, np.int64)
+    for k in range(LOW + 1, ORDER):
+        spread = spread[_find(hot[k], key[spread])[1]] if len(spread) else spread
+        key[spread] = _context(grams[spread], k + 1)
+    return ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+
+
+def _by_shard(grams: np.ndarray, shards: int, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the grams by shard (sorted inside), the shards met, and where each begins (with the end)."""
-    shard = shard_of_grams(grams, shards)
+    shard = shard_of_grams(grams, shards, hot)
     order = np.argsort(shard, kind="stable")
     met, first = np.unique(shard[order], return_index=True)
     return order, met, np.append(first, len(grams))
@@ -175,7 +218,7 @@ def _by_word_shard(words: dict[bytes, int], shards: int) -> dict[int, list[bytes
     return out
 
 
-def blocks(docs: DataFrame, shards: int, modulus: int = 7, size: int = BLOCK) -> DataFrame:
+def blocks(docs: DataFrame, shards: int, hot: Hot, modulus: int = 7, size: int = BLOCK) -> DataFrame:
     """The rows that blocks of docs send: their texts, grams and words by shard, and counts of order LOW."""
 
     def rows_of(block: int, segments: list[bytes], about: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +234,7 @@ def blocks(docs: DataFrame, shards: int, modulus: int = 7, size: int = BLOCK) ->
         grams, _ = _distinct(np.concatenate([seen, other]))
         counts = np.zeros(len(grams), np.uint64)
         counts[np.searchsorted(grams, seen)] = times
-        order, met, begin = _by_shard(grams, shards)
+        order, met, begin = _by_shard(grams, shards, hot)
         for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             own = order[a:b]
             out.append(("gram", block, shard, _rising(grams[own]), _packed(counts[own]), None))
@@ -240,6 +283,11 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _met_once(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the context one byte shorter, sorted, and how many of the distinct `codes` end in each."""
+    return _distinct(((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255)))
+
+
 @dataclass
 class Level:
     """All contexts of one order: codes (context, byte) with counts; contexts with their sums, symbols and symbols counted once."""
@@ -265,14 +313,19 @@ def level_of(codes: np.ndarray, counts: np.ndarray) -> Level:
     return Level(codes, counts, context[first], of, summed(counts), summed(np.ones(len(codes))), summed(counts == 1))
 
 
-def levels_of(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> list[Level]:
-    """Levels 0 to ORDER, from a shard's training grams (sorted) and the shared counts of order LOW."""
+def levels_of(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], spread: Spread) -> list[Level]:
+    """Levels 0 to ORDER, from a shard's training grams (sorted), the shared counts of order LOW and those of hot contexts."""
     levels: list[Level | None] = [None] * (ORDER + 1)
     levels[ORDER] = level_of(grams, counts)
     for k in range(ORDER - 1, LOW, -1):
-        above = levels[k + 1].codes
-        codes, times = np.unique(((above >> np.uint64(16)) << np.uint64(8)) | (above & np.uint64(255)), return_counts=True)
-        levels[k] = level_of(codes, times.astype(np.int64))
+        codes, times = _met_once(levels[k + 1].codes)
+        if k in spread:
+            shared, n = spread[k]
+            own = ~_find(shared, codes)[1]  # of a hot context any code met here is among the exchanged ones
+            codes, times = np.concatenate([codes[own], shared]), np.concatenate([times[own], n])
+            order = np.argsort(codes)
+            codes, times = codes[order], times[order]
+        levels[k] = level_of(codes, times)
     codes, counts = low
     levels[LOW] = level_of(codes, counts)
     for k in range(LOW - 1, -1, -1):
@@ -342,9 +395,52 @@ def _low_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return code[order].astype(np.uint64), n[order].astype(np.int64)
 
 
-def _gram_answers(table: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _spread_counts(table: DataFrame, hot: Hot) -> Spread:
+    """The counts of hot contexts over all training rows: a context of one byte more adds one for each symbol, wherever it lies."""
+    if not hot:
+        return {}
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 64):
+            own = []
+            for payload, counts in zip(batch.column("payload").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                grams = _risen(payload)[_unpacked(counts, "<u8") > 0]
+                own.append(grams[_find(hot[LOW + 1], _context(grams, LOW + 1))[1]])
+            kept = [i for i, g in enumerate(own) if len(g)]
+            yield pa.RecordBatch.from_arrays([batch.column("shard").take(pa.array(kept, pa.int64())), pa.array([_rising(own[i]) for i in kept], pa.binary())], names=["shard", "payload"])
+
+    def run(shard: pa.Table) -> pa.Table:
+        codes, _ = _distinct(np.concatenate([_risen(p) for p in shard["payload"].to_pylist()]))
+        out = []
+        for k in range(ORDER - 1, LOW, -1):
+            # Codes of hot contexts lie in several shards and are counted once, below.
+            if k + 1 in hot:
+                whole = codes[~_find(hot[k + 1], codes >> np.uint64(8))[1]]
+            else:
+                whole = codes
+            shorter, n = _met_once(whole)
+            ours = _find(hot[k], shorter >> np.uint64(8))[1]
+            out.append((np.full(int(ours.sum()), k, np.int32), shorter[ours].astype(np.int64), n[ours]))
+            codes, _ = _met_once(codes)
+        return pa.table(dict(zip(("k", "code", "n"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    rows = table.where("kind = 'gram'").select("shard", "payload", "counts").mapInArrow(narrowed, "shard int, payload binary")
+    found = rows.groupBy("shard").applyInArrow(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()  # 256 of a hot context at most
+    order, code, n = found["k"].to_numpy(), found["code"].to_numpy().astype(np.uint64), found["n"].to_numpy()
+    out: Spread = {}
+    for k in range(ORDER - 1, LOW, -1):
+        codes, times = code[order == k], n[order == k]
+        if k + 1 in out:
+            more, once = _met_once(out[k + 1][0])
+            codes, times = np.concatenate([codes, more]), np.concatenate([times, once])
+        codes, back = np.unique(codes, return_inverse=True)
+        out[k] = codes, np.bincount(back, times, len(codes)).astype(np.int64)
+    return out
+
+
+def _gram_answers(table: DataFrame, low: tuple[np.ndarray, np.ndarray], spread: Spread) -> DataFrame:
     """For each block and shard the log10 probabilities of the block's grams, in its order."""
-    shared = table.sparkSession.sparkContext.broadcast(low)  # 2^24 codes and counts at most
+    shared = table.sparkSession.sparkContext.broadcast((low, spread))  # 2^24 codes and counts at most, and 256 * HOT of three orders
 
     def run(shard: pa.Table) -> pa.Table:
         own, counts = [], []
@@ -357,7 +453,7 @@ def _gram_answers(table: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataF
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         grams, times = grams[first], np.add.reduceat(times, first)
         trained = times > 0
-        scores = log10_of(levels_of(grams[trained], times[trained], shared.value), grams).astype("<f4")
+        scores = log10_of(levels_of(grams[trained], times[trained], *shared.value), grams).astype("<f4")
         answers = [_packed(scores[np.searchsorted(grams, g)]) for g in own]
         return pa.table([pa.array(["gram"] * len(own), pa.string()), shard["block"], shard["shard"], pa.array(answers, pa.binary()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary())], names=[c for c, _ in _COLUMNS])
 
@@ -384,7 +480,7 @@ def _word_answers(table: DataFrame) -> DataFrame:
     return table.where("kind = 'word'").select("block", "shard", "payload", "counts", "sizes").groupBy("shard").applyInArrow(run, _SCHEMA)
 
 
-def _sums(shards: int):
+def _sums(shards: int, hot: Hot):
     """Function of a block's rows (its texts and all answers): sums of each segment."""
     names = ("row", "doc_id", "n_tokens", "n_known", "base", "lp")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -407,7 +503,7 @@ def _sums(shards: int):
             parts.append((codes[new], new, order.astype(np.uint32), np.cumsum([0, *[len(s) - ORDER for s in own[:-1]]])))
         grams, _ = _distinct(np.concatenate([p[0] for p in parts]))
         scores = np.empty(len(grams))
-        by_shard, met, begin = _by_shard(grams, shards)
+        by_shard, met, begin = _by_shard(grams, shards, hot)
         for shard, a, b in zip(met.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             scores[by_shard[a:b]] = _unpacked(answers["gram", shard], "<f4")
         lp = []
@@ -436,14 +532,15 @@ def score(docs: DataFrame, modulus: int = 7, block: int = BLOCK, shard: int = SH
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     shards = int(size // shard) + 1
-    sent = written(blocks(docs, shards, modulus, block), "ppm-blocks", by="kind")
+    hot = hot_contexts(docs, size, shards)
+    sent = written(blocks(docs, shards, hot, modulus, block), "ppm-blocks", by="kind")
     words = written(_word_answers(sent), "ppm-words")
     counted = [np.frombuffer(r[0], "<i8") for r in words.where("kind = 'size'").select("sizes").toLocalIterator()]  # a row a shard
     n_train, distinct = (int(sum(c[i] for c in counted)) for i in (0, 1))
     base_total = math.log10(n_train + distinct + 1)
-    answers = _gram_answers(sent, _low_counts(sent)).unionByName(words.where("kind = 'word'"))
+    answers = _gram_answers(sent, _low_counts(sent), _spread_counts(sent, hot)).unionByName(words.where("kind = 'word'"))
     texts = sent.where("kind = 'text'")
-    per_segment = texts.unionByName(answers).groupBy("block").applyInArrow(_sums(shards), "row long, doc_id long, n_tokens long, n_known long, base double, lp double")
+    per_segment = texts.unionByName(answers).groupBy("block").applyInArrow(_sums(shards, hot), "row long, doc_id long, n_tokens long, n_known long, base double, lp double")
     out = per_segment.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")])
     base = F.col("base") - F.col("n_tokens") * base_total
     return out.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("lp").alias("score"))

@@ -707,6 +707,30 @@ def test_ppm_equals_a_trie_of_dictionaries(spark):
             assert rows[i]["n_tokens"] == len((PPM_TEXTS[i] or "").split()) + 1
 
 
+@pytest.mark.parametrize("split", [0.05, 0.5])
+def test_ppm_hot_contexts_are_dealt_further_and_change_no_score(spark, monkeypatch, split):
+    monkeypatch.setattr(ppm, "SPLIT", split)
+    docs, size = table(spark, PPM_TEXTS), sum(len((t or "").encode()) for t in PPM_TEXTS)
+    hot = ppm.hot_contexts(docs, size, size // 16 + 1)
+    assert all(len(hot[k]) for k in (3, 4, 5)) and all(set((hot[k + 1] >> np.uint64(8)).tolist()) <= set(hot[k].tolist()) for k in (3, 4))
+    want, _ = brute_ppm(PPM_TEXTS, [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(PPM_TEXTS))])
+    rows = {r["doc_id"]: r["score"] for r in ppm.score(docs, block=40, shard=16).collect()}
+    assert all(abs(rows[i] - x) < 1e-6 * (1 + abs(x)) for i, x in enumerate(want))
+
+
+def test_ppm_largest_shard_falls_as_data_grows(spark):
+    part = {}
+    for sf in ("0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+        texts = [(r["text"] or "").encode() for r in docs.toLocalIterator()]
+        size = sum(map(len, texts))
+        shards = size // (8 << 10) + 1
+        grams, _ = ppm._distinct_grams([s for t in texts for s, _, _ in ppm.segments_of(t, ppm.BLOCK)])
+        for name, hot in (("whole", {}), ("dealt", ppm.hot_contexts(docs, size, shards))):
+            part[sf, name] = np.bincount(ppm.shard_of_grams(grams, shards, hot)).max() / len(grams)
+    assert part["0.1", "dealt"] < part["0.01", "dealt"] / 3 and part["0.1", "dealt"] < part["0.1", "whole"] / 2
+
+
 def test_ppm_reads_context_across_words_and_trains_on_nothing(spark):
     texts = [f"alpha beta gamma delta {i % 5}" for i in range(80)] + ["delta alpha gamma beta 0"] * 3
     rows = {r["doc_id"]: r["score"] for r in ppm.score(table(spark, texts)).collect()}
