@@ -17,6 +17,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Both stars lower every edge's smaller end to a minimum that is pre-aggregated by map-side combining; the joins back
     are plain equi-joins, whose hot keys adaptive execution splits. Rounds grow as the logarithm of the longest path.
+    Edges with a null end, loops and repeated edges say nothing and are left out, and with them nodes that have no other; an empty table gives no rows.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = _signature(edges)

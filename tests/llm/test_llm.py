@@ -148,11 +148,13 @@ def near_copies(seed=8):
     return texts + TEXTS
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_pipeline_near_duplicates_match_all_pairs_of_shingles(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "heavy"), [(8, 0), (8, 1 << 14), (1, 0), (1, 300), (1, 1 << 14)])
+def test_pipeline_near_duplicates_match_all_pairs_of_shingles(spark, monkeypatch, small, heavy):
+    """Pairs of any size, and keys of which none, some or all are heavy, give the same groups."""
     import corpus_pipeline
 
     monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "HEAVY", heavy)
     monkeypatch.setattr(similar, "BLOCK", 4 if small == 1 else 4_096)
     texts = near_copies()
     kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, table(spark, texts), "").collect())
@@ -176,6 +178,8 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    ends = spark.createDataFrame([(1, None), (None, 2), (None, None), (4, 3), (3, 4), (4, 3)], "a long, b long")
+    assert sorted(map(tuple, components.components(ends).collect())) == [(3, 3), (4, 3)]
 
 
 # 3 mixing
