@@ -6,8 +6,9 @@ alone: the query isn't quantised (asymmetric), its table of inner products with
 member brings one number for what doesn't depend on the query. The best max(RERANK, k) of all lists are ranked again by the
 exact distance on the original vectors, in double precision; ties go to the smaller vec_id.
 
-Centroids and code books are fitted on the driver on a bounded sample (PER_LIST rows a list, `SAMPLE` in all, by the hash of
-vec_id); every row is indexed. How far a query looks is calibrated on the sample: the least share of rows, in the nearest
+Centroids and code books are fitted on the driver on a bounded sample (PER_LIST rows a list, `SAMPLE` in all and
+`SAMPLE_BYTES` as doubles, by the hash of vec_id); every row is indexed. Long vectors so get fewer lists, and neither the
+driver nor a task ever holds distances of more than `AT_ONCE` pairs of a row and a center. How far a query looks is calibrated on the sample: the least share of rows, in the nearest
 lists, that holds `TARGET` of the sample's own true neighbours. It is little where vectors cluster, and over half where they
 don't (vectors spread evenly in many dimensions have no near lists); the same rule holds at every size.
 
@@ -36,6 +37,8 @@ from .common import arrow_rows, written
 
 #: Rows that the index is fitted on at most, and for each list; code words in a part (one byte) and components in a part.
 SAMPLE, PER_LIST, CODES, PART = 65_536, 16, 256, 4
+#: Bytes of the sample as doubles at most; distances, or components of rows that are placed, held at a time.
+SAMPLE_BYTES, AT_ONCE = 64 << 20, 1 << 22
 #: Calibration: part of the true neighbours in the sample that the lists looked into must hold; queries of the sample.
 TARGET, TRIALS = 0.96, 256
 #: Candidates ranked again exactly (k if that is more), queries in a block, least number of blocks, members compared at a time.
@@ -52,7 +55,7 @@ class Index:
         return self.books.shape[0] * self.books.shape[2]
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin(_squares(x, self.centroids), axis=1)
+        return _nearest(x, self.centroids)
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual = _padded(x - self.centroids[lists], self.width)
@@ -82,11 +85,17 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Number of the nearest center of each row, AT_ONCE distances at a time."""
+    step = max(1, AT_ONCE // len(centers))
+    return np.concatenate([np.argmin(_squares(x[i : i + step], centers), axis=1) for i in range(0, max(1, len(x)), step)])
+
+
 def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     random = np.random.default_rng(seed)
     centers = x[random.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        nearest = np.argmin(_squares(x, centers), axis=1)
+        nearest = _nearest(x, centers)
         counts = np.bincount(nearest, minlength=k)
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, x)
@@ -100,7 +109,7 @@ def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 def fit(sample: np.ndarray, lists: int, seed: int = 7) -> Index:
     centroids = _k_means(sample, max(1, min(lists, len(sample))), 12, seed)
     width = -(-sample.shape[1] // PART) * PART
-    residual = _padded(sample - centroids[np.argmin(_squares(sample, centroids), axis=1)], width).reshape(len(sample), -1, PART)
+    residual = _padded(sample - centroids[_nearest(sample, centroids)], width).reshape(len(sample), -1, PART)
     return Index(centroids, np.stack([_k_means(residual[:, m], CODES, 6, seed + m) for m in range(residual.shape[1])]))
 
 
@@ -159,8 +168,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 def _of_width(rows: DataFrame, is_query: Column, k: int, width: int, n: int) -> DataFrame:
     spark = rows.sparkSession
-    lists = max(1, min(int(round(n**0.5)), SAMPLE // PER_LIST))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(PER_LIST * lists, PER_LIST * CODES)).select("v").toArrow()["v"].combine_chunks()
+    fitted = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    lists = max(1, min(int(round(n**0.5)), fitted // PER_LIST))
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(fitted, max(PER_LIST * lists, PER_LIST * CODES))).select("v").toArrow()["v"].combine_chunks()
     sample = picked.flatten().to_numpy().reshape(-1, width)
     index, most = fit(sample, lists), max(RERANK, k)
     share = calibrated_share(index, sample, k)
@@ -171,7 +181,7 @@ def _of_width(rows: DataFrame, is_query: Column, k: int, width: int, n: int) ->
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for batch in batches:
+        for batch in arrow_rows(batches, max(1, AT_ONCE // width)):
             x = matrix(batch.column("v"))
             where = ix.lists_of(x)
             codes = ix.codes(x, where)

@@ -288,6 +288,20 @@ def test_ann_looks_into_few_rows_where_vectors_cluster(spark, monkeypatch):
     assert ann_recall(spark, x) >= 0.9 and shares[0] < 0.2
 
 
+def test_ann_sample_and_distances_are_bounded_in_bytes(spark, monkeypatch):
+    """Long vectors: a smaller sample and fewer lists, no more distances at a time, the same recall."""
+    x = np.random.default_rng(8).normal(size=(2000, 16)).astype(np.float32)
+    whole = ann.fit(x.astype(float)[:800], 40)
+    sizes, most, fit, squares = [], [], ann.fit, ann._squares
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 500 * 16 * 8)
+    monkeypatch.setattr(ann, "AT_ONCE", 1 << 10)
+    monkeypatch.setattr(ann, "_squares", lambda a, b: most.append(len(a) * len(b)) or squares(a, b))
+    assert (ann._nearest(x.astype(float), whole.centroids) == np.argmin(squares(x.astype(float), whole.centroids), axis=1)).all()
+    assert len(ann._nearest(x[:0], whole.centroids)) == 0 and max(most) <= 1 << 10
+    monkeypatch.setattr(ann, "fit", lambda sample, lists: sizes.append((len(sample), lists)) or fit(sample, lists))
+    assert ann_recall(spark, x) >= 0.9 and sizes == [(500, 31)]
+
+
 def test_ann_answers_can_be_longer_than_the_reranked_list(spark):
     x = np.random.default_rng(6).normal(size=(600, 8)).astype(np.float32)
     assert ann_recall(spark, x, 550) >= 0.9
