@@ -114,3 +114,15 @@ def test_text_vectors(spark):
     assert all(v in (-3.0, -1.0, 1.0, 3.0) for v in got[0])
     rare = textvectors.text_vectors(docs, "id", "text", lexical.doc_freq(docs).where("term <> 'c'"), 5)
     assert all(abs(v) < 3 for v in {r["id"]: r["embedding"] for r in rare.collect()}[0])
+
+
+def test_bm25_hands_on_the_best_of_each_task_alone(spark):
+    rows = [(i // 3, i % 3, " ".join(["the", f"w{i % 7}", f"w{i % 5}", "the" if i % 2 else "a"])) for i in range(300)] + [(200, 0, None), (201, 0, "")]
+    docs = spark.createDataFrame(rows, "a long, b int, text string").select(F.struct("a", "b").alias("key"), "text").repartition(3)
+    asked = spark.createDataFrame([(1, "the w1 w1"), (2, "w3 w4 a"), (3, "nothing"), (4, "")], "query_id long, question string")
+    got = lexical.bm25_topk(docs, asked, "key", 5)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair of a chunk and a question
+    want = lexical.bm25_topk(docs, asked, "key", 5, inline=0)
+    listed = lambda df: sorted((r["query_id"], r["rank"], tuple(r["key"]), r["score"]) for r in df.collect())
+    assert listed(got) == listed(want) and len(listed(got)) == 10
+    assert lexical.bm25_topk(docs.limit(0), asked, "key", 5).count() == 0
