@@ -177,6 +177,12 @@ def test_confusion_counts_unparsed(spark):
     assert (r["accuracy"], r["constant_baseline"], r["false_positives"], r["false_negatives"], r["unparsed"]) == (0.25, 0.75, 1, 1, 1)
 
 
+def test_keywords_are_found_in_any_case(spark):
+    said = lambda answer, word: one(spark, metrics.passes(F.lit(answer), F.lit(None).cast("array<string>"), F.array(F.lit(word)), F.lit(False)))
+    assert said("Enß des", "ENSS") and said("ENSS DES", "enß") and said("ΟΔΟΣ", "οδος") and said("so: end", "SO： END")
+    assert not said("Enß des", "ENS D")
+
+
 def test_verdict_fails_open(spark):
     assert [one(spark, routing.verdict(F.lit(x).cast("string"))) for x in ("yes", "No.", "?", None)] == ["sufficient", "insufficient", "sufficient", "sufficient"]
 
