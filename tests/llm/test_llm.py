@@ -866,3 +866,19 @@ def test_quality_sample_is_the_rows_of_least_hash(spark):
     hashed = docs.withColumn("h", F.xxhash64(*docs.columns)).orderBy("h").limit(50).collect()
     assert sorted(r["text"] for r in quality_cascade.sample_of(docs, rows=50).collect()) == sorted(r["text"] for r in hashed)
     assert quality_cascade.sample_of(empty(spark)).count() == 0 and quality_cascade.sample_of(docs).count() == 400
+
+
+def test_simhash_proposes_near_duplicates_of_the_pipeline(spark):
+    from corpusforge.llm import similar
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1])]
+    fps = [similar.fingerprint_of(similar.shingles(t.encode())) for t in texts]
+    unsigned = [f & (1 << 64) - 1 for f in fps]
+    assert (unsigned[0] ^ unsigned[1]).bit_count() <= 3 < (unsigned[0] ^ unsigned[2]).bit_count()
+    assert similar.fingerprint_of(similar.shingles(b"")) == 0
+    nodes = spark.createDataFrame([(10, fps[0]), (11, fps[1]), (12, fps[2]), (13, fps[0])], "node long, fp long")
+    pairs = {frozenset((r["a"], r["b"])) for r in similar.simhash_pairs(nodes).collect()}
+    assert frozenset((10, 13)) in pairs and (fps[0] == fps[1] or frozenset((10, 11)) in pairs) and not any(12 in p for p in pairs)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == [0, 2]
