@@ -1,12 +1,14 @@
 """Profiles of users kept as state that ends: counts, kinds and last values of a user until it has been idle for long enough.
 
-State is a value (count, sum, last time), a map (rows by kind) and a list (the last values). An event-time timer is set
+State is one value a user (count, sum, last time, rows by kind, last values), read and written once a batch, as each call goes
+from Python to the JVM and back. An event-time timer is set
 to the last row's time plus the idle span; when the watermark passes it, the profile is given out and all its state is
 deleted. So the state holds the users of the last idle span and the lateness allowed, not all that ever were.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,53 +30,53 @@ class Profile(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "n long, total double, until long")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
-        self.values = handle.getListState("values", "value double")
+        self.open = handle.getValueState("open", "n long, total double, until long, kinds map<string,long>, last array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
-        times = new["ts"].map(lambda t: t.value // 1000)  # microseconds
-        until = self.sums.get()[2] if self.sums.exists() else None
-        # A stretch ends where a row comes more than the idle span after the one before, in the state or in this batch.
-        gap = times.diff().fillna(0.0)
-        if until is not None:
-            gap.iloc[0] = times.iloc[0] - until
-        for k, stretch in new.groupby((gap > self.idle).cumsum()):
-            if k:
-                yield from self.given_out(key)
-            self.add(stretch, int(times[stretch.index].max()))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(-(-(self.sums.get()[2] + self.idle) // 1000))  # milliseconds, up
-
-    def add(self, rows: pd.DataFrame, until: int) -> None:
-        n, total, before = self.sums.get() if self.sums.exists() else (0, 0.0, until)
-        self.sums.update((n + len(rows), total + float(rows["value"].sum()), max(before, until)))
-        values = [v[0] for v in self.values.get()] if self.values.exists() else []
-        self.values.put([(v,) for v in [*values, *map(float, rows["value"].dropna())][-LAST:]])
-        for kind, count in rows["event_type"].value_counts().items():
-            had = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            self.kinds.updateValue((kind,), (had + int(count),))
+        """Stretches that end within the batch are given out at once; only the open one goes into the state, once a batch."""
+        new = [row for part in rows for row in zip(part["ts"].astype("datetime64[us]").astype("int64").tolist(), part["event_id"].tolist(), part["event_type"].tolist(), part["value"].tolist(), strict=True)]
+        new.sort(key=lambda row: row[:2])
+        before = self.open.get() if self.open.exists() else None
+        n, total, until, kinds, last = (before[0], before[1], before[2], dict(before[3]), list(before[4])) if before else (0, 0.0, None, {}, [])
+        ended, latest = [], until
+        for at, _, kind, value in new:
+            # A stretch ends where a row comes more than the idle span after the one before, in the state or in this batch.
+            if until is not None and at - latest > self.idle:
+                ended.append(profile(key[0], n, total, until, kinds, last))
+                n, total, until, kinds, last = 0, 0.0, None, {}, []
+            n, latest, until = n + 1, at, at if until is None else max(until, at)
+            kinds[kind] = kinds.get(kind, 0) + 1
+            if value is not None and not math.isnan(value):
+                total += value
+                last = [*last, float(value)][-LAST:]
+        self.open.update((n, total, until, kinds, last))
+        if before:
+            self.handle.deleteTimer(self.due(before[2]))
+        self.handle.registerTimer(self.due(until))
+        if ended:
+            yield pd.DataFrame(ended, columns=COLUMNS)
+
+    def due(self, until: int) -> int:
+        return -(-(until + self.idle) // 1000)  # milliseconds, up
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.given_out(key)
-
-    def given_out(self, key) -> Iterator[pd.DataFrame]:
         """The profile that the state holds; the state is empty afterwards."""
-        if not self.sums.exists():
-            return
-        n, total, until = self.sums.get()
-        kinds = ",".join(f"{k[0]}:{v[0]}" for k, v in sorted(self.kinds.iterator()))
-        values = ",".join(f"{v[0]:g}" for v in self.values.get()) if self.values.exists() else ""
-        for state in (self.sums, self.kinds, self.values):
-            state.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "kinds": [kinds], "last_values": [values], "until": [pd.Timestamp(until, unit="us")]})
+        if self.open.exists():
+            n, total, until, kinds, last = self.open.get()
+            self.open.clear()
+            yield pd.DataFrame([profile(key[0], n, total, until, dict(kinds), last)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+COLUMNS = ["user_id", "n", "total", "kinds", "last_values", "until"]
+
+
+def profile(user: int, n: int, total: float, until: int, kinds: dict, last: list) -> tuple:
+    return user, n, total, ",".join(f"{k}:{v}" for k, v in sorted(kinds.items())), ",".join(f"{v:g}" for v in last), pd.Timestamp(until, unit="us")
+
+
 def profiles(events: DataFrame, idle_hours: float = 24) -> DataFrame:
     """user_id, n, total, kinds, last_values, until: a row for each stretch of a user's events, once it has been idle for idle_hours. A stream alone; the session needs PROVIDER."""
     rows = events.where("user_id is not null and ts is not null").select("user_id", "event_id", "ts", "event_type", F.col("value").cast("double").alias("value")).fillna("none", ["event_type"])

@@ -126,3 +126,32 @@ def test_bm25_hands_on_the_best_of_each_task_alone(spark):
     listed = lambda df: sorted((r["query_id"], r["rank"], tuple(r["key"]), r["score"]) for r in df.collect())
     assert listed(got) == listed(want) and len(listed(got)) == 10
     assert lexical.bm25_topk(docs.limit(0), asked, "key", 5).count() == 0
+
+
+def test_profiles_call_the_state_once_a_batch():
+    """Each call goes from Python to the JVM and back: stretches that end within a batch need none."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+        exists = lambda self: calls.append("exists") or self.held is not None
+        get = lambda self: calls.append("get") or self.held
+
+        def update(self, row):
+            calls.append("update")
+            self.held = row
+
+    class Handle:
+        getValueState = lambda self, *_: Value()  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")  # noqa: E731, N815
+
+    p = profiles.Profile(24 * 3_600_000_000)
+    p.init(Handle())
+    days = [1, 1, 4, 8, 12, 16, 20]
+    batch = lambda n: pd.DataFrame({"ts": pd.to_datetime([f"2024-{n:02d}-{d:02d}" for d in days]), "event_id": range(7), "event_type": ["a"] * 7, "value": [1.0] * 6 + [None]})
+    first = pd.concat(list(p.handleInputRows((5,), iter([batch(1)]), None)))
+    assert first["n"].tolist() == [2, 1, 1, 1, 1] and first["total"].tolist() == [2, 1, 1, 1, 1]
+    second = pd.concat(list(p.handleInputRows((5,), iter([batch(2)]), None)))
+    assert second["n"].tolist() == [1, 2, 1, 1, 1, 1] and second["total"].tolist()[0] == 0 and len(calls) <= 8
