@@ -157,3 +157,67 @@ def test_build_chunks_keeps_order_and_places_blocks(spark):
     assert [x["chunk_index"] for x in rows] == list(range(len(rows))) and [x["source"] for x in rows] == sorted(x["source"] for x in rows)
     at = next(i for i, x in enumerate(rows) if x["kind"] == "table")
     assert "[table: 1]" in rows[at - 1]["page_content"] and rows[at]["marker"] == "[table: 1]"
+
+
+def test_span_rows_against_plain_code(spark):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [None if i % 11 == 5 else [r.choice(["a", "b", "b", "c", word(i), None]) for _ in range(r.randrange(0, 9))] for i in range(90)]
+    keys = [(f"s{i % 7}", i // 7) for i in range(90)]
+    rows = postings.span_rows(pa.array([{"s": s, "n": n} for s, n in keys], pa.struct({"s": pa.string(), "n": pa.int64()})), pa.array(texts, pa.list_(pa.string())), 5).to_pylist()
+    held = {t for x in texts for t in x or [] if t is not None}
+    assert len(rows) == len(held)
+    for row in rows:
+        pairs = sorted((k, x.count(row["term"]), len(x)) for k, x in zip(keys, texts, strict=True) if x and row["term"] in x)
+        assert pairs == [((k["s"], k["n"]), tf, dl) for k, tf, dl in zip(row["keys"], row["tfs"], row["dls"], strict=True)]
+        best = {(tf, dl) for _, tf, dl in pairs if not any((t > tf and d <= dl) or (t >= tf and d < dl) for _, t, d in pairs)}
+        assert {(p["tf"], p["dl"]) for p in row["peaks"]} == best and len(row["peaks"]) == len(best)
+        assert row["n"] == len(pairs) and row["tokens"] == sum(p[1] for p in pairs) and row["span"] == 5
+
+
+@pytest.mark.parametrize("longest", [40, 1 << 21])
+def test_postings_are_made_where_texts_are_read(spark, tmp_path, monkeypatch, longest):
+    monkeypatch.setattr(postings, "TOKENS", longest)
+    monkeypatch.setattr(postings, "SPAN", 50)
+    docs = corpus(spark, 300, 6).select(F.struct(F.lit("s").alias("s"), "doc_id").alias("doc_id"), "text")
+    sized = docs.select(F.col("doc_id").alias("key"), tokens(F.col("text")).alias("t"))
+    made = postings._spans(sized, docs.schema["doc_id"].dataType.simpleString(), 0)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    spans = made.select("span", F.explode(F.arrays_zip("keys", "dls")).alias("x")).distinct().groupBy("span").agg(F.count("*").alias("n"), F.sum("x.dls").alias("t")).collect()
+    assert all(x["n"] <= 50 and (x["n"] == 1 or x["t"] <= longest) for x in spans) and (len(spans) > 50) == (longest == 40)
+    index = postings.append(spark, str(tmp_path / "i"), docs, "doc_id")
+    assert index.manifest["tokens"] == docs.agg(F.sum(F.when(F.col("text").isNotNull(), F.size(tokens(F.col("text")))))).first()[0]
+    got = sorted((r["query_id"], r["rank"], tuple(r["doc_id"]), r["score"]) for r in postings.search(index, asked(spark), 4).collect())
+    assert got == sorted((r["query_id"], r["rank"], tuple(r["doc_id"]), r["score"]) for r in lexical.bm25_topk(docs, asked(spark), "doc_id", 4).collect())
+
+
+def test_few_rows_are_sent_to_many_chunks(spark, tmp_path):
+    from corpusforge.operators import context
+
+    spark.range(3000).select(F.col("id").alias("chunk_index"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("kind"), F.concat(F.lit("t"), "id", F.sha2(F.col("id").cast("string"), 512)).alias("page_content")).write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    chunks.where("chunk_index in (0, 7, 2999)").withColumn("rank", F.lit(1)).coalesce(1).write.parquet(str(tmp_path / "s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        wide = context.neighbours_of(spark.read.parquet(str(tmp_path / "s")), chunks, 1)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        got = {r["chunk_index"]: [int(x[1:-128]) for x in r["page_content"].split("\n")] for r in wide.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got == {0: [0, 1], 7: [6, 7, 8], 2999: [2998, 2999]}
+
+
+def test_superseded_texts_are_no_window_over_copies(spark, tmp_path):
+    from corpusforge.plans import workload
+
+    rows = [(i, f"s{i % 3}", None if i % 10 == 3 else "same" if i % 2 else f"text {i}") for i in range(200)] + [(0, "s1", "same"), (500, "s1", "text 4")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = workload.engine_chunks(spark, str(tmp_path))
+    assert "Window" not in chunks._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for i, _, t in sorted(rows, key=lambda x: x[0]):
+        first.setdefault(t, i)
+    got = sorted((r["chunk_index"], str(r["page_content"]), r["superseded"], r["version"]) for r in chunks.collect())
+    assert got == sorted((i, str(t), i != first[t], "current" if i == first[t] else "v1") for i, _, t in rows)
