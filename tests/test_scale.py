@@ -155,3 +155,53 @@ def test_profiles_call_the_state_once_a_batch():
     assert first["n"].tolist() == [2, 1, 1, 1, 1] and first["total"].tolist() == [2, 1, 1, 1, 1]
     second = pd.concat(list(p.handleInputRows((5,), iter([batch(2)]), None)))
     assert second["n"].tolist() == [1, 2, 1, 1, 1, 1] and second["total"].tolist()[0] == 0 and len(calls) <= 8
+
+
+def test_text_vectors_are_summed_where_texts_are_read(spark, monkeypatch):
+    """Rare and common terms, long texts, null and empty ones, against plain code; without frequencies nothing is shuffled."""
+    import hashlib
+    import math
+    import random
+
+    from corpusforge.operators import lexical, textvectors
+
+    r = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    texts = [None, ""] + [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(150)], k=k)) for k in (1, 5, 700, *[r.randrange(60) for _ in range(60)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(textvectors, "HELD", 10)
+    terms = {i: {w: t.split().count(w) for w in t.split()} for i, t in enumerate(texts) if t}
+    df = {w: sum(w in x for x in terms.values()) for w in vocabulary}
+    sign = lambda w, j: 1 if int(hashlib.md5(w.encode()).hexdigest()[:12], 16) >> j & 1 else -1
+    plain = textvectors.text_vectors(docs, "id", "text")
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    for got, weight in ((plain, lambda w: 1.0), (textvectors.text_vectors(docs, "id", "text", lexical.doc_freq(docs), len(texts)), lambda w: math.log1p(len(texts) / df[w]))):
+        vectors = {x["id"]: x["embedding"] for x in got.collect()}
+        assert set(vectors) == {i for i, x in terms.items() if x}
+        for i, v in vectors.items():
+            want = [sum((1 + math.log(n)) * weight(w) * sign(w, j) for w, n in terms[i].items()) for j in range(textvectors.DIMENSIONS)]
+            assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(v, want, strict=True))
+
+
+def test_nearest_sends_the_best_alone(spark):
+    """Ties, zero, null, short and non-finite vectors: the rows that all pairs give, and no pair of a usual vector is a row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusforge.operators import vectors
+    from corpusforge.operators.lexical import top_k
+
+    r = random.Random(9)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.5]) for _ in range(3)], i % 2) for i in range(150)]
+    rows += [(200, None, 0), (201, [1.0, None, 0.0], 1), (202, [1.0], 0), (203, [float("nan"), 1.0, 0.0], 1), (204, [float("inf"), 1.0, 0.0], 1), (205, [0.0, 0.0, 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.5, 0.0]), (2, [0.0, 0.0, 0.0]), (3, [-1.0, -1.0, 0.25])], "query_id long, query_vector array<double>")
+    for metric in ("cosine", "l2"):
+        order = F.col("score").desc() if metric == "cosine" else F.col("score")
+        want = top_k(vectors.scored_pairs(table, asked, metric), 7, order, F.col("vec_id"))
+        got = vectors.nearest(table, asked, 7, metric)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    mixed = asked.unionByName(spark.createDataFrame([(4, [1.0]), (5, None)], asked.schema))
+    assert vectors.nearest(table, mixed, 3).count() == 15
