@@ -56,6 +56,18 @@ def test_hypothetical_text_adds_lists(spark, chunks):
     assert sorted((r["list_id"], r["chunk_index"]) for r in both.collect()) == [(0, 0), (1, 3), (2, 0), (3, 1)]
 
 
+def test_lists_asked_together_are_the_lists_asked_apart(spark, chunks, monkeypatch):
+    calls = []
+    monkeypatch.setattr(lexical, "bm25_topk", lambda *a, _was=lexical.bm25_topk, **k: calls.append(1) or _was(*a, **k))
+    q, said = asked(spark, "parquet row", "zzz", "a plan to python"), "parquet batches by key"
+    listed = lambda rows: sorted((r["query_id"], r["list_id"], r["rank"], r["key"]) for r in rows.collect())
+    both = listed(Engine(chunks, Settings(hyde=True), hypothesize=lambda df: df.withColumn("raw", F.lit(said)), analyse=tokens).lists(q))
+    assert len(calls) == 1
+    plain = listed(Engine(chunks, analyse=tokens).lists(q))
+    made_up = listed(Engine(chunks, analyse=tokens).lists(q.withColumn("question", F.lit(said))))
+    assert both == sorted(plain + [(i, 3, *rest) for i, _, *rest in made_up]) and plain and made_up
+
+
 def test_permutation_reorders(spark, chunks):
     q = asked(spark, "parquet row groups")
     plain = ranked(Engine(chunks).search(q))

@@ -148,7 +148,7 @@ def test_routed_contexts_against_the_engines_parts(spark):
     assert {k[0] for k in kinds.values()} == {"fact", "aggregation", "enumeration", "comparison"}
 
 
-@pytest.mark.parametrize("name", ["ab_neighbor_window", "ab_rerank"])
+@pytest.mark.parametrize("name", ["ab_neighbor_window", "ab_rerank", "ab_hyde"])
 def test_arms_rank_once_and_need_no_index(spark, monkeypatch, name):
     """The texts are ranked in one pass for all arms, and what arms find alike is read once."""
     from corpusforge.engine import Engine
