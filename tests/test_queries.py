@@ -163,3 +163,13 @@ def test_arms_rank_once_and_need_no_index(spark, monkeypatch, name):
     plans.QUERIES[name](spark, DATA)
     assert calls.count("bm25_topk") == 1 and not {"append", "search"} & set(calls)
     assert calls.count("whole") == (2 if name == "ab_hyde" else 1)
+
+
+@pytest.mark.parametrize("name", ["ab_rerank", "ab_hyde"])
+def test_arms_without_a_window_look_for_no_neighbours(spark, monkeypatch, name):
+    from corpusforge.operators import context
+
+    asked = []
+    monkeypatch.setattr(context, "neighbours_of", lambda *a, _was=context.neighbours_of: asked.append(a[2]) or _was(*a))
+    plans.QUERIES[name](spark, DATA)
+    assert asked == []
