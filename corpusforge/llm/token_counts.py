@@ -29,7 +29,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shared)
         for batch in arrow_rows(batches, 256):
-            yield pa.RecordBatch.from_arrays([pa.array([codec.count(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([codec.counts(batch.column(0).to_pylist())], names=["n_tokens"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
 

@@ -514,6 +514,48 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert byte_bpe.round_trip(empty(spark), BPE, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_codec_over_memos_and_patterns(spark, monkeypatch):
+    import random
+    import re
+
+    import pyarrow as pa
+    import regex
+    from tiktoken import Encoding
+
+    ranks = byte_bpe.read_ranks(spark, BPE)
+    enc = Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "MEMO", 20)
+    codec = byte_bpe.Codec(ranks, byte_bpe.sentencepiece_model(ranks), P.PATTERN)
+    random.seed(1)
+    texts = TEXTS + ["".join(random.choices("ab 1'tls.\n\x1c\x1fé中 ", k=random.randint(0, 60))) for _ in range(300)]
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        want = [enc.encode_ordinary(t or "") for t in part]
+        ids = codec.encode(part)
+        assert ids.to_pylist() == want and codec.counts(part).to_pylist() == [len(x) for x in want]
+        assert codec.decode(ids).to_pylist() == [(t or "").encode() for t in part]
+        assert codec.decode(ids.slice(2)).to_pylist() == [(t or "").encode() for t in part[2:]]
+    assert codec.decode(pa.array([None, [], None], pa.list_(pa.int32()))).to_pylist() == [b"", b"", b""]
+    with pytest.raises((KeyError, IndexError)):
+        codec.decode(pa.array([[10**6]], pa.list_(pa.int32())))
+    plain, whole = re.compile(byte_bpe.ascii_pattern(P.PATTERN)).findall, regex.compile(P.PATTERN).findall
+    for t in ("".join(random.choices("".join(map(chr, range(128))), k=20)) for _ in range(2000)):
+        assert plain(t) == whole(t)
+    assert byte_bpe.ascii_pattern(r"\p{Lu}+") is None and byte_bpe.ascii_pattern(r"(?i:x)|\w") is None and byte_bpe.ascii_pattern(r"[\S]") is None
+
+
+def test_pipeline_encodes_and_decodes_in_one_pass(spark):
+    import corpus_pipeline
+
+    docs = table(spark, TEXTS).withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string")}).drop("n_chars")
+    out = corpus_pipeline.encode(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "round_trip"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    ids = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, BPE, P.PATTERN).collect()}
+    assert all(r["round_trip"] and r["ids"] == ids[i] and r["n_tokens"] == len(ids[i]) for i, r in rows.items()) and len(rows) == len(TEXTS)
+
+
 # 8 token store
 def brute_ids(texts):
     from tokenizers import Tokenizer
