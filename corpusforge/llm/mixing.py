@@ -46,10 +46,11 @@ def form_topic(text: Column, tokens: Column) -> Column:
 
 def described(docs: DataFrame, into: str, topic: Column | None = None) -> DataFrame:
     """docs with the struct `into` of source, lang, topic, tokens; topic: an expression on docs, else the form."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = n_tokens(text)
+    text, count = F.coalesce(F.col("text"), F.lit("")), free_name([*docs.columns, into], "count")
+    # A column of its own, which Spark doesn't merge into the several expressions that use it: each word is looked for once.
+    docs, tokens = docs.withColumn(count, n_tokens(text)), F.col(count)
     fields = F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(form_topic(text, tokens) if topic is None else topic, F.lit("")).alias("topic"), tokens.alias("tokens")
-    return docs.withColumn(into, F.struct(*fields))
+    return docs.withColumn(into, F.struct(*fields)).drop(count)
 
 
 def _weighted(cells: DataFrame, d: str, targets: Targets) -> DataFrame:
@@ -105,7 +106,9 @@ def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, r
 
 def cells_of(described_docs: DataFrame, into: str) -> DataFrame:
     m = F.col(into)
-    return written(described_docs.select(m["source"].alias("source"), m["lang"].alias("lang"), m["topic"].alias("topic"), m["tokens"].alias("tokens")).where("tokens > 0").groupBy(*EXPONENTS).agg(F.sum("tokens").alias("tokens")), "cells")
+    fields = described_docs.select(m["source"].alias("source"), m["lang"].alias("lang"), m["topic"].alias("topic"), m["tokens"].alias("tokens"))
+    # Texts without tokens go after the sum: a filter before it would count the words once more.
+    return written(fields.groupBy(*EXPONENTS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
 
 
 def shares(docs: DataFrame, rate: float = RATE, topic: Column | None = None, targets: Targets | None = None) -> DataFrame:

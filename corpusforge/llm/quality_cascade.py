@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SEPARATORS, let, written
+from .common import SEPARATORS, WORD, let, written
 
 WINDOW = 8
 #: Fixed values of the base rules and of the symbol class.
@@ -39,16 +39,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
+def _without(text: Column, characters: str) -> Column:
+    """text without the (ASCII) characters. Spark's replace looks for bytes, where translate looks up each character."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SEPARATORS, "")).cast("long")
+    return F.length(_without(text, SEPARATORS)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.octet_length(text) - F.octet_length(_without(text, SYMBOLS))).cast("long")
 
 
 def _worded_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
 def lines(text: Column) -> Column:

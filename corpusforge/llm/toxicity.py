@@ -242,10 +242,14 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.memo: dict[str, tuple[str, ...]] = {}
+        #: All features of a word begin alike, so a word that begins like no feature has none.
+        self.starts = {f[: BEGINNINGS[0]] for f in model.weights}
 
     def score(self, text: str) -> float:
-        memo, weights, found = self.memo, self.model.weights, set()
+        memo, starts, first, weights, found = self.memo, self.starts, BEGINNINGS[0], self.model.weights, set()
         for w in words_of(text):
+            if w.strip(STRIPPED)[:first] not in starts:
+                continue
             if (hit := memo.get(w)) is None:
                 hit = tuple(f for f in features_of(w) if f in weights)
                 if len(memo) > MEMO:

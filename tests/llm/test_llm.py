@@ -556,6 +556,18 @@ def test_pipeline_encodes_and_decodes_in_one_pass(spark):
     assert all(r["round_trip"] and r["ids"] == ids[i] and r["n_tokens"] == len(ids[i]) for i, r in rows.items()) and len(rows) == len(TEXTS)
 
 
+def test_pipeline_counts_words_once_and_moves_texts_once(spark):
+    docs = table(spark, TEXTS).withColumns({"source": F.lit("s"), "lang": F.lit("l")})
+    plan = lambda df, kind: getattr(df._jdf.queryExecution(), kind)().toString()
+    assert plan(mixing.described(docs, "mix").select("mix.topic", "mix.tokens"), "optimizedPlan").count("regexp_extract_all") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(similar.keep_one(docs), "executedPlan").count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "translate" not in plan(docs.select(quality_cascade.base_metrics(F.col("text"))), "optimizedPlan")
+
+
 # 8 token store
 def brute_ids(texts):
     from tokenizers import Tokenizer
